@@ -2,19 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logloom.llm import quality
+from logloom.llm import bpe_count, decontaminate, langid, quality, secrets, toxicity
 from logloom.llm.base import table
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def fold(parts: int, which: int) -> Column:
+    """Whether the CRC-32 of ``doc_id`` as text has remainder ``which``; a null id is in no fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == which, F.lit(False))
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return secrets.digest(secrets.scan(docs)[0])
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = fold(4, 2)
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_count.count(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold(5, 0)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle()}
+    return {"op1_quality_rules": quality.oracle(), "op2_secret_scans": secrets.oracle(), "op6_decontamination": decontaminate.oracle()}
