@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe_count, decontaminate, langid, mixing, near_dup, quality, secrets, toxicity
+from logloom.llm import bpe_count, decontaminate, html_text, langid, line_dedup, mixing, near_dup, quality, secrets, toxicity
 from logloom.llm.base import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs)[0])
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = fold(4, 2)
@@ -33,6 +37,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_deleted"), "text")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
