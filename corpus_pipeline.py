@@ -1,4 +1,64 @@
-STAGES = []
+"""The corpus pipeline: five stages, each one operator, from documents to a mixing plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.llm import decontaminate, line_dedup, mixing, near_dup, toxicity
+from logloom.llm.base import table
+from logloom.llm.queries import fold
+from logloom.operators.lineage import cut_lineage
+
+#: A document with at least this probability of toxicity goes.
+REJECTED = 0.5
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones outside the held-out fold, does not reject."""
+    labels = table(spark, sf_dir, "labels").where(~fold(5, 0))
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    return toxicity.score(docs, model, "__toxicity").where(F.col("__toxicity") < REJECTED).drop("__toxicity")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the runs of lines that an earlier place has; ``n_chars`` follows the text."""
+    names, out = docs.columns, line_dedup.dedup(docs)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[f"`{c}`" for c in names])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dup.kept(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontaminate.without_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
+
+#: SQL can't express the classifier, so tests hold every stage against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's rows are written before the next one reads them."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
