@@ -257,14 +257,14 @@ def crossfit(df: DataFrame, features: list[str], label: str, fold: str, l2: floa
     """
     from logloom.operators.fusion import transductive_pvalues
 
-    rows = df.select(fold, F.col(label).cast("double").alias("y"), *[F.col(f).cast("double") for f in features])
+    rows = df.select(fold, F.col(label).cast("double").alias("__y"), *[F.col(f).cast("double") for f in features])
     if rows.count() > MAX_BOOTSTRAP_UNITS:
         raise ValueError("aggregate the units first")
     table = rows.toPandas()
     linear = F.lit(None).cast("double")
     for k in sorted(table[fold].unique().tolist()):
         other = table[table[fold] != k]
-        beta = fit_logistic(other[features].to_numpy(), other["y"].to_numpy(), l2)
+        beta = fit_logistic(other[features].to_numpy(), other["__y"].to_numpy(), l2)
         value = sum((F.col(f) * float(w) for f, w in zip(features, beta[1:], strict=True)), F.lit(float(beta[0])))
         linear = F.when(F.col(fold) == k, value).otherwise(linear)
     scored = transductive_pvalues(df.withColumn("__linear", linear), "__linear", (fold,), "__p")

@@ -29,10 +29,10 @@ def global_rank(df: DataFrame, key: Column, *order: Column, name: str = "rank",
     a descending one. Rows with a null key come first.
     """
     ranged = by_range(df, key)
-    before = _before(ranged.groupBy(*by, "__range").agg(F.count("*").alias("__n")), by, ["__n"])
+    before = _before(ranged.groupBy(*by, "__range").agg(F.count("*").alias("__before")), by, ["__before"])
     inside = Window.partitionBy(*by, "__range").orderBy(key.asc_nulls_first(), *order)
-    joined = ranged.withColumn("__place", F.row_number().over(inside)).join(F.broadcast(before), [*by, "__range"])
-    return joined.withColumn(name, (F.col("__place") - 1 + F.col("__n")).cast("long")).drop("__place", "__n", "__range")
+    joined = ranged.withColumn("__rowno", F.row_number().over(inside)).join(F.broadcast(before), [*by, "__range"])
+    return joined.withColumn(name, (F.col("__rowno") - 1 + F.col("__before")).cast("long")).drop("__rowno", "__before", "__range")
 
 
 def running_sums(df: DataFrame, key: Column, *order: Column, sums: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
