@@ -194,18 +194,16 @@ def nearness(a: tuple[str, str], b: tuple[str, str]) -> int:
     return n
 
 
-def main_text(own: list[tuple[str, str]], other: list[tuple[str, str]] | None) -> str:
-    """The page's text, given its blocks and those of its neighbour."""
-    open_ = [i for i, (zone, _) in enumerate(own) if zone == OPEN]
-    article = len(open_) < len(own)
-    if article:
-        return "\n".join(t for zone, t in own if zone == ARTICLE)
-    if other is not None:
-        theirs = [t for zone, t in other if zone == OPEN]
-        shared = common_subsequence([t for _, t in own], theirs)
-        if len(shared) < len(own):  # two copies of one page are no furniture
-            return "\n".join(t for i, (_, t) in enumerate(own) if i not in shared)
-    return "\n".join(t for _, t in own)
+def article_text(own: list[tuple[str, str]]) -> str | None:
+    """The text of the article's blocks; None for a page without an article."""
+    kept = [t for zone, t in own if zone == ARTICLE]
+    return "\n".join(kept) if kept else None
+
+
+def differenced(own: list[str], other: list[str] | None) -> str:
+    """Open blocks that the neighbour does not share; all of them if it shares every one: two copies of a page are no furniture."""
+    shared = common_subsequence(own, other) if other else set()
+    return "\n".join(t for i, t in enumerate(own) if i not in shared or len(shared) == len(own))
 
 
 #: Pages of the sample from which the borders of the URL order are read, for each border.
@@ -250,20 +248,34 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     keyed = _with_key(pages.select("page_id", "url", "html"))
+    parsed = keyed.mapInArrow(_parsed, "page_id bigint, url string, key string, text string, open array<string>")
+    # blocks of an article stay whatever a neighbour says, so only open blocks are moved
     cuts, edges = _ranges(keyed)
     visits = []
     for before, after in zip(edges, edges[1:], strict=False):
         visits += [(before["high"], after["bucket"]), (after["low"], before["bucket"])]
     guests = F.broadcast(spark.createDataFrame(visits, "key string, visited int"))  # two rows for each range
-    placed = _in_ranges(keyed, cuts)
-    columns = ["page_id", "url", "html", "key"]
-    visiting = placed.join(guests, "key").select(*columns, F.col("visited").alias("bucket"), F.lit(True).alias("guest"))
-    rows = placed.select(*columns, "bucket", F.lit(False).alias("guest")).unionByName(visiting)
-    dealt = rows.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "key", "guest").select("page_id", "url", "html", "bucket", "guest")
-    return dealt.mapInArrow(_extracted, "page_id bigint, url string, text string, n_chars bigint")
-
-
-def _extracted(batches):
+    placed = _in_ranges(parsed, cuts).select("page_id", "url", "key", "open", F.col("text").isNull().alias("wanted"), "bucket")
+    visiting = placed.join(guests, "key").select("page_id", "url", "key", "open", F.lit(False).alias("wanted"), F.col("visited").alias("bucket"))
+    dealt = placed.unionByName(visiting).repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "key", "wanted")
+    told = dealt.select("page_id", "url", "bucket", "open", "wanted").mapInArrow(_compared, "page_id bigint, url string, text string")
+    out = parsed.where("text is not null").select("page_id", "url", "text").unionByName(told)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _parsed(batches):
+    """Article text, or else the open blocks; those of a page with an article are for its neighbours."""
+    for batch in batches:
+        found = [blocks(page) for page in batch.column(2).to_pylist()]
+        texts = [article_text(own) for own in found]
+        opened = [[t for zone, t in own if zone == OPEN] for own in found]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.string()), pa.array(opened, pa.list_(pa.string()))],
+            names=["page_id", "url", "key", "text", "open"],
+        )
+
+
+def _compared(batches):
     """Walk the sorted pages with the page before and the page after at hand."""
 
     def rows():
@@ -272,8 +284,8 @@ def _extracted(batches):
 
     def walk():
         before, here = None, None
-        for page_id, url, page, bucket, guest in rows():
-            after = (page_id, url, blocks(page), split_url(url), bucket, guest)
+        for row in rows():
+            after = (*row, split_url(row[1]))
             if here is not None:
                 yield before, here, after
             before, here = here, after
@@ -282,11 +294,10 @@ def _extracted(batches):
 
     out = []
     for before, here, after in walk():
-        if not here[5]:
-            near = [(nearness(here[3], x[3]), x[2]) for x in (before, after) if x is not None and x[4] == here[4]]
+        if here[4]:
+            near = [(nearness(here[5], x[5]), x[3]) for x in (before, after) if x is not None and x[2] == here[2]]
             near = [x for x in near if x[0] >= 0]
-            text = main_text(here[2], max(near, key=lambda x: x[0])[1] if near else None)
-            out.append((here[0], here[1], text, len(text)))
+            out.append((here[0], here[1], differenced(here[3], max(near, key=lambda x: x[0])[1] if near else None)))
         if len(out) >= 256:
             yield _arrow(out)
             out = []
@@ -294,5 +305,5 @@ def _extracted(batches):
 
 
 def _arrow(rows) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["page_id", "url", "text", "n_chars"])
+    kinds = (pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["page_id", "url", "text"])
