@@ -39,7 +39,7 @@ def stream(spark: SparkSession, sf_dir: str, ranked: bool = True) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     out = e.select(
         "event_id", "user_id", "event_type", "value",
-        F.unix_micros(ts).alias("effective_ts"),
+        F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")).alias("effective_ts"),
         F.concat_ws("|", F.col("user_id").cast("string"), F.date_format(ts, "yyyy-MM-dd")).alias("unit"),
         F.concat_ws("|", "event_type", F.get_json_object("props", "$.k")).alias("message"),
     )
