@@ -101,7 +101,7 @@ def _windows(least: int):
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, th, gone``: the lines to delete, for each (id, text hash) that has any.
+    """``doc_id, th, __rows``: the lines to delete, for each (id, text hash) that has any.
 
     A window's earliest place is the least of (id, text hash, line), a null id first. A
     window that begins inside its own earlier copy gives up only the lines after that.
@@ -119,7 +119,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     begin = F.when(same, F.greatest("first", F.col("o.first") + size + 1)).otherwise(F.col("first"))
     ranges = later.select("doc_id", "th", begin.alias("begin"), "last").where("begin <= last")
     lines = F.array_distinct(F.flatten(F.collect_list(F.sequence("begin", "last"))))
-    return ranges.distinct().groupBy("doc_id", "th").agg(lines.alias("gone"))
+    return ranges.distinct().groupBy("doc_id", "th").agg(lines.alias("__rows"))
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -145,10 +145,10 @@ def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     gone = repeated_lines(docs.select("doc_id", "text"), least).withColumnsRenamed({"doc_id": "__id", "th": "__th"})
     match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
     joined = docs.join(gone, match, "left")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone")))
+    text = F.when(F.col("__rows").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__rows")))
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
     return joined.select(
         *[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in names],
         F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("__lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__gone"),
+        F.coalesce(F.size("__rows"), F.lit(0)).cast("long").alias("__gone"),
     )
