@@ -6,9 +6,11 @@ process, the same in every text, of a rate equal to the block's length; a point
 time, a register and a position, and counts where its position is below w.
 A register keeps its first point. Two texts agree in a register with the probability
 of their weighted Jaccard similarity, and a process stops once its time exceeds
-the latest register. Bands of registers name buckets; members of a bucket are
-checked against its leader, components are formed, and only members of a bucket that
-are still apart are compared with each other, in blocks of bounded size.
+the latest register. Bands of registers name buckets. Every member of a bucket is
+checked against its leader, the member that shares most buckets with others: of a
+group of edited copies that is one near the original. Components are formed, and
+members of a bucket that are still apart are compared with each other inside tasks, in
+blocks of bounded size that pass on a spanning set of links only, never the pairs.
 """
 
 from __future__ import annotations
@@ -27,11 +29,10 @@ WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 4 registers: two texts of similarity 0.8 miss each other in all of them once in 20 million.
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-#: Members of a bucket that are compared in one block.
+#: Members of a bucket that are compared with as many others in one task at a time.
 BLOCK = 1024
-#: Bands in which two members that are still apart must agree before their texts are read;
-#: at similarity 0.8 fewer agree once in a million.
-LEAST_BANDS = 2
+#: Blocks compare shingles by 32-bit hashes; links this near the threshold are decided by the texts.
+MARGIN = 0.01
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,22 +144,71 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(_compared, "a bigint, b bigint, similarity double").where(F.col("similarity") >= least)
 
 
-def _apart(key, frame):
-    """Pairs of members of one block that lie in different components, agree in some bands and differ little in size."""
+def _elements(batches):
+    """A text's multiset as a set of 32-bit numbers: each occurrence of a shingle is an element of its own."""
+    for batch in batches:
+        data, offsets = string_bytes(batch.column(1))
+        parts, sizes = [np.zeros(0, np.int32)], []
+        for i, j in row_chunks(offsets):
+            hashed, row, _, _ = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], PLAIN)
+            value, where = shingles(hashed, row, j - i, WORDS)
+            order = np.lexsort((value, where))
+            value, where = value[order], where[order]
+            new = np.append(True, (value[1:] != value[:-1]) | (where[1:] != where[:-1])) if len(value) else np.zeros(0, bool)
+            head = np.flatnonzero(new)
+            nth = np.arange(len(value)) - np.repeat(head, np.diff(np.append(head, len(value))))
+            with np.errstate(over="ignore"):
+                element = mix(value + nth.astype(np.uint64) * _GAMMA) >> np.uint64(32)
+            parts.append(element.astype(np.uint32).view(np.int32))
+            sizes += np.bincount(where, minlength=j - i).tolist()
+        at = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts), pa.int32()))], names=["v", "elements"])
+
+
+def _apart(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between the components of one block: enough of them to join what belongs together, and all doubtful ones.
+
+    A pair is compared only in the first band in which it agrees.
+    """
     _, i, j = key
-    one = frame if i == j else frame[frame["chunk"] == i]
-    two = frame if i == j else frame[frame["chunk"] == j]
-    x, y = np.stack(one["bands"].to_list()), np.stack(two["bands"].to_list())
+    frame = frame.sort_values("v", kind="stable").reset_index(drop=True)
+    side = frame["chunk"].to_numpy()
+    bands_ = np.stack(frame["bands"].to_list())
+    band = int(frame["band"].iloc[0])
+    v, n, part = frame["v"].to_numpy(), frame["n"].to_numpy(), frame["component"].to_numpy()
+    length = frame["elements"].map(len).to_numpy()
+    names, element = np.unique(np.concatenate(frame["elements"].to_list()), return_inverse=True)
+    at = np.concatenate(([0], np.cumsum(length)))
+    mark = np.zeros(len(names), bool)
+    root = {c: c for c in part.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
     out = []
-    v, w = one["v"].to_numpy(), two["v"].to_numpy()
-    c, d = one["component"].to_numpy(), two["component"].to_numpy()
-    n, m = one["n"].to_numpy(), two["n"].to_numpy()
-    for k in range(len(v)):
-        agree = (y == x[k]).sum(axis=1) >= LEAST_BANDS
-        near = agree & (d != c[k]) & (np.minimum(m, n[k]) >= SIMILARITY * np.maximum(m, n[k]))
-        if i == j:
-            near[: k + 1] = False
-        out += [(min(v[k], u), max(v[k], u)) for u in w[near]]
+    for x in np.flatnonzero(side == i):
+        near = (part != part[x]) & (np.minimum(n, n[x]) >= (SIMILARITY - MARGIN) * np.maximum(n, n[x]))
+        near &= (np.arange(len(v)) > x) if i == j else (side == j)
+        near = np.flatnonzero(near)
+        if band:
+            near = near[~(bands_[near, :band] == bands_[x, :band]).any(axis=1)]
+        if not len(near):
+            continue
+        own = element[at[x] : at[x + 1]]
+        mark[own] = True
+        take = np.repeat(at[near] - np.concatenate(([0], np.cumsum(length[near])[:-1])), length[near]) + np.arange(length[near].sum())
+        both = np.add.reduceat(mark[element[take]].astype(np.int64), np.concatenate(([0], np.cumsum(length[near])[:-1])))
+        mark[own] = False
+        alike = both / (length[near] + length[x] - both)
+        for y, s in zip(near[alike >= SIMILARITY - MARGIN].tolist(), alike[alike >= SIMILARITY - MARGIN].tolist(), strict=True):
+            a, b = find(part[x]), find(part[y])
+            if a != b or s < SIMILARITY + MARGIN:
+                out.append((min(v[x], v[y]), max(v[x], v[y])))
+            if a != b and s >= SIMILARITY + MARGIN:
+                root[a] = b
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -176,35 +226,41 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     signed = cut_lineage(plain.select("doc_id", "digest", "text").mapInArrow(_signed, "doc_id bigint, digest string, n bigint, bands array<bigint>"))
     distinct = signed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     vertices = cut_lineage(distinct.withColumn("v", F.monotonically_increasing_id()))
-    buckets = vertices.where("n > 0").select("v", "n", F.explode("bands").alias("bucket"))
+    buckets = vertices.where("n > 0").select("v", "n", F.posexplode("bands").alias("band", "bucket"))
+    crowds = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = cut_lineage(buckets.join(crowds, "bucket"))
 
-    # every member against the leader of each of its buckets: the first or the last vertex, by turns
-    leaders = buckets.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high")
-    leaders = leaders.select("bucket", F.when(F.pmod("bucket", F.lit(2)) == 0, F.col("low")).otherwise(F.col("high")).alias("leader"))
+    # every member against the leader of each of its buckets
+    shared = buckets.groupBy("v").agg(F.sum("members").alias("crowd"))
+    leaders = buckets.join(shared, "v").groupBy("bucket").agg(F.max(F.struct("crowd", "v")).alias("top")).select("bucket", F.col("top.v").alias("leader"))
     star = buckets.join(leaders, "bucket").where("v <> leader")
     first = cut_lineage(star.select(F.least("v", "leader").alias("a"), F.greatest("v", "leader").alias("b")).distinct())
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """The text of each vertex of the pairs; a repeated row repeats a pair, which the components ignore."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        chosen = wanted.join(vertices.select("v", "first_id", F.col("digest").alias("own")), "v")
-        return plain.join(chosen, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("own"))).select("v", "text")
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
 
-    edges = cut_lineage(verified(first, texts_of(first), least).select("a", "b"))
+    # every vertex that shares a bucket is in a pair; their texts are fetched once
+    chosen = ends(first).join(vertices.select("v", "first_id", F.col("digest").alias("own")), "v")
+    own = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("own"))
+    texts = cut_lineage(plain.join(chosen, own).select("v", "text").dropDuplicates(["v"]))
+    edges = cut_lineage(verified(first, texts, least).select("a", "b"))
     parts = connected_components(edges, "a", "b")
 
-    # members of a bucket that no chain has joined yet: each pair of them that the leader did not settle
-    told = vertices.join(parts, vertices["v"] == parts["vertex"], "left").select("v", "n", "bands", F.coalesce("component", "v").alias("component"))
-    spread = told.where("n > 0").select("v", "component", F.explode("bands").alias("bucket"))
+    # members of a bucket that no chain of links joins yet
+    told = vertices.join(parts, vertices["v"] == parts["vertex"], "left").select("v", "bands", F.coalesce("component", "v").alias("component"))
+    spread = buckets.select("v", "n", "band", "bucket").join(told.select("v", "component"), "v")
     split = spread.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
     split = split.where("low <> high and members > 2").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("chunks"))
-    open_ = spread.select("v", "bucket").join(split, "bucket").join(told, "v").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
-    blocks = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
-        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "v", "n", "bands", "component"
+    open_ = cut_lineage(spread.join(split, "bucket"))
+    elements = texts.join(open_.select("v").distinct(), "v", "left_semi").mapInArrow(_elements, "v bigint, elements array<int>")
+    short = F.transform("bands", lambda x: F.hash(x))  # 32 bits are enough to tell bands apart
+    members = cut_lineage(elements.join(told.select("v", short.alias("bands")), "v"))
+    placed = open_.join(members, "v").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
+    blocks = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
+        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "band", "v", "n", "bands", "component", "elements"
     )
-    second = blocks.groupBy("bucket", "i", "j").applyInPandas(_apart, "a bigint, b bigint").distinct()
-    second = cut_lineage(second.join(first, ["a", "b"], "left_anti"))
-    more = cut_lineage(verified(second, texts_of(second), least).select("a", "b"))
+    second = cut_lineage(blocks.groupBy("bucket", "i", "j").applyInPandas(_apart, "a bigint, b bigint").distinct())
+    more = cut_lineage(verified(second, texts, least).select("a", "b"))
     if more.limit(1).count():
         parts = connected_components(edges.unionByName(more), "a", "b")
     labelled = vertices.join(parts, vertices["v"] == parts["vertex"], "left").select("digest", "first_id", F.coalesce("component", "v").alias("component"))
@@ -222,8 +278,10 @@ def kept(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     names = [f"`{c}`" for c in docs.columns]
     head = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
     keys = classes(docs.select("doc_id", "text"), least).where(head).groupBy("doc_id", "digest").agg(F.count("*").alias("__times"))
-    keys = keys.withColumnsRenamed({"doc_id": "__id", "digest": "__digest"})
+    keys = cut_lineage(keys.withColumnsRenamed({"doc_id": "__id", "digest": "__digest"}))
     rows = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("__digest")))
     once = rows.where("__times = 1").select(*names)
     again = rows.where("__times > 1")
+    if not keys.where("__times > 1").limit(1).count():
+        return once
     return once.unionByName(again.dropDuplicates(["__id", "__digest"]).select(*names))
