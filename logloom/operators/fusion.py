@@ -18,7 +18,7 @@ def tail_pvalues(reference: DataFrame, scores: DataFrame, score: str = "score",
     Both sides collapse to distinct scores, which get one running sum.
     """
     told = reference.select(F.col(score).alias("__score"), F.lit(1).alias("__ref")).unionByName(scores.select(F.col(score).alias("__score"), F.lit(0).alias("__ref")))
-    distinct = told.groupBy("__score").agg(F.sum("__ref").alias("__equal"))
+    distinct = told.groupBy("__score").agg(F.sum("__ref").alias("__equal")).persist()
     upto = running_sums(distinct, -F.col("__score"), sums={"__upto": F.col("__equal")})
     n = reference.agg(F.count(score).alias("__n"))
     tie = F.col("__equal") * (0.5 if mid_rank else 1.0)
@@ -30,7 +30,7 @@ def tail_pvalues(reference: DataFrame, scores: DataFrame, score: str = "score",
 def transductive_pvalues(df: DataFrame, score: str = "score", by: tuple[str, ...] = (), name: str = "p") -> DataFrame:
     """``df`` with (1 + #greater + (#equal - 1) / 2) / n inside each cohort; equals leave-one-out mid-ranks."""
     keys = [*by, "__score"]
-    distinct = df.withColumn("__score", F.col(score)).groupBy(*keys).agg(F.count("*").alias("__equal"))
+    distinct = df.withColumn("__score", F.col(score)).groupBy(*keys).agg(F.count("*").alias("__equal")).persist()
     upto = running_sums(distinct, -F.col("__score"), sums={"__upto": F.col("__equal")}, by=by)
     n = df.groupBy(*by).agg(F.count("*").alias("__n"))
     joined = upto.join(F.broadcast(n), list(by)) if by else upto.join(F.broadcast(n))

@@ -16,7 +16,7 @@ Z95 = 1.959963984540054
 
 def score_table(df: DataFrame, score: str, label: str) -> DataFrame:
     """``score, n, pos`` by distinct score, with ``n_upto`` and ``tp_upto`` from the highest score down."""
-    distinct = df.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    distinct = df.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).persist()
     return running_sums(distinct, -F.col("score"), sums={"n_upto": F.col("n"), "tp_upto": F.col("pos")})
 
 
@@ -58,7 +58,7 @@ def at_budgets(df: DataFrame, score: str, label: str, unit: str, budgets: tuple[
 
 def best_f1(df: DataFrame, score: str, label: str, by: str) -> DataFrame:
     """For each source the threshold of the best F1, the highest of equals; ``source, threshold, f1, precision, recall``."""
-    distinct = df.groupBy(F.col(by).alias("source"), F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    distinct = df.groupBy(F.col(by).alias("source"), F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).persist()
     upto = running_sums(distinct, -F.col("score"), sums={"n_upto": F.col("n"), "tp_upto": F.col("pos")}, by=("source",))
     whole = df.groupBy(F.col(by).alias("source")).agg(F.sum(F.col(label).cast("long")).alias("p")).where("p > 0")
     scored = upto.join(whole, "source").withColumn("f1", F.lit(2.0) * F.col("tp_upto") / (F.col("n_upto") + F.col("p")))
@@ -68,7 +68,7 @@ def best_f1(df: DataFrame, score: str, label: str, by: str) -> DataFrame:
 
 def mid_ranks(df: DataFrame, score: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with average ranks, 1-based, ascending, inside ``by``."""
-    distinct = df.withColumn("__s", F.col(score)).groupBy(*by, "__s").agg(F.count("*").alias("__n"))
+    distinct = df.withColumn("__s", F.col(score)).groupBy(*by, "__s").agg(F.count("*").alias("__n")).persist()
     upto = running_sums(distinct, F.col("__s"), sums={"__upto": F.col("__n")}, by=by)
     table = upto.select(*by, "__s", (F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))
     return df.withColumn("__s", F.col(score)).join(table, [*by, "__s"]).drop("__s")

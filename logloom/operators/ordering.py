@@ -2,7 +2,8 @@
 
 Rows are dealt into ranges of a numeric leading key by approximate quantiles; each
 range is sorted by itself, and a small table of range totals supplies what stands
-before it. The result is exact whatever the ranges are.
+before it. The result is exact whatever the ranges are. The input is read for the
+quantiles, for the totals and for the rows, so callers persist small aggregates first.
 """
 
 from __future__ import annotations

@@ -54,7 +54,7 @@ def top_membership(df: DataFrame, score: str, k: int, name: str = "weight") -> D
 
     Works on distinct scores, so that only their counts are ordered.
     """
-    distinct = df.groupBy(F.col(score).alias("__score")).agg(F.count("*").alias("__n"))
+    distinct = df.groupBy(F.col(score).alias("__score")).agg(F.count("*").alias("__n")).persist()
     above = running_sums(distinct, -F.col("__score"), sums={"__upto": F.col("__n")})
     before = F.col("__upto") - F.col("__n")
     weight = F.when(F.col("__upto") <= k, 1.0).when(before < k, (F.lit(k) - before) / F.col("__n")).otherwise(0.0)
