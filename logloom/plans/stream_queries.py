@@ -277,7 +277,7 @@ o AS (SELECT *, row_number() OVER (ORDER BY last_rank, unit_id) - 1 AS o, count(
 st AS (SELECT unit_id, last_rank, n_lines, CAST(floor(o * 10 / n) AS INTEGER) AS stratum FROM o),
 z AS (SELECT stratum, count(*) AS size FROM st GROUP BY 1), q0 AS (SELECT stratum, size, 501.0::DOUBLE * size / sum(size) OVER () AS raw FROM z),
 q1 AS (SELECT *, floor(raw) AS f, row_number() OVER (ORDER BY floor(raw) - raw, stratum) AS r FROM q0),
-q AS (SELECT stratum, size, CAST(f + CASE WHEN r <= 501 - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q1)"""
+q AS (SELECT stratum, size, CASE WHEN 501 >= sum(size) OVER () THEN size ELSE CAST(f + CASE WHEN r <= 501 - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) END AS quota FROM q1)"""
 
 
 @query(f"WITH {STRATA} SELECT stratum, size, quota FROM q")
