@@ -1,6 +1,7 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-A text is the set of its hashed byte n-grams. Each feature's presence is scaled by
+A text is the set of its hashed byte n-grams, from parts of a syllable to whole words, since
+toxic words may be built from syllables that are common elsewhere. Each feature's presence is scaled by
 the log of the ratio of its smoothed shares among toxic and other training rows,
 and an L2-regularised logistic regression is fitted on the scaled features. The
 product of scale and weight is one table by bucket, which scores whole texts.
@@ -18,8 +19,11 @@ from pyspark.sql import types as T
 
 from logloom.llm.base import row_chunks, small_batches, string_bytes
 from logloom.llm.ngrams import grams
+from logloom.operators.lineage import cut_lineage
 
-BITS, SIZES = 18, (3, 4, 5)
+BITS, SIZES = 20, (3, 4, 5, 6, 7, 8)
+#: Parts of the buckets; one at a time is on the driver while the features are counted.
+PARTS = 4
 #: Labelled rows that one fit may use, about: toxic ones and others.
 TRAIN_TOXIC, TRAIN_OTHER = 1500, 3000
 #: Features that the regression weighs: those with the largest difference of shares.
@@ -45,15 +49,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(value + self.bias, -30, 30)))
 
 
-def _features(batches):
+def _grams(batches):
+    """The distinct buckets of each text, those of a part in a column of its own and without the part's number."""
     for batch in batches:
-        data, offsets = string_bytes(batch.column(2))
-        out = []
+        data, offsets = string_bytes(batch.column(3))
+        out = [[] for _ in range(PARTS)]
         for i in range(batch.num_rows):
             own = data[offsets[i] : offsets[i + 1]]
             found = np.unique(np.concatenate([grams(own, np.array([0, len(own)]), size, BITS)[0] for size in SIZES]))
-            out.append(found.astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["toxic", "ord", "bucket"])
+            for part in range(PARTS):
+                out[part].append((found[found % PARTS == part] // PARTS).astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x, pa.binary()) for x in out]], names=["toxic", "ord", "digest", *[f"part{k}" for k in range(PARTS)]])
+
+
+def _chosen(index: np.ndarray):
+    """The features of each text: the places in ``index`` of its buckets, -1 for buckets that are none."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for parts in zip(*[c.to_pylist() for c in batch.columns[3:]], strict=True):
+                found = np.concatenate([index[np.frombuffer(x, np.int32) * PARTS + k] for k, x in enumerate(parts)])
+                out.append(found[found >= 0].tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["toxic", "ord", "digest", "feature"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, other_rows: int = TRAIN_OTHER, seed: int = 11) -> Model | None:
@@ -76,29 +96,35 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, other
     )
     # bounded by the rows above, so it may be sent to all executors
     drawn = F.broadcast(drawn.orderBy("ord", "doc_id").limit(2 * (toxic_rows + other_rows)))
-    sample = docs.select("doc_id", "text").where("text is not null").join(drawn, "doc_id").select("toxic", "ord", "text")
-    rows = sample.mapInArrow(_features, "toxic int, ord bigint, bucket binary").orderBy("ord", "bucket").limit(2 * (toxic_rows + other_rows)).collect()
-    y = np.array([r[0] for r in rows], np.float64)
-    if len(set(y.tolist())) < 2:
+    sample = docs.select("doc_id", "text").where("text is not null").join(drawn, "doc_id").select("toxic", "ord", F.md5("text").alias("digest"), "text")
+    names = [f"part{k}" for k in range(PARTS)]
+    sample = cut_lineage(sample.mapInArrow(_grams, "toxic int, ord bigint, digest string, " + ", ".join(f"{x} binary" for x in names)))
+
+    def first(rows: DataFrame) -> list:
+        """The same rows for every part: rows equal in mark, hash and digest are equal."""
+        return rows.orderBy("ord", "digest").limit(2 * (toxic_rows + other_rows)).collect()
+
+    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for part, name in enumerate(names):
+        for toxic, _, _, found in first(sample.select("toxic", "ord", "digest", name)):
+            (p if toxic else q)[np.frombuffer(found, np.int32) * PARTS + part] += 1
+    marks = [r[0] for r in first(sample.select("toxic", "ord", "digest"))]
+    n_p, n_q = sum(marks), len(marks) - sum(marks)
+    if not n_p or not n_q:
         return None
-    x = [np.frombuffer(r[2], np.int32) for r in rows]
-    del rows
-    shares = []
-    for mark in (1, 0):
-        own = [v for v, m in zip(x, y, strict=True) if m == mark]
-        count = np.bincount(np.concatenate(own), minlength=1 << BITS) if own else np.zeros(1 << BITS)
-        shares.append((count, len(own)))
-    (p, n_p), (q, n_q) = shares
     scale = np.log((p + SMOOTHING) / (n_p + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (n_q + 2 * SMOOTHING))
-    told = np.abs(p / max(1, n_p) - q / max(1, n_q)) * np.abs(scale)
+    told = np.abs(p / n_p - q / n_q) * np.abs(scale)
     told[p + q < 3] = 0
     chosen = np.sort(np.argsort(-told, kind="stable")[:FEATURES])
     chosen = chosen[told[chosen] > 0]
-    index = np.full(1 << BITS, -1)
+    index = np.full(1 << BITS, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
-    parts = [index[v][index[v] >= 0] for v in x]
+    rows = first(sample.mapInArrow(_chosen(index), "toxic int, ord bigint, digest string, feature binary"))
+    y = np.array([r[0] for r in rows], np.float64)
+    parts = [np.frombuffer(r[3], np.int32) for r in rows]
+    del rows
     size = np.array([len(v) for v in parts])
-    col, row = (np.concatenate(parts) if len(chosen) else np.zeros(0, int)), np.repeat(np.arange(len(y)), size)
+    col, row = np.concatenate(parts), np.repeat(np.arange(len(y)), size)
     value = scale[chosen][col]
     # full-batch logistic regression with momentum-free adaptive steps
     w, b, m, v, mb, vb = np.zeros(len(chosen)), 0.0, 0.0, 0.0, 0.0, 0.0
