@@ -1,27 +1,34 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot k of the schedule stands at the fraction of k times the golden ratio; that
-point, mapped through the cumulative targets, names the slot's source, and the
-slot's rank among those of its source names the block to take. Each source's
-documents stand in a shuffled order that depends on their ids only; their words,
-in that order, are cut into blocks of equally many. A block is taken as often as
-ranks fall on it, at most three times.
+Each source's documents stand in a shuffled order that depends on their ids only;
+their words, in that order, are cut into blocks of equally many, up to one word. A
+source has blocks of its own size, a small part of its words and of its target, so
+how near it comes to its target does not depend on the other sources. Slot k of the
+schedule stands at the fraction of k times the golden ratio; that point, mapped
+through the sources' cumulative numbers of slots, names the slot's source, and the
+slot's rank among those of its source names the block to take. Slots beyond a source's
+number are not used, and those that the schedule still owes it follow at the end. A
+block is taken as often as ranks fall on it, at most three times.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.base import small_batches, words_of
 from logloom.operators.lineage import cut_lineage
 
-#: Slots of a schedule, at most; a block then has the words of the corpus through this.
+#: A block has the words of the corpus through this, at most.
 SLOTS = 1 << 20
+#: A block is this part of its source and of its source's target, at most, down to a word.
+LEAST_BLOCKS = 512
 #: Slots that are ranked together before the chunks' counts are added up.
 CHUNK = 4096
 #: A source's words are used so often, at most.
@@ -95,9 +102,13 @@ def mix(docs: DataFrame, slots: int = SLOTS, seed: int = 5) -> DataFrame:
     goal = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))])
     total = sum(sizes)
     block = max(1, -(-total // slots))
-    n_blocks = [-(-s // block) for s in sizes]
-    fields = "source string, idx int, source_size bigint, target double, n_blocks bigint"
-    dim = spark.createDataFrame([(r[0], i, sizes[i], float(goal[i]), n_blocks[i]) for i, r in enumerate(found)], fields)
+    n_blocks, need = [], []
+    for n, t in zip(sizes, goal, strict=True):
+        fine = LEAST_BLOCKS * max(1, math.ceil(n / t)) if t else 1
+        n_blocks.append(max(-(-n // block), min(n, fine)))
+        need.append(math.floor(t * n_blocks[-1] / n + Fraction(1, 2)) if n else 0)
+    fields = "source string, idx int, source_size bigint, target double, n_blocks bigint, need bigint"
+    dim = spark.createDataFrame([(r[0], i, sizes[i], float(goal[i]), n_blocks[i], need[i]) for i, r in enumerate(found)], fields)
     dim = F.broadcast(dim)  # as many rows as sources, counted above
     named = rows.join(dim.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     sure = cut_lineage(named.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.shiftright("h", 54)))
@@ -105,34 +116,45 @@ def mix(docs: DataFrame, slots: int = SLOTS, seed: int = 5) -> DataFrame:
     # where each document's words begin in its source: a sum inside hash buckets, and the buckets before
     inside = Window.partitionBy("idx", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = sure.groupBy("idx", "bucket").agg(F.sum("size").alias("words")).select(
-        "idx", "bucket", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("before")
+    buckets = sure.groupBy("idx", "bucket").agg(F.sum("size").alias("held")).select(
+        "idx", "bucket", F.coalesce(F.sum("held").over(upto), F.lit(0)).alias("before")
     )
     placed = sure.where("size > 0").withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(buckets, ["idx", "bucket"])
     placed = placed.withColumn("begin", F.col("inside") + F.col("before"))
 
     # how often each block is taken
-    cumulative = np.cumsum([0, *goal])[1:] if goal else []
-    cuts = np.array([int(Fraction(c, 1) * (1 << _POWER) / total) for c in cumulative[:-1]], np.int64) if total else np.zeros(0, np.int64)
-    plan = _schedule(spark, -(-total // block) if total else 0, cuts)
+    whole = sum(need)
+    cuts = np.array([c * (1 << _POWER) // whole for c in accumulate(need[:-1])], np.int64) if whole else np.zeros(0, np.int64)
+    plan = _schedule(spark, whole, cuts)
     counted = plan.groupBy("chunk", "idx").agg(F.count("*").alias("n"))
     before = counted.select(
         "chunk", "idx", F.coalesce(F.sum("n").over(Window.partitionBy("idx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier")
     )
     ranked = plan.join(before, ["chunk", "idx"]).select("idx", (F.col("place") + F.col("earlier")).alias("rank"))
+    had = counted.groupBy("idx").agg(F.sum("n").alias("had"))
+    owed = dim.select("idx", "need").join(had, "idx", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < need")
+    ranked = ranked.unionByName(owed.select("idx", F.explode(F.sequence("had", F.col("need") - 1)).alias("rank")))
     uses = (
-        ranked.join(dim.select("idx", "n_blocks"), "idx")
-        .where(F.col("rank") < F.col("n_blocks") * MOST)
+        ranked.join(dim.select("idx", "n_blocks", "need"), "idx")
+        .where("rank < need")
         .groupBy("idx", (F.col("rank") % F.col("n_blocks")).alias("block"))
         .agg(F.count("*").alias("times"))
     )
 
     end = F.col("begin") + F.col("size")
+
+    # block k begins at word k * source_size div n_blocks, so longer blocks are spread evenly; products may exceed a long
+    def block_of(word: str) -> Column:
+        return F.expr(f"(cast({word} + 1 as decimal(19, 0)) * cast(n_blocks as decimal(18, 0)) - 1) div source_size")
+
+    def block_at(k: str) -> Column:
+        return F.expr(f"(cast({k} as decimal(19, 0)) * cast(source_size as decimal(18, 0))) div n_blocks")
+
     spread = placed.select(
-        "idx", "doc_id", "source", "size", "source_size", "target", "begin",
-        F.explode(F.sequence(F.floor(F.col("begin") / block).cast("long"), F.floor((end - 1) / block).cast("long"))).alias("block"),
+        "idx", "doc_id", "source", "size", "source_size", "target", "begin", "n_blocks",
+        F.explode(F.sequence(block_of("begin"), block_of("begin + size - 1"))).alias("block"),
     )
-    part = F.least(end, (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
+    part = F.least(end, block_at("block + 1")) - F.greatest(F.col("begin"), block_at("block"))
     taken = (
         spread.join(uses, ["idx", "block"], "left")
         .groupBy("idx", "begin", "doc_id", "source", "size", "source_size", "target")

@@ -268,6 +268,25 @@ def test_mixing(spark, docs, empty):
             assert sorted((r.doc_id, r.taken) for r in m) == sorted((r.doc_id, r.taken) for r in one)
 
 
+def test_mixing_tiny_sources_beside_a_huge_one(spark):
+    """As many words in a slot as a corpus of billions would have: small sources still get their targets."""
+    rows = [(i, "huge", "w " * 1000) for i in range(400)] + [(1000 + i, "tiny", "w " * 30) for i in range(10)]
+    rows += [(2000, "none", "w w w w w"), *[(3000 + i, "small", "w " * 100) for i in range(30)]]
+    got = {}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), slots=100).collect():
+        assert r.taken <= 3 * r["size"]
+        t = got.setdefault(r.source, [0, r.target])
+        t[0] += r.taken
+    assert got["tiny"] == [900, 900.0] and got["none"] == [15, 15.0] and got["small"] == [9000, 9000.0]
+    assert abs(got["huge"][0] - got["huge"][1]) <= 0.001 * got["huge"][1]
+
+
+def test_mixing_blocks_of_one_and_two_words(spark):
+    rows = [(i, "a", "w " * 10) for i in range(70)] + [(100 + i, "b", "w " * 10) for i in range(80)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), slots=100).groupBy("source").agg(F.sum("taken"), F.max("target")).collect()
+    assert {r[0] for r in got} == {"a", "b"} and all(abs(r[1] - r[2]) <= 2 for r in got)
+
+
 def test_mixing_targets():
     assert mixing.targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
     got = mixing.targets([1000, 10, 10], [1, 2, 3])
