@@ -41,12 +41,15 @@ _TAG = re.compile(
     r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|$)",
     re.S,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: An attribute: its whole name, and its value if it has one.
+_ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _RAW, _HIDDEN, _FURNITURE, _BLOCKS, _VOID, _NAMED = map(frozenset, (RAW, HIDDEN, FURNITURE, BLOCKS, VOID, NAMED))
 #: A class that only says what stands beside an element.
 _BESIDE = ("has-", "with-", "no-", "without-")
+#: Attributes that may tell furniture.
+_TELLING = frozenset("class id role hidden aria-hidden style".split())
 ARTICLE, OPEN = "a", "o"
 
 
@@ -58,6 +61,8 @@ def _furniture(name: str, attrs: str, in_article: bool) -> bool:
         return False
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), (a or b or c).lower()
+        if key not in _TELLING:
+            continue
         if name == "article" and "comment" not in value:
             continue
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):

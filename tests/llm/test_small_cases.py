@@ -127,6 +127,14 @@ def test_html_blocks():
     assert [t for _, t in html_text.blocks("<p title='a>b'>x</p><p it's>y")] == ["x", "y"]
 
 
+def test_html_attributes_are_whole_names():
+    for tag in ('div data-sidebar="hidden"', 'section title="Hidden costs"', 'a href="/hidden/"', 'a href="/p?id=comments"', 'p data-id="ad-7"', "b title='class=menu'", 'p x-hidden'):
+        name = tag.split()[0]
+        assert html_text.blocks(f"<article><{tag}>text</{name}></article>") == [("a", "text")], tag
+    for tag in ("div hidden", 'div title="a" hidden', "div CLASS = 'x ads'", "div id=comments", 'div data-x="1"role="menu"', 'div aria-hidden="true"', 'div style="display: none"'):
+        assert html_text.blocks(f"<article><{tag}>text</div></article>") == [], tag
+
+
 def test_common_subsequence_is_longest():
     rng = random.Random(2)
     for _ in range(300):
