@@ -1,8 +1,8 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by exact digests of windows of lines, in place of winnowing.
 
 A window is the shortest run of lines, from a line on or up to a line, of at least
-``LEAST_WORDS`` words. Its fingerprint is its smallest line hash together with the
-digest of its lines, so any run of that many words that two places share contains
+``LEAST_WORDS`` words. Its fingerprint is the digest of its lines; the smallest line
+hash stands beside it and selects nothing. All windows are kept, so any run of that many words that two places share contains
 a shared fingerprint. Fingerprints are grouped, each group's earliest position is
 found, and all others are joined to it. Windows slide line by line and stand at
 both ends of a run, so the joined windows of one place, merged, are the match extended as
