@@ -25,6 +25,7 @@ from logloom.llm.base import PLAIN, mix, row_chunks, shingles, small_batches, st
 from logloom.operators.graph import connected_components
 from logloom.operators.lineage import cut_lineage
 
+#: The similarity is no parameter: bands, blocks and the check of the texts belong together.
 WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 4 registers: two texts of similarity 0.8 miss each other in all of them once in 20 million.
 BANDS, ROWS = 32, 4
@@ -212,7 +213,7 @@ def _apart(key, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, class_id, class_digest`` for every row of ``(doc_id, text)``.
 
     ``class_id`` is the smallest id of the component that links of at least
@@ -243,7 +244,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     chosen = ends(first).join(vertices.select("v", "first_id", F.col("digest").alias("own")), "v")
     own = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("own"))
     texts = cut_lineage(plain.join(chosen, own).select("v", "text").dropDuplicates(["v"]))
-    edges = cut_lineage(verified(first, texts, least).select("a", "b"))
+    edges = cut_lineage(verified(first, texts, SIMILARITY).select("a", "b"))
     parts = connected_components(edges, "a", "b")
 
     # members of a bucket that no chain of links joins yet
@@ -260,7 +261,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "band", "v", "n", "bands", "component", "elements"
     )
     second = cut_lineage(blocks.groupBy("bucket", "i", "j").applyInPandas(_apart, "a bigint, b bigint").distinct())
-    more = cut_lineage(verified(second, texts, least).select("a", "b"))
+    more = cut_lineage(verified(second, texts, SIMILARITY).select("a", "b"))
     if more.limit(1).count():
         parts = connected_components(edges.unionByName(more), "a", "b")
     labelled = vertices.join(parts, vertices["v"] == parts["vertex"], "left").select("digest", "first_id", F.coalesce("component", "v").alias("component"))
@@ -270,14 +271,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return signed.select("doc_id", "digest").join(named, "digest")
 
 
-def kept(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def kept(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their class: the one with the class's smallest id.
 
     Of rows equal in id and text one stays. Columns are those of ``docs``.
     """
     names = [f"`{c}`" for c in docs.columns]
     head = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
-    keys = classes(docs.select("doc_id", "text"), least).where(head).groupBy("doc_id", "digest").agg(F.count("*").alias("__times"))
+    keys = classes(docs.select("doc_id", "text")).where(head).groupBy("doc_id", "digest").agg(F.count("*").alias("__times"))
     keys = cut_lineage(keys.withColumnsRenamed({"doc_id": "__id", "digest": "__digest"}))
     rows = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("__digest")))
     once = rows.where("__times = 1").select(*names)

@@ -408,3 +408,10 @@ def test_near_duplicate_cases(docs, empty):
     assert kept.columns == docs.columns
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
     assert ids == sorted([1, 2, 4, 5, 8, 9, None], key=str)
+
+
+def test_near_duplicates_have_one_similarity(docs):
+    """Bands and blocks are made for it, so a caller cannot ask for another and silently lose links."""
+    for f in (near_dup.classes, near_dup.kept):
+        with pytest.raises(TypeError):
+            f(docs, 0.5)
