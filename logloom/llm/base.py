@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the contracts: a space and the characters from tab to carriage return.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -35,6 +36,29 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, whatever its case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def schema(df: DataFrame, *names: str, **added: str | T.DataType) -> T.StructType:
+    """The types of some columns of ``df`` and, after them, added ones."""
+    kinds = {f.name.lower(): f for f in df.schema.fields}
+    out = [T.StructField(n, kinds[n.lower()].dataType) for n in names]
+    return T.StructType(out + [T.StructField(n, T.DataType.fromDDL(t) if isinstance(t, str) else t) for n, t in added.items()])
+
+
 def words_of(text: Column) -> Column:
     """The array of runs of non-white-space; null and blank texts give an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), f"[{SPACE_CLASS}]+", -1)

@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -119,20 +120,26 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <ul><li>first<li>second</ul></article><div id="cookie-notice">Cookies</div><footer>Foot</footer></body></html>"""
 
 
-def test_html_blocks():
-    own = html_text.blocks(PAGE)
-    assert html_text.article_text(own) == "Head & title\nOne bold text é\nTwo lines\nfirst\nsecond"
-    assert html_text.blocks(None) == [] and html_text.blocks("") == [] and html_text.blocks("<p") == []
-    assert [t for _, t in html_text.blocks("<script>x</scrip><p>lost")] == [] and [t for _, t in html_text.blocks("a < b & c &lt;p&gt;")] == ["a < b & c <p>"]
-    assert [t for _, t in html_text.blocks("<p title='a>b'>x</p><p it's>y")] == ["x", "y"]
+def test_html_lines():
+    own = html_text.lines(PAGE)
+    assert html_text.main_text(own, None) == "Head & title\nOne bold text é\nTwo lines\nfirst\nsecond"
+    assert html_text.lines(None) == [] and html_text.lines("") == [] and html_text.lines("<p") == []
+    assert [t for _, t in html_text.lines("<script>x</scrip><p>lost")] == [] and [t for _, t in html_text.lines("a < b & c &lt;p&gt;")] == ["a < b & c <p>"]
+    assert [t for _, t in html_text.lines("<p title='a>b'>x</p><p it's>y")] == ["x", "y"]
+    assert [t for _, t in html_text.lines("<p>" + "İ" * 12 + "</p><SCRIPT>x</sCript >KEEP<p>b</p>")] == ["İ" * 12, "KEEP", "b"]  # İ has another length in lower case
+    assert html_text.lines("<article><p>a <span class='share-box'>x</span> b<p><a href=#>l</a>") == [("a", "a b"), ("l", "l")]
+    assert html_text.lines("<b>" * 20000 + "<p>x" * 20000 + "</i>" * 20000)[-1] == ("o", "x")
 
 
 def test_html_attributes_are_whole_names():
-    for tag in ('div data-sidebar="hidden"', 'section title="Hidden costs"', 'a href="/hidden/"', 'a href="/p?id=comments"', 'p data-id="ad-7"', "b title='class=menu'", 'p x-hidden'):
+    for tag in ('div data-sidebar="hidden"', 'section title="Hidden costs"', 'a href="/hidden/"', 'a href="/p?id=comments"', 'p data-id="ad-7"', "b title='class=menu'", 'p x-hidden', 'div class="post-share-story"', 'div class="post comment-open"', "div id=has-sidebar"):
         name = tag.split()[0]
-        assert html_text.blocks(f"<article><{tag}>text</{name}></article>") == [("a", "text")], tag
-    for tag in ("div hidden", 'div title="a" hidden', "div CLASS = 'x ads'", "div id=comments", 'div data-x="1"role="menu"', 'div aria-hidden="true"', 'div style="display: none"'):
-        assert html_text.blocks(f"<article><{tag}>text</div></article>") == [], tag
+        assert html_text.main_text(html_text.lines(f"<article><{tag}>text</{name}></article>"), None) == "text", tag
+    for tag in ("div hidden", 'div title="a" hidden', 'div aria-hidden="true"', 'div style="display: none"'):
+        assert html_text.lines(f"<article><{tag}>text</div></article>") == [], tag
+    for tag in ("div CLASS = 'x ads'", "div id=comments", 'div data-x="1"role="menu"', "div class=comment-list", "section id=cookie-notice-2"):
+        assert html_text.main_text(html_text.lines(f"<article><{tag}>text</{tag.split()[0]}>more</article>"), None) == "more", tag
+        assert html_text.main_text(html_text.lines(f"<{tag}>all there is</{tag.split()[0]}>"), None) == "all there is", tag
 
 
 def test_common_subsequence_is_longest():
@@ -143,28 +150,105 @@ def test_common_subsequence_is_longest():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        html_text.CELLS = rng.choice((4, 1 << 28))  # halves too
         got = sorted(html_text.common_subsequence(a, b))
+        html_text.CELLS = 1 << 28
         assert len(got) == best[-1][-1]
         j = 0
         for i in got:
             j = b.index(a[i], j) + 1
 
 
+def longest_common(a, b):
+    """All longest common subsequences of short lists, as sets of indexes of ``a``."""
+    best = {}
+
+    def go(i, j):
+        if i == len(a) or j == len(b):
+            return {frozenset()}
+        if (i, j) not in best:
+            found = go(i + 1, j) | go(i, j + 1)
+            if a[i] == b[j]:
+                found = found | {x | {i} for x in go(i + 1, j + 1)}
+            most = max(map(len, found))
+            best[i, j] = {x for x in found if len(x) == most}
+        return best[i, j]
+
+    return go(0, 0)
+
+
+def brute_text(rows, me):
+    """Texts that a page may have: by every longest common subsequence with its neighbour, found among all pages."""
+    place = lambda r: (*html_text.split_url(r[1]), hashlib.sha256((r[2] or "").encode()).hexdigest())
+    pages = sorted({place(r): r for r in rows}.items(), key=lambda x: "\x01".join(x[0]).encode())
+    k = [p for p, _ in pages].index(place(me))
+    near = [(len(os.path.commonprefix([p[1], pages[k][0][1]])), -j, r) for j, (p, r) in enumerate(pages) if abs(j - k) == 1 and p[0] == pages[k][0][0]]
+    own = html_text.lines(me[2])
+    own = [x for x in own if x[0] != "n"] or [("o", t) for _, t in own]
+    out = set()
+    other = html_text.lines(max(near)[2][2]) if near else []
+    other = [t for z, t in other if z != "n"] or [t for _, t in other]
+    for shared in longest_common([t for _, t in own], other):
+        shared = set() if len(shared) == len(own) else shared
+        stay = [x for i, x in enumerate(own) if x[0] == "a" or i not in shared]
+        parts = [[t for z, t in stay if (z == "o") == is_open] for is_open in (False, True)]
+        out.add("\n".join(parts[sum(map(len, parts[1])) > sum(map(len, parts[0]))]))
+    return out
+
+
+def test_page_differencing_against_brute_force(spark):
+    """Made sites with and without articles; every page has a neighbour's lines, and every result is one that all pairs give."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(160):
+        words = ["Home", "News", "Sport", "All rights reserved", f"own {i}", f"more {i % 3}", "x"]
+        some = lambda n: [rng.choice(words) for _ in range(rng.randint(0, n))]
+        part = lambda tag, n: "".join(f"<p>{t}</p>" if rng.random() < 0.7 else f"<p><a>{t}</a></p>" for t in some(n)).join((f"<{tag}>", f"</{tag}>"))
+        kind = rng.choice(["div", "div class=share", "article", "article"])
+        body = part("div", 3) + part(kind, 4).replace("</div class=share>", "</div>") + part("section", 2)
+        rows.append((i, f"http{rng.choice(['', 's'])}://h{rng.randint(0, 3)}.example/{rng.choice('ab')}/{rng.randint(0, 30)}{rng.choice(['', '/', '?q', '#t'])}", rng.choice([body, body, None])))
+    rows += [(200 + i, *rows[i][1:]) for i in range(6)] * 2 + [(300 + i, "https://h0.example/a/7", rows[3][2]) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r[0]: brute_text(rows, r) for r in rows}
+    told = []
+    for parts in ("1", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = [(r.page_id, r.text) for r in html_text.extract(df).collect()]
+        assert len(got) == len(rows) and all(text in want[i] for i, text in got)
+        told.append(sorted(got))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert told[0] == told[1]
+
+
+def test_neighbours_change_pages_with_and_without_an_article(spark):
+    plain = "<body><p>Welcome</p><p>body {0}</p><p>Imprint</p></body>"
+    article = "<body><article><p>prose {0}</p><p>quoted by many</p><ul><li><a>Share this</a></li></ul></article></body>"
+    teasers = "<body><article><p>card</p></article><div><p>Subscribe now</p><p>the long story of page {0}, told at length</p></div></body>"
+    for page, alone, beside in ((plain, "Welcome\nbody 1\nImprint", "body 1"), (article, "prose 1\nquoted by many\nShare this", "prose 1\nquoted by many"), (teasers, "Subscribe now\nthe long story of page 1, told at length", "the long story of page 1, told at length")):
+        for other, want in (("<body><p>else</p></body>", alone), (page.format(2), beside)):
+            df = spark.createDataFrame([(1, "http://h.example/a/1", page.format(1)), (2, "http://h.example/a/2", other)], "page_id long, url string, html string")
+            assert {r.page_id: r.text for r in html_text.extract(df).collect()}[1] == want
+
+
 def test_page_differencing(spark):
     shell = lambda body: f"<body><p>Welcome to our site</p>{body}<p>All rights reserved</p></body>"
     rows = [(i, f"https://h.example/{k}/{i}", shell(f"<p>own text {i}</p>")) for i, k in enumerate("aabbcc")]
     rows += [(10, "https://lone.example/x", shell("<p>alone</p>")), (11, "https://twin.example/1", shell("<p>same</p>")), (12, "https://twin.example/2", shell("<p>same</p>"))]
-    rows += [(20, None, "<p>no url</p>"), (21, "https://h.example/z", None), (22, "https://h.example/zz", ""), (23, "x", PAGE), (23, "x", PAGE), (None, "x", "<p>q</p>")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("text", F.lit("clash"))
+    rows += [(20, None, "<p>no url</p>"), (21, "https://h.example/z", None), (22, "https://h.example/zz", ""), (23, "x", PAGE), (23, "x", PAGE), (None, "x", "<p>q</p>"), (24, "y", "<p>" + LONG + "</p>" + "<p>z</p>" * 3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("key", "page", "text", "own", "bucket", "visited", "low", "n_chars"):
+        df = df.withColumn(name, F.lit("clash"))
     for parts in ("1", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         got = {r.page_id: r.text for r in html_text.extract(df).collect() if r.page_id is not None}
         assert [got[i] for i in (1, 2, 3, 4)] == [f"own text {i}" for i in (1, 2, 3, 4)]
         assert got[10] == "Welcome to our site\nalone\nAll rights reserved" and got[11] == got[12] == "Welcome to our site\nsame\nAll rights reserved"
-        assert got[20] == "no url" and got[21] == got[22] == "" and got[23].startswith("Head & title\n")
+        assert got[20] == "no url" and got[21] == got[22] == "" and got[23].startswith("Head & title\n") and len(got[24]) > len(LONG)
         assert html_text.extract(df).count() == len(rows)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert html_text.extract(df.limit(0)).count() == 0
+    names = html_text.extract(spark.createDataFrame([("p1", "u", "<p>x")], "page_id string, url string, html string")).collect()
+    assert [tuple(r) for r in names] == [("p1", "u", "x", 1)]
 
 
 def test_language(docs, empty):
