@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import decontaminate, line_dedup, mixing, near_dup, toxicity
-from logloom.llm.base import table
+from logloom.llm.base import fresh, table
 from logloom.llm.queries import fold
 from logloom.operators.lineage import cut_lineage
 
@@ -23,10 +23,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the runs of lines that an earlier place has; ``n_chars`` follows the text."""
-    names, out = docs.columns, line_dedup.dedup(docs)
+    names = docs.columns
+    counts = tuple(fresh(names, "n_lines", "n_deleted"))
+    out = line_dedup.dedup(docs, counts=counts)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[f"`{c}`" for c in names])
+        out = out.withColumn("n_chars", F.when(F.col(counts[1]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop(*counts)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

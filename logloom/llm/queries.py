@@ -38,7 +38,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_deleted"), "text")
+    return docs.select("doc_id", "n_lines", "n_deleted", "text")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle(), "op2_secret_scans": secrets.oracle(), "op6_decontamination": decontaminate.oracle()}
+    return {"op1_quality_rules": quality.oracle(), "op2_secret_scans": secrets.oracle(), "op5_line_dedup": line_dedup.oracle(), "op6_decontamination": decontaminate.oracle()}
