@@ -18,7 +18,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier, fitted on the labelled ones outside the held-out fold, does not reject."""
     labels = table(spark, sf_dir, "labels").where(~fold(5, 0))
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, model, "__toxicity").where(F.col("__toxicity") < REJECTED).drop("__toxicity")
+    (name,) = fresh(docs.columns, "toxicity")
+    return toxicity.score(docs, model, name).where(F.col(name) < REJECTED).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

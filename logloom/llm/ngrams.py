@@ -1,4 +1,4 @@
-"""Hashed n-grams of the bytes of words, over many rows at once."""
+"""Hashed n-grams of words, over many rows at once: of their bytes, or of their characters."""
 
 from __future__ import annotations
 
@@ -38,3 +38,52 @@ def row_sums(values: np.ndarray, begin: np.ndarray, offsets: np.ndarray) -> tupl
     cut = np.searchsorted(begin, offsets)
     total = np.concatenate(([0.0], np.cumsum(values, dtype=np.float64)))
     return total[cut[1:]] - total[cut[:-1]], np.diff(cut)
+
+
+#: White space of any script, and ASCII punctuation, which parts words unless a letter or digit stands on both sides.
+_SPACE = np.array([c for c in range(0x3001) if c == 0 or chr(c).isspace()], np.uint32)
+_MARK = np.zeros(128, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
+
+def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts in lower case, 0 where words part, and the row offsets; nulls are empty."""
+    low = [(t or "").lower() for t in texts]
+    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in low]))).astype(np.int64)
+    small = codes < 0x3001
+    blank = np.zeros(0x3001, bool)
+    blank[_SPACE] = True
+    space = small & blank[np.where(small, codes, 0)]
+    mark = (codes < 128) & _MARK[np.where(codes < 128, codes, 0)]
+    word = ~(space | mark)
+    inner = np.zeros(len(codes), bool)
+    inner[1:-1] = mark[1:-1] & word[:-2] & word[2:]
+    heads = offsets[1:-1]
+    heads = heads[(heads > 0) & (heads < len(codes))]
+    inner[heads] = inner[heads - 1] = False
+    codes[space | (mark & ~inner)] = 0
+    return codes, offsets
+
+
+def character_grams(codes: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], bits: int):
+    """Row and bucket of the n-grams of each size inside words, a word's edges counting as a character; no row's n-gram reaches into another."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    edge = codes == 0
+    each = _mixed(codes + np.uint32(0x9E3779B9))
+    rolled, whole = each, np.ones(len(codes), bool)
+    for k in range(2, max(sizes) + 1):
+        n = len(codes) - k + 1
+        if n <= 0:
+            return
+        rolled = rolled[:n] * np.uint32(0x21000193) + each[k - 1 :]
+        whole = whole[:n] & ~edge[k - 2 : k - 2 + n] if k > 2 else whole[:n]
+        if k in sizes:
+            at = np.flatnonzero(whole & (row[:n] == row[k - 1 :]))
+            yield row[at], _mixed(rolled[at] ^ np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)) & np.uint32((1 << bits) - 1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return x ^ (x >> np.uint32(16))

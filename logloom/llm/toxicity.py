@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-A text is the set of its hashed byte n-grams, from parts of a syllable to whole words, since
-toxic words may be built from syllables that are common elsewhere. Each feature's presence is scaled by
-the log of the ratio of its smoothed shares among toxic and other training rows,
-and an L2-regularised logistic regression is fitted on the scaled features. The
+A text is the set of its hashed character n-grams, from parts of a syllable to whole words, since
+toxic words may be built from syllables that are common elsewhere. Every bucket's presence is scaled by
+the log of the ratio of its smoothed shares among toxic and other training rows, moved towards
+zero by ``DOUBT`` standard errors of that log: what the sample says nothing of has the scale 0,
+at every size of the sample. An L2-regularised logistic regression is fitted on the scaled features. The
 product of scale and weight is one table by bucket, which scores whole texts.
 """
 
@@ -17,71 +18,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm.base import row_chunks, small_batches, string_bytes
-from logloom.llm.ngrams import grams
+from logloom.llm.base import named, row_chunks, small_batches, string_bytes
+from logloom.llm.ngrams import character_grams, characters
 from logloom.operators.lineage import cut_lineage
 
 BITS, SIZES = 20, (3, 4, 5, 6, 7, 8)
-#: Parts of the buckets; one at a time is on the driver while the features are counted.
-PARTS = 4
 #: Labelled rows that one fit may use, about: toxic ones and others.
 TRAIN_TOXIC, TRAIN_OTHER = 1500, 3000
-#: Features that the regression weighs: those with the largest difference of shares.
-FEATURES = 6000
-SMOOTHING, RIDGE, STEPS = 1.0, 3e-3, 300
+#: Bytes of their texts that one fit may use; a text of more than a sixteenth of that is not used.
+TRAIN_BYTES = 16 << 20
+SMOOTHING, DOUBT, RIDGE, STEPS = 0.5, 2.0, 1e-3, 200
+#: Features whose products are formed at once while fitting.
+CHUNK = 1 << 21
 
 
 @dataclass
 class Model:
-    table: np.ndarray  # weight by bucket, 0 for features left out
+    table: np.ndarray  # weight by bucket
     bias: float
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        rows = len(offsets) - 1
-        found = []
-        for size in SIZES:
-            bucket, begin = grams(data, offsets, size, BITS)
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        codes, offsets = characters(texts)
+        found = [np.zeros(0, np.int64)]
+        for row, bucket in character_grams(codes, offsets, SIZES, BITS):
             told = np.flatnonzero(self.table[bucket])
-            row = np.searchsorted(offsets, begin[told], "right") - 1
-            found.append((row.astype(np.int64) << BITS) | bucket[told])
+            found.append((row[told].astype(np.int64) << BITS) | bucket[told])
         present = np.unique(np.concatenate(found))
-        value = np.bincount(present >> BITS, weights=self.table[present & ((1 << BITS) - 1)], minlength=rows)
+        value = np.bincount(present >> BITS, weights=self.table[present & ((1 << BITS) - 1)], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(value + self.bias, -30, 30)))
 
 
-def _grams(batches):
-    """The distinct buckets of each text, those of a part in a column of its own and without the part's number."""
-    for batch in batches:
-        data, offsets = string_bytes(batch.column(3))
-        out = [[] for _ in range(PARTS)]
-        for i in range(batch.num_rows):
-            own = data[offsets[i] : offsets[i + 1]]
-            found = np.unique(np.concatenate([grams(own, np.array([0, len(own)]), size, BITS)[0] for size in SIZES]))
-            for part in range(PARTS):
-                out[part].append((found[found % PARTS == part] // PARTS).astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x, pa.binary()) for x in out]], names=["toxic", "ord", "digest", *[f"part{k}" for k in range(PARTS)]])
-
-
-def _chosen(index: np.ndarray):
-    """The features of each text: the places in ``index`` of its buckets, -1 for buckets that are none."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for parts in zip(*[c.to_pylist() for c in batch.columns[3:]], strict=True):
-                found = np.concatenate([index[np.frombuffer(x, np.int32) * PARTS + k] for k, x in enumerate(parts)])
-                out.append(found[found >= 0].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], names=["toxic", "ord", "digest", "feature"])
-
-    return run
-
+def _buckets(text: str) -> np.ndarray:
+    """The distinct buckets of a text."""
+    found = [bucket for _, bucket in character_grams(*characters([text]), SIZES, BITS)]
+    return np.unique(np.concatenate(found)).astype(np.int32) if found else np.zeros(0, np.int32)
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, other_rows: int = TRAIN_OTHER, seed: int = 11) -> Model | None:
-    """Fit on the rows of ``docs (doc_id, text)`` that ``labels (doc_id, toxic)`` marks.
 
-    Rows without an id, text or mark are not used. The draw is by the hash of the id, at a
-    rate for each mark that gives about the documented number of rows; the
-    intercept is moved back to the true share. None if a mark has no rows.
+def _counted(batches):
+    """``bucket, p, q``: toxic and other texts of the batch that have the bucket."""
+    for batch in batches:
+        found = [_buckets(t) for t in batch.column(1).to_pylist()]
+        marks = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in found])
+        bucket, at = np.unique(np.concatenate([np.zeros(0, np.int32), *found]), return_inverse=True)
+        p, n = np.bincount(at, weights=marks, minlength=len(bucket)), np.bincount(at, minlength=len(bucket))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in (bucket, p.astype(np.int32), n - p.astype(np.int32))], names=["bucket", "p", "q"])
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, other_rows: int = TRAIN_OTHER, text_bytes: int = TRAIN_BYTES, seed: int = 11
+) -> Model | None:
+    """Fit on the rows of ``docs (doc_id, text)`` that ``labels (doc_id, toxic)`` marks; other columns are ignored.
+
+    Rows without an id, text or mark are not used, and of rows with one id the least text. The
+    draw is by the hash of the id, at a rate for each mark that gives about the documented number of
+    rows, up to the documented bytes; the intercept is moved back to the true share. The
+    driver holds counts by bucket and the drawn rows' buckets of some scale. None if a mark has no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -89,82 +80,98 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, other
     n = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return None
-    grid = 1 << 24
-    rate = {k: min(grid, int(grid * most / n[k]) + 1) for k, most in ((1, toxic_rows), (0, other_rows))}
+    grid, rows = 1 << 24, {1: toxic_rows, 0: other_rows}
+    rate = {k: min(grid, int(grid * most / n[k]) + 1) for k, most in rows.items()}
     drawn = marked.withColumn("ord", F.xxhash64("doc_id", F.lit(seed))).where(
         F.pmod("ord", F.lit(grid)) < F.when(F.col("toxic") == 1, F.lit(rate[1])).otherwise(F.lit(rate[0]))
     )
     # bounded by the rows above, so it may be sent to all executors
     drawn = F.broadcast(drawn.orderBy("ord", "doc_id").limit(2 * (toxic_rows + other_rows)))
-    sample = docs.select("doc_id", "text").where("text is not null").join(drawn, "doc_id").select("toxic", "ord", F.md5("text").alias("digest"), "text")
-    names = [f"part{k}" for k in range(PARTS)]
-    sample = cut_lineage(sample.mapInArrow(_grams, "toxic int, ord bigint, digest string, " + ", ".join(f"{x} binary" for x in names)))
-
-    def first(rows: DataFrame) -> list:
-        """The same rows for every part: rows equal in mark, hash and digest are equal."""
-        return rows.orderBy("ord", "digest").limit(2 * (toxic_rows + other_rows)).collect()
-
-    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for part, name in enumerate(names):
-        for toxic, _, _, found in first(sample.select("toxic", "ord", "digest", name)):
-            (p if toxic else q)[np.frombuffer(found, np.int32) * PARTS + part] += 1
-    marks = [r[0] for r in first(sample.select("toxic", "ord", "digest"))]
-    n_p, n_q = sum(marks), len(marks) - sum(marks)
-    if not n_p or not n_q:
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= text_bytes // 16).join(drawn, "doc_id")
+    sample = cut_lineage(texts.groupBy("doc_id", "toxic", "ord").agg(F.min("text").alias("text")))
+    upto, free = {}, {k: text_bytes * most // (toxic_rows + other_rows) for k, most in rows.items()}
+    for toxic, place, size in sample.select("toxic", "ord", F.octet_length("text")).orderBy("ord").collect():
+        free[toxic] -= size
+        if free[toxic] >= 0:
+            upto[toxic] = place
+    if len(upto) < 2:
         return None
-    scale = np.log((p + SMOOTHING) / (n_p + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (n_q + 2 * SMOOTHING))
-    told = np.abs(p / n_p - q / n_q) * np.abs(scale)
-    told[p + q < 3] = 0
-    chosen = np.sort(np.argsort(-told, kind="stable")[:FEATURES])
-    chosen = chosen[told[chosen] > 0]
-    index = np.full(1 << BITS, -1, np.int32)
-    index[chosen] = np.arange(len(chosen))
-    rows = first(sample.mapInArrow(_chosen(index), "toxic int, ord bigint, digest string, feature binary"))
-    y = np.array([r[0] for r in rows], np.float64)
-    parts = [np.frombuffer(r[3], np.int32) for r in rows]
-    del rows
-    size = np.array([len(v) for v in parts])
-    col, row = np.concatenate(parts), np.repeat(np.arange(len(y)), size)
-    value = scale[chosen][col]
-    # full-batch logistic regression with momentum-free adaptive steps
-    w, b, m, v, mb, vb = np.zeros(len(chosen)), 0.0, 0.0, 0.0, 0.0, 0.0
+    used = sample.where(F.col("ord") <= F.when(F.col("toxic") == 1, F.lit(upto[1])).otherwise(F.lit(upto[0])))
+    sums = used.select("toxic", "text").mapInArrow(_counted, "bucket int, p int, q int").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    told = sums.toArrow()  # as many rows as buckets, at most
+    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    p[told["bucket"].to_numpy()], q[told["bucket"].to_numpy()] = told["p"].to_numpy(), told["q"].to_numpy()
+    counts = {r[0]: r[1] for r in used.groupBy("toxic").count().collect()}
+    scale = ratios(p, q, counts[1], counts[0])
+    shared = spark.sparkContext.broadcast(scale != 0)
+
+    def scaled(batches):
+        for batch in batches:
+            found = [_buckets(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([x[shared.value[x]].tobytes() for x in found], pa.binary())], names=["toxic", "ord", "bucket"])
+
+    found = used.select("toxic", "ord", "text").mapInArrow(scaled, "toxic int, ord bigint, bucket binary").orderBy("ord", "toxic", "bucket").collect()
+    y = np.array([r[0] for r in found], np.float64)
+    w, b = _regression([np.frombuffer(r[2], np.int32) for r in found], y, scale)
+    return Model((w * scale).astype(np.float32), float(b - np.log(counts[1] / counts[0]) + np.log(n[1] / n[0])))
+
+
+def ratios(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int) -> np.ndarray:
+    """Log-count ratios of buckets in ``p`` of ``n_p`` toxic and ``q`` of ``n_q`` other rows, nearer to zero by their doubt."""
+    ratio = np.log((p + SMOOTHING) / (n_p + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (n_q + 2 * SMOOTHING))
+    doubt = DOUBT * np.sqrt(1 / (p + SMOOTHING) + 1 / (q + SMOOTHING))
+    return np.where(p + q > 0, np.sign(ratio) * np.maximum(0, np.abs(ratio) - doubt), 0.0)
+
+
+def _regression(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights by bucket and the intercept: whole-batch logistic regression with adaptive steps, its products formed in parts."""
+    size = np.array([len(x) for x in rows])
+    index = np.full(len(scale), -1, np.int32)
+    known = np.flatnonzero(scale)
+    index[known] = np.arange(len(known))
+    col = index[np.concatenate(rows)]
+    value = scale[known]
+    upto = np.concatenate(([0], np.cumsum(size)))
+    cuts = np.unique(np.concatenate(([0, len(rows)], np.searchsorted(upto, np.arange(CHUNK, upto[-1], CHUNK)))))
+    parts = [(a, b, np.repeat(np.arange(b - a), size[a:b]), col[upto[a] : upto[b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    w, b, m, v, mb, vb = np.zeros(len(known)), 0.0, 0.0, 0.0, 0.0, 0.0
     for step in range(1, STEPS + 1):
-        z = np.bincount(row, weights=value * w[col], minlength=len(y)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.bincount(col, weights=value * error[row], minlength=len(chosen)) + RIDGE * w
-        gb = error.sum()
+        scaled, g, gb = value * w, RIDGE * w, 0.0
+        for i, j, row, own in parts:
+            z = np.bincount(row, weights=scaled[own], minlength=j - i) + b
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j]) / len(y)
+            g += value * np.bincount(own, weights=error[row], minlength=len(known))
+            gb += error.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fix1, fix2 = 1 - 0.9**step, 1 - 0.99**step
         pace = 0.02 * (1 - step / (STEPS + 1))
         w -= pace * (m / fix1) / (np.sqrt(v / fix2) + 1e-8)
         b -= pace * (mb / fix1) / (np.sqrt(vb / fix2) + 1e-8)
-    table = np.zeros(1 << BITS, np.float32)
-    table[chosen] = w * scale[chosen]
-    table[np.abs(table) < 1e-6] = 0
-    return Model(table, float(b - np.log(n_p / n_q) + np.log(n[1] / n[0])))
+    out = np.zeros(len(scale))
+    out[known] = w
+    return out, b
 
 
 def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the probability of toxicity in ``name``.
+    """All columns of ``docs`` and, last, the probability of toxicity in ``name``; a column of that name is replaced by it.
 
     A null text is an empty one and gets the score of no features. Without a
-    model every score is 0. Nothing is shuffled.
+    model every score is 0. Repeated rows come out repeated, an empty table stays empty; other columns may have any
+    names. A text is scored as a whole, by some 40 bytes for each of its characters. Nothing is shuffled.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    docs = docs.select(*[named(c) for c in docs.columns if c.lower() != name.lower()])
+    at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            data, offsets = string_bytes(batch.column(at))
+            texts = batch.column(at)
             out = [np.zeros(0)]
-            for i, j in row_chunks(offsets):
-                if model is None:
-                    out.append(np.zeros(j - i))
-                else:
-                    out.append(model.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+            for i, j in row_chunks(string_bytes(texts)[1]):
+                out.append(np.zeros(j - i) if model is None else model.scores(texts.slice(i, j - i).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out), pa.float64())], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

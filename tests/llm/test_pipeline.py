@@ -49,18 +49,11 @@ def test_held_out_language(spark):
 
 
 def test_held_out_toxicity(spark):
-    """English insults are learnable from few rows; the other languages need more of them than these tables have."""
+    """Every held-out labelled document, whatever its language, quality or length."""
     sf_dir = "/root/testdata/sf0.1"
     told = queries.op10_toxicity(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
-    told = told.join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang = 'en' and quality = 1")
-    row = told.agg(F.count_if((F.col("toxic") == 1) & (F.col("predicted") == 1)).alias("tp"), F.count_if(F.col("toxic") != F.col("predicted")).alias("wrong")).first()
-    assert row.tp > 20 and row.wrong <= 2
-
-
-def test_held_out_toxicity_of_other_languages(spark):
-    """Their toxic words are built from common syllables, so short n-grams do not show them."""
-    sf_dir = "/root/testdata/sf0.1"
-    told = queries.op10_toxicity(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
-    told = told.join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang <> 'en'")
-    row = told.agg(F.count_if(F.expr("toxic = 1 and predicted = 1")).alias("tp"), F.count_if(F.expr("toxic = 1")).alias("n"), F.count_if(F.expr("toxic = 0 and predicted = 1")).alias("wrong")).first()
-    assert row.tp >= 0.75 * row.n and row.wrong <= 2
+    told = told.join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
+    rows = {r.lang: r for r in told.groupBy("lang").agg(F.count_if(F.expr("toxic = 1 and predicted = 1")).alias("tp"), F.count_if(F.expr("toxic = 1")).alias("n"), F.count_if(F.expr("toxic = 0 and predicted = 1")).alias("wrong")).collect()}
+    print({k: tuple(r)[1:] for k, r in rows.items()})
+    assert sum(r.wrong for r in rows.values()) <= 2
+    assert rows["en"].tp >= 0.85 * rows["en"].n and sum(r.tp for k, r in rows.items() if k != "en") >= 0.75 * sum(r.n for k, r in rows.items() if k != "en")

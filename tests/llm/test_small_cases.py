@@ -410,11 +410,65 @@ def test_toxicity(spark, docs, empty):
     tests = spark.createDataFrame([(1, "a long paper about music, you IDIOT"), (2, "music and paper"), (3, None), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(tests, model).collect()}
     assert got[1] > 0.5 > got[2] and got[3] == got[4] < 0.5
-    assert toxicity.score(docs.select("doc_id", "text"), model).count() == len(ROWS) and toxicity.score(empty.select("doc_id", "text"), model).count() == 0
+    scored = toxicity.score(docs, model)  # the clashing column is replaced
+    assert sorted(scored.columns) == sorted(docs.columns) and scored.count() == len(ROWS) and scored.where("score between 0 and 1").count() == len(ROWS)
+    assert toxicity.fit(docs, df.select("doc_id", "toxic")) is not None and toxicity.score(empty, model).count() == 0
+    leet = spark.createDataFrame([(i, x + " music" + (" 1d10t!" if i % 4 == 0 else ""), int(i % 4 == 0)) for i, x in enumerate(clean * 20)], "doc_id long, text string, toxic int")
+    other = toxicity.score(spark.createDataFrame([("a", "You 1D10T"), ("b", "music")], "doc_id string, text string"), toxicity.fit(leet, leet))
+    assert {r.doc_id: r.score > 0.5 for r in other.collect()} == {"a": True, "b": False}
     assert toxicity.fit(empty.select("doc_id", "text"), df.limit(0).select("doc_id", "toxic")) is None
     assert {r.score for r in toxicity.score(tests, None).collect()} == {0.0}
 
 
+def test_character_grams_against_brute_force():
+    from logloom.llm.ngrams import character_grams, characters
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab1 .-é中İ\n") for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", None]
+    got = [set() for _ in texts]
+    for row, bucket in character_grams(*characters(texts), (2, 3, 5), 30):
+        for r, b in zip(row.tolist(), bucket.tolist(), strict=True):
+            got[r].add(b)
+    want, seen = [], {}
+    for text in texts:
+        low = (text or "").lower()
+        low = "".join(c if not (c.isspace() or c in ".-") or (c in ".-" and 0 < i < len(low) - 1 and all(not (x.isspace() or x in ".-") for x in low[i - 1 : i + 2 : 2])) else "\0" for i, c in enumerate(low))
+        want.append({low[i : i + k] for k in (2, 3, 5) for i in range(len(low) - k + 1) if "\0" not in low[i + 1 : i + k - 1]})
+    for g, w in zip(got, want, strict=True):
+        assert len(g) == len(w)
+        seen.update(dict.fromkeys(w))
+    assert len(set().union(*got)) == len(seen)
+
+
+def test_toxicity_weights_against_brute_force():
+    """The fitted weights lie where the loss of the regression, written out, is least."""
+    import numpy as np
+
+    rng = np.random.RandomState(1)
+    rows = [np.unique(rng.randint(0, 12, rng.randint(0, 8))).astype(np.int32) for _ in range(200)]
+    y = np.array([float(3 in x or (5 in x and 7 in x)) for x in rows])
+    p = np.array([sum(k in x for x, t in zip(rows, y, strict=True) if t) for k in range(12)], float)
+    q = np.array([sum(k in x for x, t in zip(rows, y, strict=True) if not t) for k in range(12)], float)
+    scale = toxicity.ratios(p, q, int(y.sum()), int(len(y) - y.sum()))
+    assert scale[3] == pytest.approx(np.log((p[3] + 0.5) / (y.sum() + 1)) - np.log((q[3] + 0.5) / (len(y) - y.sum() + 1)) - 2 * np.sqrt(1 / (p[3] + 0.5) + 1 / (q[3] + 0.5)))
+
+    def loss(w, b):
+        z = np.array([sum(w[k] * scale[k] for k in x) + b for x in rows])
+        return (np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)).mean() + toxicity.RIDGE / 2 * (w * w).sum()
+
+    toxicity.STEPS, steps = 3000, toxicity.STEPS
+    rows = [x[scale[x] != 0] for x in rows]
+    w, b = toxicity._regression(rows, y, scale)
+    toxicity.STEPS = steps
+    least = loss(w, b)
+    for k in np.flatnonzero(scale):
+        for by in (-0.02, 0.02):
+            other = w.copy()
+            other[k] += by
+            assert loss(other, b) > least - 1e-6
+    assert loss(w, b + 0.05) > least and loss(w, b - 0.05) > least
+
+
 def brute_classes(rows, least=0.8):
     from collections import Counter
 
