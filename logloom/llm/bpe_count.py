@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from logloom.llm.base import small_batches
+from logloom.llm.base import schema, small_batches
 
 #: Fixed value: the pattern of byte-level pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -130,7 +130,8 @@ def count(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     ``path`` names the vocabulary's JSON file, read once on the driver and sent
     to the workers (its size is that of the vocabulary). A null text is an empty
     one. Special strings in texts are single tokens, as the library has it by
-    default; none are added. Other columns are ignored, repeated rows repeated.
+    default; none are added. Other columns are ignored, repeated rows repeated, an
+    empty table stays empty. Of a very long text the pre-tokens are held beside it.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Merges.load(path))
@@ -152,4 +153,4 @@ def count(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, schema(docs, "doc_id", n_bytes="bigint", n_tokens="bigint", over_limit="boolean"))

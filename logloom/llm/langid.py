@@ -4,7 +4,8 @@ The model is trained by stochastic gradient descent in numpy, on a bounded sampl
 of labelled rows, on the driver; temperature and the rejection threshold are
 calibrated on rows that the descent does not see. Prediction reads whole texts:
 because the average and the softmax's input are linear, embeddings and output
-weights fold into one table of logits by bucket.
+weights fold into one table of logits by bucket where there are fewer languages than
+dimensions; else they stay apart, so the model has 64 bytes for a language.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.base import row_chunks, small_batches, string_bytes
+from logloom.llm.base import row_chunks, schema, small_batches, string_bytes
 from logloom.llm.ngrams import grams, row_sums
+from logloom.operators.lineage import cut_lineage
 
 BITS, SIZES, DIM = 14, (2, 3, 4), 16
 #: Labelled rows that one fit may use, about, in all; each language gets an even share.
 TRAIN_ROWS = 2000
+#: Bytes of their texts, in all; a text of more than a sixteenth of that is not used.
+TRAIN_BYTES = 8 << 20
 #: Share of the true-class probabilities of calibration rows below the rejection threshold.
 REJECT_SHARE = 0.01
-MAX_LANGUAGES = 2000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -37,24 +40,30 @@ def has_letter(text: str | None) -> bool:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # logits by language and bucket
+    embedding: np.ndarray  # by bucket
+    output: np.ndarray  # by dimension and language
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
 
+    def __post_init__(self):
+        folded = len(self.languages) < DIM
+        self.tables = np.ascontiguousarray((self.embedding @ self.output if folded else self.embedding).T)
+        self.rest = np.eye(len(self.languages), dtype=np.float32) if folded else self.output
+
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Unscaled logits by row."""
-        total, count = np.zeros((len(self.languages), len(offsets) - 1)), np.zeros(len(offsets) - 1)
+        """Unscaled logits by row and language."""
+        total, count = np.zeros((len(self.tables), len(offsets) - 1)), np.zeros(len(offsets) - 1)
         for size in SIZES:
             bucket, begin = grams(data, offsets, size, BITS)
-            for c in range(len(self.languages)):
-                value, n = row_sums(self.table[c][bucket], begin, offsets)
-                total[c] += value
+            for own, table in zip(total, self.tables, strict=True):
+                value, n = row_sums(table[bucket], begin, offsets)
+                own += value
             count += n
-        return total / np.maximum(count, 1) + self.bias[:, None]
+        return (total / np.maximum(count, 1)).T @ self.rest + self.bias
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return softmax(self.logits(data, offsets).T / self.temperature)
+        return softmax(self.logits(data, offsets) / self.temperature)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -77,23 +86,28 @@ def _features(rows):
         )
 
 
-def fit(train: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 12, seed: int = 7) -> Model | None:
+def fit(train: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES, epochs: int = 12, seed: int = 7) -> Model | None:
     """Fit on ``(doc_id, text, lang)``; rows without text or language are not used. None if nothing is left.
 
-    Rows are drawn by the hash of their id and language, each language at the rate that
-    gives it about its share of ``rows``.
+    Rows are drawn by the hash of their id and text, each language at the rate that
+    gives it about its share of ``rows``, one row at least, and up to its share of the bytes. Other columns are ignored.
     """
     small_batches(train.sparkSession)
-    usable = train.where("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    usable = train.where(F.col("lang").isNotNull() & (F.octet_length("text") <= text_bytes // 16)).select("lang", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("ord"))
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}  # a row for each learnt value
     if not counts:
         return None
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share, grid = max(1, rows // len(counts)), 1 << 24
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(grid, int(grid * share / n) + 1))])
-    drawn = usable.withColumn("ord", F.xxhash64("doc_id", F.lit(seed))).where(F.pmod("ord", F.lit(grid)) < F.element_at(rate, F.col("lang")))
-    sample = drawn.select("lang", "ord", "text").mapInArrow(_features, "lang string, ord bigint, bucket binary, share binary").orderBy("ord", "lang").limit(2 * rows).collect()
+    dim = train.sparkSession.createDataFrame([(lang, min(grid, int(grid * share / n) + 1)) for lang, n in counts.items()], "lang string, rate int")
+    drawn = usable.join(dim, "lang").where(F.pmod("ord", F.lit(grid)) < F.col("rate")).drop("rate").dropDuplicates(["lang", "ord"])
+    drawn = cut_lineage(drawn.orderBy("ord", "lang").limit(2 * share * len(counts)))
+    upto, free = {}, dict.fromkeys(counts, text_bytes // len(counts))
+    for lang, place, size in drawn.select("lang", "ord", F.octet_length("text")).orderBy("ord").collect():
+        free[lang] -= size
+        if free[lang] >= 0 or lang not in upto:
+            upto[lang] = place
+    ends = train.sparkSession.createDataFrame(list(upto.items()), "lang string, upto bigint")
+    sample = drawn.join(ends, "lang").where("ord <= upto").select("lang", "ord", "text").mapInArrow(_features, "lang string, ord bigint, bucket binary, share binary").orderBy("ord", "lang").collect()
     languages = sorted({r[0] for r in sample})
     x = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in sample]
     y = np.array([languages.index(r[0]) for r in sample])
@@ -119,9 +133,9 @@ def fit(train: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 12, seed: int =
             bias -= pace * 0.1 * error.mean(axis=0)
             for g, i in zip(back, at, strict=True):
                 emb[x[i][0]] -= (pace * 20) * x[i][1][:, None] * g
-    model = Model(languages, np.ascontiguousarray((emb @ out).T), bias)
+    model = Model(languages, emb, out, bias)
     check = np.flatnonzero(held) if held.any() else np.arange(len(x))
-    raw = np.stack([x[i][1] @ model.table.T[x[i][0]] + bias for i in check])
+    raw = np.stack([x[i][1] @ emb[x[i][0]] @ out + bias for i in check])
     loss = lambda t: -np.log(np.maximum(softmax(raw / t)[np.arange(len(check)), y[check]], 1e-12)).mean()
     model.temperature = float(min((2.0**k for k in np.arange(-4, 4.25, 0.25)), key=loss))
     own = softmax(raw / model.temperature)[np.arange(len(check)), y[check]]
@@ -130,9 +144,10 @@ def fit(train: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 12, seed: int =
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``doc_id, lang_pred, score, rejected`` for every row; ``und`` with score 0 for a null text or one without a letter.
+    """``doc_id, lang_pred, score, rejected`` for every row of ``(doc_id, text)``; ``und`` with score 0 for a null text or one without a letter.
 
-    ``lang_pred`` is the likeliest learned language even where ``rejected`` says
+    Repeated rows come out repeated, an empty table stays empty, other columns are ignored. A text is read as a
+    whole, by some 50 bytes for each of its own. ``lang_pred`` is the likeliest learned language even where ``rejected`` says
     that its calibrated probability is below the threshold. Without a model all is ``und``.
     """
     small_batches(docs.sparkSession)
@@ -161,4 +176,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, schema(docs, "doc_id", lang_pred="string", score="double", rejected="boolean"))
