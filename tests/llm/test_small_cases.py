@@ -317,7 +317,7 @@ def brute_hits(text, items, n=10):
                 if w[b : b + k] == g[a : a + k]:
                     hit |= set(range(b, b + k))
                     ids.add(item)
-    return len(w), len(hit), sorted(map(str, ids))
+    return len(w), len(hit), sorted(map(str, ids - {None})) + [None] * (None in ids)
 
 
 def test_decontamination_against_brute_force(spark, docs, empty, monkeypatch):
@@ -327,20 +327,24 @@ def test_decontamination_against_brute_force(spark, docs, empty, monkeypatch):
     items = [(i, text(rng.randint(0, 14))) for i in range(25)] + [(3, "only twice"), (None, None), (99, "c c")]
     rows = [(i, text(rng.randint(0, 60))) for i in range(60)] + [(100, items[0][1] + " ONLY-twice " + items[1][1].upper()), (101, None), (102, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = sorted((i, *brute_hits(t, [x for x in items if x[0] is not None])) for i, t in rows)
-    for limit in (decontaminate.MAX_BROADCAST_BYTES, 300):
-        monkeypatch.setattr(decontaminate, "benchmark_blocks", (lambda f, m: lambda s, b: f(s, b, m))(_BLOCKS, limit))
-        found = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), bench)
-        assert sorted((r.doc_id, r["__all"], len(r["__places"]) // 2, list(r["__items"])) for r in found.collect()) == want
+    items += [(500 + i, items[2][1]) for i in range(40)]  # copies
+    for windows, size in ((None, None), (7, None), (1000, 100)):
+        monkeypatch.setattr(decontaminate, "MAX_WINDOWS", windows or 1 << 20)
+        monkeypatch.setattr(decontaminate, "MAX_BYTES", size or 16 << 20)
+        if windows:
+            assert max(sum(len(t[0]) for t in b.tables.values()) for b in decontaminate.gram_blocks([(str(i), t) for i, t in items])) <= windows
+        some = items[:8] if windows == 7 else items
+        want = sorted((i, *brute_hits(t, some)) for i, t in rows)
+        found = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string").withColumn("items", F.lit("clash")), spark.createDataFrame(some, "item_id long, text string"))
+        assert sorted((r.doc_id, r.n_all, len(r.places) // 2, list(r["items"])) for r in found.collect()) == want
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.without_documents(docs, bench).columns == decontaminate.without_spans(docs, bench).columns == docs.columns
     assert decontaminate.digest(docs, bench).count() == len(ROWS) and decontaminate.digest(empty, bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.digest(docs, bench.limit(0)).collect())
     cut = {r.doc_id: r.text for r in decontaminate.without_spans(spark.createDataFrame([(1, "Keep ONLY, twice! this"), (2, "free")], "doc_id long, text string"), spark.createDataFrame([(1, "only twice")], "item_id long, text string")).collect()}
     assert cut == {1: "Keep ! this", 2: "free"}
 
 
-_BLOCKS = decontaminate.benchmark_blocks
-
-
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and all(r.taken <= 3 * r["size"] for r in got) and mixing.mix(empty).count() == 0
