@@ -9,8 +9,10 @@ of their weighted Jaccard similarity, and a process stops once its time exceeds
 the latest register. Bands of registers name buckets. Every member of a bucket is
 checked against its leader, the member that shares most buckets with others: of a
 group of edited copies that is one near the original. Components are formed, and
-members of a bucket that are still apart are compared with each other inside tasks, in
-blocks of bounded size that pass on a spanning set of links only, never the pairs.
+members of a bucket that are still apart are compared with each other inside tasks. They are dealt by
+component, so members that are joined already do not meet again: a large component has chunks
+of its own, which meet the other chunks only, and chunks are bounded in rows and in
+shingles. What passes on is a spanning set of links, never the pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.base import PLAIN, mix, row_chunks, shingles, small_batches, string_bytes, tokens
+from logloom.llm.base import PLAIN, fresh, mix, named, row_chunks, schema, shingles, small_batches, string_bytes, tokens
 from logloom.operators.graph import connected_components
 from logloom.operators.lineage import cut_lineage
 
@@ -30,8 +32,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 4 registers: two texts of similarity 0.8 miss each other in all of them once in 20 million.
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-#: Members of a bucket that are compared with as many others in one task at a time.
-BLOCK = 1024
+#: Members of a bucket that are compared with as many others in one task at a time, and their shingles, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 #: Blocks compare shingles by 32-bit hashes; links this near the threshold are decided by the texts.
 MARGIN = 0.01
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
@@ -172,7 +174,7 @@ def _apart(key, frame: pd.DataFrame) -> pd.DataFrame:
     A pair is compared only in the first band in which it agrees.
     """
     _, i, j = key
-    frame = frame.sort_values("v", kind="stable").reset_index(drop=True)
+    frame = frame.sort_values("v", kind="stable").reset_index(drop=True)  # chunk i and chunk j of a bucket, or one alone
     side = frame["chunk"].to_numpy()
     bands_ = np.stack(frame["bands"].to_list())
     band = int(frame["band"].iloc[0])
@@ -214,18 +216,21 @@ def _apart(key, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, class_id, class_digest`` for every row of ``(doc_id, text)``.
+    """``doc_id, digest, class_id, class_digest, kept`` for every row of ``(doc_id, text)``; other columns are ignored.
 
     ``class_id`` is the smallest id of the component that links of at least
-    the similarity form, ``class_digest`` the digest of that document's text. Equal texts share a class, and are one vertex. A text of 1 to 4
-    words is one shingle; a null text or one without words shares its class with
+    the similarity form, ``class_digest`` the digest of that document's text; ``kept`` is true for one row of that id and text. Equal texts share a
+    class, and are one vertex. A text of 1 to 4 words is one shingle; a null text or one without words shares its class with
     equal texts only (a null text counts as empty). Null ids are kept and are the class id
-    only where a class has no other. Repeated rows come out repeated.
+    only where a class has no other. Repeated rows come out repeated, an empty table stays empty. A very long text is
+    one row of 8 bytes for each of its words while it is compared.
     """
     small_batches(docs.sparkSession)
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
-    signed = cut_lineage(plain.select("doc_id", "digest", "text").mapInArrow(_signed, "doc_id bigint, digest string, n bigint, bands array<bigint>"))
-    distinct = signed.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    signed = plain.select("doc_id", "digest", "text").mapInArrow(_signed, schema(docs, "doc_id", digest="string", n="bigint", bands="array<bigint>"))
+    signed = cut_lineage(signed.withColumn("row", F.monotonically_increasing_id()))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    distinct = signed.groupBy("digest").agg(head.alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     vertices = cut_lineage(distinct.withColumn("v", F.monotonically_increasing_id()))
     buckets = vertices.where("n > 0").select("v", "n", F.posexplode("bands").alias("band", "bucket"))
     crowds = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
@@ -241,7 +246,7 @@ def classes(docs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
 
     # every vertex that shares a bucket is in a pair; their texts are fetched once
-    chosen = ends(first).join(vertices.select("v", "first_id", F.col("digest").alias("own")), "v")
+    chosen = ends(first).join(vertices.select("v", F.col("head.doc_id").alias("first_id"), F.col("digest").alias("own")), "v")
     own = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("own"))
     texts = cut_lineage(plain.join(chosen, own).select("v", "text").dropDuplicates(["v"]))
     edges = cut_lineage(verified(first, texts, SIMILARITY).select("a", "b"))
@@ -251,38 +256,50 @@ def classes(docs: DataFrame) -> DataFrame:
     told = vertices.join(parts, vertices["v"] == parts["vertex"], "left").select("v", "bands", F.coalesce("component", "v").alias("component"))
     spread = buckets.select("v", "n", "band", "bucket").join(told.select("v", "component"), "v")
     split = spread.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-    split = split.where("low <> high and members > 2").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("chunks"))
-    open_ = cut_lineage(spread.join(split, "bucket"))
+    open_ = cut_lineage(spread.join(split.where("low <> high and members > 2").select("bucket"), "bucket"))
+    # chunks: of one large component, or of several small ones
+    sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    filled = F.greatest(F.col("rows") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)
+    owners = cut_lineage(sizes.select("bucket", "component", "rows", "shingles", F.when(filled > 0.5, F.col("component")).otherwise(-1).alias("owner")))
+    dealt = owners.groupBy("bucket", "owner").agg(F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")).select("bucket", "owner", F.ceil(filled).cast("int").alias("chunks"))
+    chunk = lambda owner, k: F.concat_ws(":", owner.cast("string"), k.cast("string"))
+    every = dealt.select("bucket", "owner", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k"))
+    every = every.groupBy("bucket").agg(F.collect_list(F.struct("owner", chunk(F.col("owner"), F.col("k")).alias("name"))).alias("every"))
     elements = texts.join(open_.select("v").distinct(), "v", "left_semi").mapInArrow(_elements, "v bigint, elements array<int>")
     short = F.transform("bands", lambda x: F.hash(x))  # 32 bits are enough to tell bands apart
     members = cut_lineage(elements.join(told.select("v", short.alias("bands")), "v"))
-    placed = open_.join(members, "v").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
-    blocks = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
-        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "band", "v", "n", "bands", "component", "elements"
-    )
+    owned = open_.join(owners.select("bucket", "component", "owner"), ["bucket", "component"]).join(dealt, ["bucket", "owner"])
+    # a small component stays in one chunk; a large one is spread over its own
+    key = F.when(F.col("owner") < 0, F.col("component")).otherwise(F.col("v"))
+    named_ = owned.withColumn("chunk", chunk(F.col("owner"), F.pmod(F.xxhash64(key), F.col("chunks"))))
+    meeting = F.filter("every", lambda x: (x["owner"] != F.col("owner")) | (F.col("owner") < 0))
+    met = named_.join(every, "bucket").select("bucket", "chunk", "band", "v", "n", "component", F.explode(meeting).alias("other"))
+    pairs = met.select("bucket", F.least("chunk", "other.name").alias("i"), F.greatest("chunk", "other.name").alias("j"), "chunk", "band", "v", "n", "component")
+    blocks = pairs.join(members, "v")
     second = cut_lineage(blocks.groupBy("bucket", "i", "j").applyInPandas(_apart, "a bigint, b bigint").distinct())
     more = cut_lineage(verified(second, texts, SIMILARITY).select("a", "b"))
     if more.limit(1).count():
         parts = connected_components(edges.unionByName(more), "a", "b")
-    labelled = vertices.join(parts, vertices["v"] == parts["vertex"], "left").select("digest", "first_id", F.coalesce("component", "v").alias("component"))
-    order = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("class_id"), F.col("digest").alias("class_digest"))
-    heads = labelled.groupBy("component").agg(F.min(order).alias("head")).select("component", "head.class_id", "head.class_digest")
-    named = cut_lineage(labelled.join(heads, "component").select("digest", "class_id", "class_digest"))
-    return signed.select("doc_id", "digest").join(named, "digest")
+    labelled = vertices.join(parts, vertices["v"] == parts["vertex"], "left").select("digest", "head", F.coalesce("component", "v").alias("component"))
+    order = F.struct("head.none", F.col("head.doc_id").alias("class_id"), F.col("digest").alias("class_digest"), F.col("head.row").alias("class_row"))
+    heads = labelled.groupBy("component").agg(F.min(order).alias("top")).select("component", "top.class_id", "top.class_digest", "top.class_row")
+    found = cut_lineage(labelled.join(heads, "component").select("digest", "class_id", "class_digest", "class_row"))
+    return signed.join(found, "digest").select("doc_id", "digest", "class_id", "class_digest", (F.col("row") == F.col("class_row")).alias("kept"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: the one with the class's smallest id.
+    """The rows of ``docs`` that stand for their class, one of each: that of the class's smallest id.
 
-    Of rows equal in id and text one stays. Columns are those of ``docs``.
+    Of rows equal in id and text one stays. Columns are those of ``docs``, whatever their names; nulls, empty and very long texts as in :func:`classes`.
     """
-    names = [f"`{c}`" for c in docs.columns]
+    names = docs.columns
+    id_, digest, times = fresh(names, "id", "digest", "times")
+    keys = classes(docs.select("doc_id", "text"))
     head = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
-    keys = classes(docs.select("doc_id", "text")).where(head).groupBy("doc_id", "digest").agg(F.count("*").alias("__times"))
-    keys = cut_lineage(keys.withColumnsRenamed({"doc_id": "__id", "digest": "__digest"}))
-    rows = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("__digest")))
-    once = rows.where("__times = 1").select(*names)
-    again = rows.where("__times > 1")
-    if not keys.where("__times > 1").limit(1).count():
+    keys = cut_lineage(keys.where(head).groupBy("doc_id", "digest").agg(F.count("*").alias("times")).toDF(id_, digest, times))
+    rows = docs.join(keys, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.md5(F.coalesce("text", F.lit(""))) == F.col(digest)))
+    own = [named(c) for c in names]
+    once = rows.where(F.col(times) == 1).select(*own)
+    if not keys.where(F.col(times) > 1).limit(1).count():
         return once
-    return once.unionByName(again.dropDuplicates(["__id", "__digest"]).select(*names))
+    return once.unionByName(rows.where(F.col(times) > 1).dropDuplicates([id_, digest]).select(*own))

@@ -522,6 +522,7 @@ def test_near_duplicates_against_all_pairs(spark):
 def test_blocks_find_what_the_star_misses(spark, monkeypatch):
     """A chain of edits: neighbours are alike, ends are not, so most links are not with a leader. Small blocks meet too."""
     monkeypatch.setattr(near_dup, "BLOCK", 3)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 700)
     rng = random.Random(2)
     rows, words = [], [f"w{i}" for i in range(200)]
     for i in range(24):
@@ -545,6 +546,9 @@ def test_signature_estimates_weighted_similarity():
 
 def test_near_duplicate_cases(docs, empty):
     got = near_dup.classes(docs).collect()
+    assert sum(r.kept for r in got) == near_dup.kept(docs).count() and {r.kept for r in got} == {True, False}
+    twice = near_dup.classes(docs.sparkSession.createDataFrame([(None, None), (None, None), ("5", "a b"), ("5", "a b"), ("4", "c")], "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), r.kept) for r in twice) == [("4", True), ("5", False), ("5", True), ("None", False), ("None", True)]
     assert len(got) == len(ROWS) and near_dup.classes(empty).count() == 0 and near_dup.kept(empty).count() == 0
     kept = near_dup.kept(docs)
     assert kept.columns == docs.columns
