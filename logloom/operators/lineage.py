@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return it reread.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``, or that is set already.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a
-    session without that setting (tests, a laptop) gets a temporary one. The
-    result survives the loss of any executor.
+    Only a local session without that setting (tests, a laptop) gets a temporary one; on a cluster that is an error,
+    since executors could not read what others wrote there.
     """
-    spark = df.sparkSession
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir().get()
+
+
+def new_table_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no table has yet."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and return it reread; the result survives the loss of any executor.
+
+    The cleaner removes files of a checkpoint that nothing refers to any more where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
