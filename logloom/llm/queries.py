@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from logloom.llm import bpe_count, decontaminate, html_text, langid, line_dedup, mixing, near_dup, quality, secrets, toxicity
 from logloom.llm.base import table
+from logloom.operators.lineage import new_table_path
 
 VOCABULARY = "byte_bpe_50k.json"
+#: The setting that names a ledger of scanned blobs to go on with.
+LEDGER = "spark.logloom.secrets.ledger"
 
 
 def fold(parts: int, which: int) -> Column:
@@ -21,8 +24,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the ledger that the session names, or else a new one, so that all is scanned."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    return secrets.digest(secrets.scan(docs)[0])
+    ledger = spark.conf.get(LEDGER, None) or new_table_path(spark, "secret-ledger")
+    return secrets.digest(secrets.scan_into(docs, ledger))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Secret scans with an incremental ledger of content-addressed blobs.
 
 Only DataFrame operations and built-in functions are used. A blob is the SHA-256
-of a text; the ledger holds a row for each (blob, rule version) that was ever
+of a text; the ledger is a Parquet table with a row for each (blob, rule version) that was ever
 scanned. A run scans the blobs without such a row, each once however many paths
-hold it, and joins the spans back to all paths.
+hold it, appends them to the ledger, and joins the ledger's spans back to all paths.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.lineage import cut_lineage
 
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 #: (kind, cheap test that every match implies, pattern, group whose length counts, least length).
 #: The first three are the base kinds; their order is the order of equal starts.
 RULES = (
@@ -22,13 +22,13 @@ RULES = (
     ("hex", None, r"[0-9a-f]{32,}", 0, 32),
     ("github", "_", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("slack", "xox", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
-    ("jwt", "eyJ", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29),
+    ("jwt", "eyJ", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}", 0, 29),
     ("pem", "PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
-    ("url", "://", r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D:/@]{1,100}:[^\x20\x09-\x0D:/@]{1,200}@", 0, 8),
+    ("url", "://", r"://[^\x20\x09-\x0D:/@]++:[^\x20\x09-\x0D:/@]++@", 0, 7),
 )
 BASE_KINDS = ("assign", "access", "hex")
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string>>"
-#: Lengths are summed in blocks, so that a text with many matches costs its matches times this, not their square.
+#: Lengths are summed in blocks, and blocks in larger ones: a match costs two blocks and the number of the largest.
 BLOCK = 256
 
 
@@ -39,15 +39,16 @@ def _spans(text: Column, ordinal: int, kind: str, needle: str | None, pattern: s
     """
     p = F.lit(pattern)
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + b)
+    part_of = lambda xs, size: F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / size).cast("int")), lambda b: total(F.slice(xs, b * size + 1, F.lit(size))))
 
     def place(z: Column) -> Column:
         match, part, lens = z["match"], z["part"], z["lens"]
-        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lens) / BLOCK).cast("int")), lambda b: total(F.slice(lens, b * BLOCK + 1, F.lit(BLOCK))))
 
         def with_blocks(sums: Column) -> Column:
             def one(g: Column, i: Column) -> Column:
-                whole = F.floor(i / BLOCK).cast("int")
-                before = total(F.slice(sums, F.lit(1), whole)) + total(F.slice(lens, whole * BLOCK + 1, i - whole * BLOCK))
+                block, large = F.floor(i / BLOCK).cast("int"), F.floor(i / (BLOCK * BLOCK)).cast("int")
+                before = total(F.slice(sums["large"], F.lit(1), large))
+                before += total(F.slice(sums["small"], large * BLOCK + 1, block - large * BLOCK)) + total(F.slice(lens, block * BLOCK + 1, i - block * BLOCK))
                 start = before + F.length(part[i])
                 return F.struct(
                     start.alias("start"), F.lit(ordinal).alias("ord"), (start + F.length(match[i])).alias("end"), F.lit(kind).alias("kind"), F.length(g).alias("n")
@@ -55,7 +56,8 @@ def _spans(text: Column, ordinal: int, kind: str, needle: str | None, pattern: s
 
             return F.transform(z["group"], one)
 
-        return F.transform(F.array(blocks), with_blocks)[0]
+        both = F.transform(F.array(part_of(lens, BLOCK)), lambda x: F.struct(x.alias("small"), part_of(x, BLOCK).alias("large")))
+        return F.transform(both, with_blocks)[0]
 
     found = F.struct(
         F.regexp_extract_all(text, p, F.lit(0)).alias("match"),
@@ -83,27 +85,56 @@ def spans(text: Column, rules=RULES) -> Column:
     return F.sort_array(F.concat(*[_spans(text, i, *rule) for i, rule in enumerate(rules)]))
 
 
+def _unseen(versions: DataFrame, seen: DataFrame | None, rule_version: str) -> DataFrame:
+    """``blob, rule_version, spans`` of the blobs of ``(path, blob, text)`` that ``seen (blob)`` lacks, each scanned once."""
+    # one path per blob stands for the text, so only that row's text is moved
+    blobs = versions.groupBy("blob").agg(F.min("path").alias("path"))
+    if seen is not None:
+        blobs = blobs.join(seen, "blob", "left_anti")
+    chosen = blobs.select(F.col("path").alias("chosen"), F.col("blob").alias("chosen_blob")).hint("shuffle_hash")
+    texts = versions.select("path", "text").join(chosen, F.col("path").eqNullSafe(F.col("chosen"))).where(F.sha2("text", 256) == F.col("chosen_blob"))
+    scanned = texts.select(F.col("chosen_blob").alias("blob"), spans(F.col("text")).alias("spans"))
+    return scanned.dropDuplicates(["blob"]).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+
+
+def _named(versions: DataFrame) -> DataFrame:
+    return versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+
+
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """Scan ``(path, text)`` and return ``(findings, ledger)``.
 
     ``findings`` has ``path, blob, spans`` for every input row; ``ledger`` the
     given rows and one for each newly scanned blob, for the next run. A null text
     is an empty one; a null path is a path like any other; a row given twice
-    comes out twice. Other columns of ``versions`` are ignored.
+    comes out twice; an empty table has no findings. Other columns of ``versions`` are ignored, whatever
+    their names. A text is scanned as a whole.
     """
-    named = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    # one path per blob stands for the text, so only that row's text is moved
-    blobs = named.groupBy("blob").agg(F.min("path").alias("path"))
-    if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
-        blobs = blobs.join(seen, "blob", "left_anti")
-    chosen = blobs.select(F.col("path").alias("chosen"), F.col("blob").alias("chosen_blob")).hint("shuffle_hash")
-    texts = named.select("path", "text").join(chosen, F.col("path").eqNullSafe(F.col("chosen"))).where(F.sha2("text", 256) == F.col("chosen_blob"))
-    scanned = texts.select(F.col("chosen_blob").alias("blob"), spans(F.col("text")).alias("spans"))
-    fresh = cut_lineage(scanned.dropDuplicates(["blob"]).select("blob", F.lit(rule_version).alias("rule_version"), "spans"))
+    named = _named(versions)
+    seen = None if ledger is None else ledger.where(F.col("rule_version") == rule_version).select("blob")
+    fresh = cut_lineage(_unseen(named, seen, rule_version))
     book = fresh if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(fresh)
+    return _findings(named, book, rule_version), book
+
+
+def scan_into(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """The findings of :func:`scan`, with the ledger as a Parquet table at ``ledger``, in storage that executors share.
+
+    What the table lacks is scanned and appended in one commit, so a failed run leaves it as it was;
+    the findings are read from it. Two runs at once may both append a blob; its rows are equal.
+    """
+    spark, named = versions.sparkSession, _named(versions)
+    found = f"blob string, rule_version string, spans {SPAN}"
+    spark.createDataFrame([], found).write.mode("append").parquet(ledger)  # there from the first run on
+    seen = spark.read.schema(found).parquet(ledger).where(F.col("rule_version") == rule_version).select("blob").distinct()
+    _unseen(named, seen, rule_version).write.mode("append").parquet(ledger)
+    book = spark.read.schema(found).parquet(ledger).dropDuplicates(["blob", "rule_version"])
+    return _findings(named, book, rule_version)
+
+
+def _findings(named: DataFrame, book: DataFrame, rule_version: str) -> DataFrame:
     current = book.where(F.col("rule_version") == rule_version).select("blob", "spans")
-    return named.select("path", "blob").join(current, "blob", "left").select("path", "blob", "spans"), book
+    return named.select("path", "blob").join(current, "blob", "left").select("path", "blob", "spans")
 
 
 def digest(findings: DataFrame) -> DataFrame:
@@ -123,7 +154,7 @@ def oracle() -> str:
     """The same in DuckDB SQL, without the ledger: it only saves work."""
     parts = []
     for i, (kind, _, pattern, group, least) in enumerate(RULES):
-        p = pattern.replace("'", "''")
+        p = pattern.replace("'", "''").replace("}+", "}").replace("++", "+")  # possessive or not, the matches are the same
         parts.append(f"""
 SELECT rid, {i} AS ord, '{kind}' AS kind, s AS start, s + length(m[i]) AS stop FROM (
   SELECT *, coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS s FROM (

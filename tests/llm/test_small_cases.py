@@ -103,6 +103,32 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty.withColumnRenamed("doc_id", "path"))[0].count() == 0 and book.count() == len(set(SECRETS) - {None} | {""})
 
 
+def test_secrets_have_no_longest_form(spark):
+    rows = [(n, f"a https://{'u' * n}:{'p' * n}@host eyJ{'a' * n}.{'b' * n}.{'c' * n} x") for n in (1, 100, 101, 201, 5000)] + [(0, "eyJ" * 3000 + "http://" * 9000)]
+    got = {r.path: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "path long, text string"))[0].collect()}
+    assert got[0] == []
+    for n in (1, 100, 101, 201, 5000):
+        want = [("url", 7, 7 + 3 + 2 * n + 2)] + ([("jwt", 2 * n + 17, 2 * n + 17 + 3 * n + 5)] if n > 8 else [])
+        assert [x for x in got[n] if x[0] in ("url", "jwt")] == want, n
+    many = "AKIA1234567890AB " * 70000  # past the blocks of blocks
+    found = secrets.scan(spark.createDataFrame([(1, many)], "path long, text string"))[0].first().spans
+    assert len(found) == 70000 and all(s.start == 17 * i and s.end == 17 * i + 16 for i, s in enumerate(found))
+
+
+def test_secret_ledger_is_a_table(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = lambda *x: spark.createDataFrame(list(enumerate(x)), "path long, text string")
+    one = secrets.scan_into(rows(SECRETS[0], SECRETS[1], None), path)
+    assert sorted(len(r.spans) for r in one.collect()) == sorted(len(base_spans(x)) for x in (SECRETS[0], SECRETS[1], None))
+    before = spark.read.parquet(path).count()
+    again = secrets.scan_into(rows(SECRETS[1], SECRETS[2], SECRETS[2]), path)
+    assert before == 3 and spark.read.parquet(path).count() == 4 and again.count() == 3
+    assert secrets.scan_into(rows(SECRETS[0]), path, "next").count() == 1 and spark.read.parquet(path).count() == 5
+    assert secrets.scan_into(rows(SECRETS[0]).limit(0), path).count() == 0
+    spark.read.parquet(path).limit(2).write.mode("append").parquet(path)  # a run that was at work at once
+    assert secrets.scan_into(rows(SECRETS[0], SECRETS[1]), path).count() == 2
+
+
 def test_secret_ledger_scans_only_what_is_new(spark):
     first, book = secrets.scan(spark.createDataFrame([(1, SECRETS[0]), (2, SECRETS[1])], "path long, text string"))
     # a ledger that says otherwise is believed: proof that a known blob is not scanned again
