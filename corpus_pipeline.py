@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages, each one operator, from documents to a mixing plan."""
+"""The corpus pipeline: five stages, each one operator, from documents to a mixing plan.
+
+All stages but the last return the columns of their documents, which may have any names beside ``doc_id``, ``text`` and
+``source``. No stage fails on nulls in any column, empty or very long texts, ties, repeated rows or empty tables; what each does
+with them is said below and, in full, with its operator.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +20,10 @@ REJECTED = 0.5
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones outside the held-out fold, does not reject."""
+    """Documents that the classifier, fitted on the labelled ones outside the held-out fold, does not reject.
+
+    A null text is scored as an empty one, repeated rows alike. Without labels of both kinds nothing is rejected.
+    """
     labels = table(spark, sf_dir, "labels").where(~fold(5, 0))
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
     (name,) = fresh(docs.columns, "toxicity")
@@ -23,7 +31,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the runs of lines that an earlier place has; ``n_chars`` follows the text."""
+    """All documents, without the runs of lines that an earlier place has; ``n_chars`` follows the text.
+
+    A null text stays null, a text of which nothing is left becomes empty, and rows equal in id and text stay alike.
+    """
     names = docs.columns
     counts = tuple(fresh(names, "n_lines", "n_deleted"))
     out = line_dedup.dedup(docs, counts=counts)
@@ -33,17 +44,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, one row of it.
+
+    Null and empty texts are one class, texts of white space only are classes of equal ones. A null id stands for its class only where there is no other.
+    """
     return near_dup.kept(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; null and empty texts have none, and an empty benchmark drops nothing."""
     return decontaminate.without_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes; null and empty texts have none, a null source is one, repeated rows are documents of their own."""
     return mixing.mix(docs.select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -55,7 +69,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: SQL can't express the classifier, so tests hold every stage against a brute-force version.
+#: SQL can't express the classifier; ``tests/llm/test_pipeline.py`` holds each stage against a brute-force version over its whole input.
 ORACLE_SQL = None
 
 

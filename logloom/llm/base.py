@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -59,6 +59,24 @@ def schema(df: DataFrame, *names: str, **added: str | T.DataType) -> T.StructTyp
     return T.StructType(out + [T.StructField(n, T.DataType.fromDDL(t) if isinstance(t, str) else t) for n, t in added.items()])
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], added: list[tuple[str, T.DataType]], without: int = 0) -> DataFrame:
+    """``mapInArrow`` that keeps all columns of ``df`` but the last ``without``, whatever their names, and adds some.
+
+    ``run`` gets batches of all columns and yields the arrays of the kept and the added ones.
+    """
+    kept = df.schema.fields[: len(df.columns) - without]
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    names = [*plain[: len(kept)], *[f"a{i}" for i in range(len(added))]]
+    kinds = [*[f.dataType for f in kept], *[kind for _, kind in added]]
+
+    def batches(given):
+        for arrays in run(given):
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    out = df.toDF(*plain).mapInArrow(batches, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+    return out.toDF(*[f.name for f in kept], *[n for n, _ in added])
+
+
 def words_of(text: Column) -> Column:
     """The array of runs of non-white-space; null and blank texts give an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), f"[{SPACE_CLASS}]+", -1)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm.base import ALNUM, fresh, mix, named, row_chunks, small_batches, string_bytes, tokens
+from logloom.llm.base import ALNUM, fresh, map_rows, mix, named, row_chunks, small_batches, string_bytes, tokens
 from logloom.operators.lineage import cut_lineage
 
 N = 10
@@ -153,15 +153,14 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, names: tuple[str, st
     spark = docs.sparkSession
     small_batches(spark)
     out = docs.select(*[named(c) for c in docs.columns if c.lower() not in {x.lower() for x in names}])
-    kinds = [T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())]
-    schema = T.StructType([*out.schema.fields, *[T.StructField(x, kind) for x, kind in zip(names, kinds, strict=True)]])
+    added = list(zip(names, (T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())), strict=True))
     at = [c.lower() for c in out.columns].index("text")
     blocks, k = gram_blocks(benchmark_items(benchmark), n), 0
     while some := list(islice(blocks, AT_ONCE)):
         if k:
             out = cut_lineage(out)  # the workers of the blocks before are gone
         for block in some:
-            out = out.mapInArrow(_mapper(spark.sparkContext.broadcast(block), at, k > 0, names), schema)
+            out = map_rows(out, _mapper(spark.sparkContext.broadcast(block), at, k > 0), added, 3 if k else 0)
             k += 1
     return out
 
@@ -182,7 +181,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
     """
     names = tuple(fresh(docs.columns, *FOUND))
     found = find(docs, benchmark, n, names)
-    schema, at = found.schema, [c.lower() for c in docs.columns].index("text")
+    at = [c.lower() for c in docs.columns].index("text")
 
     def cut(batches):
         for batch in batches:
@@ -197,17 +196,17 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFram
                         last = end
                     text = (b"".join(kept) + raw[last:]).decode()
                 texts.append(text)
-            columns = batch.columns
+            columns = batch.columns[:-3]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield columns
 
-    return found.mapInArrow(cut, schema).drop(*names)
+    return map_rows(found, cut, [], 3)
 
 
 _CACHE: dict = {}
 
 
-def _mapper(shared, text_at: int, more: bool, names: tuple[str, str, str]):
+def _mapper(shared, text_at: int, more: bool):
     """Scan with one block; from the second block on, add to what the earlier ones found."""
     key = uuid.uuid4().hex
 
@@ -238,10 +237,7 @@ def _mapper(shared, text_at: int, more: bool, names: tuple[str, str, str]):
                     places.append(at)
                     items.append(sorted(ids, key=lambda x: (x is None, x or "")))
             own = batch.columns[:-3] if more else batch.columns
-            yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(total, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                names=[*batch.schema.names[: len(own)], *names],
-            )
+            yield [*own, pa.array(total, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
 
     return run
 

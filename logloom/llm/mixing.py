@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Each source's documents stand in a shuffled order that depends on their ids only;
+Each source's documents stand in a shuffled order by a hash of their ids and texts;
 their words, in that order, are cut into blocks of equally many, up to one word. A
 source has blocks of its own size, a small part of its words and of its target, so
 how near it comes to its target does not depend on the other sources. Slot k of the
@@ -35,8 +35,12 @@ CHUNK = 4096
 MOST = 3
 #: Weights that repeat over the sources in code point order, a null source last.
 WEIGHTS = (1, 2, 3)
-#: Sources are a small table on the driver; more than this is an error, not a cut.
+#: Sources are a table on the driver, 8 bytes each in the schedule's workers; more than this is an error, not a cut.
 MAX_SOURCES = 1_000_000
+#: Bytes of that table, names and numbers, up to which it is broadcast; beyond them it is joined by a shuffle.
+MAX_BROADCAST_BYTES = 16 << 20
+#: Documents whose words are added up in order in one window, about; a source has as many windows as it needs.
+WINDOW_ROWS = 1 << 14
 _POWER = 31
 _GOLDEN = 1327217885  # 2**31 divided by the golden ratio, to the nearest odd number
 
@@ -59,8 +63,8 @@ def targets(sizes: list[int], weights: list[int], most: int = MOST) -> list[Frac
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size`` of every row; a null text has size 0."""
-    return docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    """``doc_id, source, size, text_hash`` of every row; a null text has size 0."""
+    return docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"))
 
 
 def _schedule(spark, slots: int, cuts: np.ndarray) -> DataFrame:
@@ -88,13 +92,14 @@ def _schedule(spark, slots: int, cuts: np.ndarray) -> DataFrame:
 def mix(docs: DataFrame, slots: int = SLOTS, seed: int = 5) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` for every row of ``(doc_id, source, text)``.
 
-    A null text has size 0 and is never taken; a null source is a source of its
-    own; repeated rows are separate documents. With no words at all every
-    target and take is 0. The schedule depends on ids and sizes only, so a rerun agrees.
+    A null or empty text has size 0 and is never taken; a null source is a source of its
+    own; repeated rows are separate documents; an empty table stays empty; other columns are ignored, whatever their names. With no words at all every
+    target and take is 0. The schedule depends on ids, texts and sizes only, so a rerun agrees. A very long document
+    has as many rows, while it is spread, as it has blocks.
     """
     spark = docs.sparkSession
     rows = cut_lineage(sized(docs))
-    found = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
+    found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
@@ -107,11 +112,13 @@ def mix(docs: DataFrame, slots: int = SLOTS, seed: int = 5) -> DataFrame:
         fine = LEAST_BLOCKS * max(1, math.ceil(n / t)) if t else 1
         n_blocks.append(max(-(-n // block), min(n, fine)))
         need.append(math.floor(t * n_blocks[-1] / n + Fraction(1, 2)) if n else 0)
-    fields = "source string, idx int, source_size bigint, target double, n_blocks bigint, need bigint"
-    dim = spark.createDataFrame([(r[0], i, sizes[i], float(goal[i]), n_blocks[i], need[i]) for i, r in enumerate(found)], fields)
-    dim = F.broadcast(dim)  # as many rows as sources, counted above
-    named = rows.join(dim.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    sure = cut_lineage(named.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.shiftright("h", 54)))
+    fields = "own_source string, idx int, source_size bigint, target double, n_blocks bigint, need bigint, windows int"
+    dim = spark.createDataFrame([(r[0], i, sizes[i], float(goal[i]), n_blocks[i], need[i], min(1 << 30, -(-r[2] // WINDOW_ROWS))) for i, r in enumerate(found)], fields)
+    if sum(len((r[0] or "").encode()) + 64 for r in found) <= MAX_BROADCAST_BYTES:
+        dim = F.broadcast(dim)
+    sourced = rows.join(dim, F.col("source").eqNullSafe(F.col("own_source"))).drop("own_source")
+    hashed = sourced.withColumn("h", F.xxhash64("doc_id", "text_hash", F.lit(seed)))
+    sure = cut_lineage(hashed.withColumn("bucket", F.shiftright(F.shiftrightunsigned("h", 33) * F.col("windows").cast("long"), 31)).drop("text_hash"))
 
     # where each document's words begin in its source: a sum inside hash buckets, and the buckets before
     inside = Window.partitionBy("idx", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

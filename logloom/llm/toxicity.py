@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm.base import named, row_chunks, small_batches, string_bytes
+from logloom.llm.base import map_rows, named, row_chunks, small_batches, string_bytes
 from logloom.llm.ngrams import character_grams, characters
 from logloom.operators.lineage import cut_lineage
 
@@ -172,6 +172,6 @@ def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFram
             out = [np.zeros(0)]
             for i, j in row_chunks(string_bytes(texts)[1]):
                 out.append(np.zeros(j - i) if model is None else model.scores(texts.slice(i, j - i).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out), pa.float64())], names=[*batch.schema.names, name])
+            yield [*batch.columns, pa.array(np.concatenate(out), pa.float64())]
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return map_rows(docs, run, [(name, T.DoubleType())])

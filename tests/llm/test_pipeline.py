@@ -1,10 +1,13 @@
 """The pipeline's stages on planted cases, and held-out accuracy of the classifiers."""
 
+import re
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import queries
+from logloom.llm import queries, toxicity
+from tests.llm import test_small_cases as small
 
 
 def test_stages_keep_columns_and_clean_rows(spark, sf_dir):
@@ -22,6 +25,57 @@ def test_stages_keep_columns_and_clean_rows(spark, sf_dir):
     assert mixed.count() == sizes[-1] and mixed.where("taken > 3 * size").count() == 0
 
 
+def brute_hit(text, grams):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return any(tuple(words[i : i + k]) in own for k, own in grams.items() for i in range(len(words) - k + 1))
+
+
+def test_stages_against_brute_force(spark, sf_dir):
+    """Each stage's rows are those that a plain version gives for the stage's own input: whole tables, all pairs, all runs of lines."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~queries.fold(5, 0))
+    model, stages = toxicity.fit(docs, labels), dict(corpus_pipeline.STAGES)
+    before, docs = rows(docs), stages["toxicity"](spark, docs, sf_dir).persist()
+    assert rows(docs) == [r for r in before if model.scores([r[1]])[0] < 0.5]
+    before, docs = rows(docs), stages["line_dedup"](spark, docs, sf_dir).persist()
+    assert rows(docs) == sorted(small.brute_lines(before, 50).items())
+    before, docs = rows(docs), stages["near_duplicates"](spark, docs, sf_dir).persist()
+    told = small.brute_classes(before)
+    assert rows(docs) == [r for r in before if told[r[0]] == r[0]]
+    before, docs = rows(docs), stages["decontamination"](spark, docs, sf_dir).persist()
+    grams = {}
+    for item in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), item.text or ""))
+        k = min(10, len(w))
+        grams.setdefault(k, set()).update(tuple(w[i : i + k]) for i in range(len(w) - k + 1) if k)
+    assert rows(docs) == [r for r in before if not brute_hit(r[1], grams)] and len(rows(docs)) < len(before)
+    mixed = stages["mixing"](spark, docs, sf_dir)
+    want = small.brute_mix([(r.doc_id, r.source, r.text) for r in docs.collect()])
+    assert sorted((r.doc_id, r["size"], r.taken) for r in mixed.collect()) == sorted((i, n, t) for i, _, n, t in want)
+
+
+def test_stages_on_nulls_repeats_clashes_and_nothing(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage, f"a\n{passage}", None, "", " \n", "x" * 200000, "one two three four five six", "one two three four five six", f"{passage}\n{passage}"]
+    rows = [(None if i == 4 else i, t, "en" if i % 2 else None, None if i % 3 else "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("score", "toxicity", "__toxicity", "n_lines", "n_deleted", "__rows", "__lines", "__gone", "__id", "__digest", "__times", "items", "places", "n_all", "__items", "__all", "__places", "size", "taken", "a.b"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "three four five"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table, n in ((docs, len(rows) + 3), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, str(tmp_path)).persist()
+            assert out.columns == docs.columns and out.count() <= n and out.where("score <> 'clash' or size <> 'clash' or n_lines <> 'clash'").count() == 0, name
+            table, n = (out, out.count()) if name != "toxicity" else (table, n)  # six labels say nothing: all rows go on
+        last = corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path))
+        assert last.columns == ["doc_id", "size", "source_size", "target", "taken"] and last.count() == n
+        if n:
+            left = {(r.doc_id, r.text) for r in table.collect()}
+            assert (0, passage) in left and (8, f"{passage}\n{passage}") not in left and not any("three" in (t or "") for _, t in left) and (5, "x" * 200000) in left
+
+
 def test_run_is_repeatable(spark, sf_dir):
     one = sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect()))
     assert one == sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) and one

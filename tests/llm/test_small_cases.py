@@ -31,7 +31,9 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 def docs(spark):
     """With extra columns whose names the operators might use themselves."""
     df = spark.createDataFrame(ROWS, SCHEMA)
-    for name in ("size", "score", "n_words", "spans", "kept", "w", "t", "path", "blob", "v", "n", "bands", "bucket", "digest", "first", "last", "gone", "h", "taken", "toxic", "ord"):
+    for name in ("size", "score", "n_words", "spans", "kept", "w", "t", "path", "blob", "v", "n", "bands", "bucket", "digest", "first", "last", "gone", "h", "taken", "toxic", "ord",
+                 "__rows", "__id", "__th", "__lines", "__gone", "__all", "__places", "__items", "__digest", "__times", "__toxicity", "id", "th", "rows", "items", "places", "n_all",
+                 "times", "row", "toxicity", "n_lines", "n_deleted", "idx", "windows", "a.b", "c`d", "Class_ID"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 
@@ -329,6 +331,9 @@ def test_line_dedup_cases(spark, docs, empty):
     got = [(r.doc_id, r.text) for r in line_dedup.dedup(df).collect()]
     assert sorted(got, key=str) == sorted([(1, "a\nb"), (2, "c\nd"), (3, ""), (4, ""), (4, ""), (None, f"z\n{passage}")], key=str)
     out = line_dedup.dedup(docs).collect()
+    assert sorted(line_dedup.dedup(docs).columns) == sorted(docs.columns) and line_dedup.dedup(docs, counts=None).columns == docs.columns
+    strings = spark.createDataFrame([("b", passage), ("a", passage)], "doc_id string, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup(strings).collect()} == {"a": passage, "b": ""}
     assert len(out) == len(ROWS) and sum(r.text is None for r in out) == 1 and line_dedup.dedup(empty).count() == 0
 
 
@@ -390,6 +395,75 @@ def test_mixing(spark, docs, empty):
             assert sorted((r.doc_id, r.taken) for r in m) == sorted((r.doc_id, r.taken) for r in one)
 
 
+def brute_mix(rows, slots=mixing.SLOTS, seed=5):
+    """``taken`` of (id, source, text) rows, word by word: blocks laid out in a list, the schedule walked slot by slot."""
+    import math
+    import struct
+    from fractions import Fraction
+
+    import xxhash
+
+    def order(row):
+        h = 42
+        for part in (None if row[0] is None else struct.pack("<q", row[0]), None if row[2] is None else struct.pack("<Q", xxhash.xxh64(row[2].encode(), 42).intdigest()), struct.pack("<i", seed)):
+            h = h if part is None else xxhash.xxh64(part, h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    size = lambda r: len(WORD.findall(r[2] or ""))
+    names = sorted({r[1] for r in rows}, key=lambda x: (x is None, x or ""))
+    own = {s: sorted((r for r in rows if r[1] == s), key=lambda r: (order(r), r[0] is not None, r[0] or 0, size(r))) for s in names}
+    words = {s: [i for i, r in enumerate(own[s]) for _ in range(size(r))] for s in names}
+    total = sum(map(len, words.values()))
+    goal = dict(zip(names, mixing.targets([len(words[s]) for s in names], [1 + i % 3 for i in range(len(names))]), strict=True))
+    taken = {s: [0] * len(own[s]) for s in names}
+    blocks, need = {}, {}
+    for s in names:
+        n, t = len(words[s]), goal[s]
+        most = max(1, -(-total // slots))
+        blocks[s] = max(-(-n // most), min(n, 512 * max(1, math.ceil(n / t)))) if t else 0
+        need[s] = math.floor(t * blocks[s] / n + Fraction(1, 2)) if n else 0
+    whole, had = sum(need.values()), dict.fromkeys(names, 0)
+
+    def take(s):
+        k = had[s] % blocks[s]
+        had[s] += 1
+        for w in words[s][k * len(words[s]) // blocks[s] : (k + 1) * len(words[s]) // blocks[s]]:
+            taken[s][w] += 1
+
+    for k in range(whole):
+        point, upto = k * 1327217885 % (1 << 31), 0
+        for s in names:
+            upto += need[s]
+            if point < upto * (1 << 31) // whole or s == names[-1]:
+                if had[s] < need[s]:
+                    take(s)
+                break
+    for s in names:
+        while had[s] < need[s]:
+            take(s)
+    return sorted(((r[0], r[1], size(r), n) for s in names for r, n in zip(own[s], taken[s], strict=True)), key=str)
+
+
+def test_mixing_against_brute_force(spark):
+    rng = random.Random(14)
+    rows = [(i, rng.choice(["b", "a", "ä", "b", None]), " ".join("w" for _ in range(rng.randint(0, 30)))) for i in range(300)]
+    rows += [(1000, "one", "a b"), (1001, "none", None), (1001, "none", ""), (None, "b", "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("idx", F.lit("clash"))
+    for slots in (mixing.SLOTS, 700, 60):
+        got = sorted(((r.doc_id, r.source, r["size"], r.taken) for r in mixing.mix(df, slots=slots).collect()), key=str)
+        assert got == brute_mix(rows, slots)
+
+
+def test_mixing_windows_and_joins_do_not_matter(spark, monkeypatch):
+    rows = [(i, "ab"[i % 2], "w " * (i % 7)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    monkeypatch.setattr(mixing, "WINDOW_ROWS", 20)
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_BYTES", 10)
+    for source in df.select("source").distinct().collect():
+        got = mixing.mix(df).where(F.col("source") == source[0]).agg(F.sum("taken"), F.max("target"), F.count("*")).first()
+        assert abs(got[0] - got[1]) <= 2 and got[2] == 200
+
+
 def test_mixing_tiny_sources_beside_a_huge_one(spark):
     """As many words in a slot as a corpus of billions would have: small sources still get their targets."""
     rows = [(i, "huge", "w " * 1000) for i in range(400)] + [(1000 + i, "tiny", "w " * 30) for i in range(10)]
