@@ -310,8 +310,9 @@ def _visits(keyed: DataFrame, cuts: list[str]) -> list[tuple[str, int]]:
     """
     placed = _in_ranges(keyed.select("page", "key"), cuts)
     low, high = F.min(F.struct("key", "page")), F.max(F.struct("key", "page"))
-    edges = placed.groupBy("bucket").agg(low.alias("low"), high.alias("high"))
-    told = placed.join(F.broadcast(edges), "bucket").groupBy("bucket").agg(  # one row for each range
+    ends = placed.groupBy("bucket").agg(low.alias("low"), high.alias("high"))  # one row for each range
+    edges = keyed.sparkSession.createDataFrame(ends.collect(), ends.schema).withColumnRenamed("bucket", "own")
+    told = placed.join(F.broadcast(edges), F.col("bucket") == F.col("own")).groupBy("bucket").agg(
         F.min("low").alias("low"), F.max("high").alias("high"),
         F.max(F.when(F.col("page") != F.col("high.page"), F.struct("key", "page"))).alias("earlier"),
         F.min(F.when(F.col("page") != F.col("low.page"), F.struct("key", "page"))).alias("later"),
