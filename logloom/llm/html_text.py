@@ -310,12 +310,12 @@ def _visits(keyed: DataFrame, cuts: list[str]) -> list[tuple[str, int]]:
     """
     placed = _in_ranges(keyed.select("page", "key"), cuts)
     low, high = F.min(F.struct("key", "page")), F.max(F.struct("key", "page"))
-    ends = placed.groupBy("bucket").agg(low.alias("low"), high.alias("high"))  # one row for each range
-    edges = keyed.sparkSession.createDataFrame(ends.collect(), ends.schema).withColumnRenamed("bucket", "own")
-    told = placed.join(F.broadcast(edges), F.col("bucket") == F.col("own")).groupBy("bucket").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"),
-        F.max(F.when(F.col("page") != F.col("high.page"), F.struct("key", "page"))).alias("earlier"),
-        F.min(F.when(F.col("page") != F.col("low.page"), F.struct("key", "page"))).alias("later"),
+    ends = {r["bucket"]: r for r in placed.groupBy("bucket").agg(low.alias("low"), high.alias("high")).collect()}  # one row for each range
+    end = lambda name: F.get(F.array(*[F.lit(ends[k][name]["page"] if k in ends else None) for k in range(len(cuts) + 1)]).cast("array<string>"), F.col("bucket"))
+    told = placed.groupBy("bucket").agg(
+        low.alias("low"), high.alias("high"),
+        F.max(F.when(F.col("page") != end("high"), F.struct("key", "page"))).alias("earlier"),
+        F.min(F.when(F.col("page") != end("low"), F.struct("key", "page"))).alias("later"),
     )
     rows = told.orderBy("bucket").collect()
     out = []
