@@ -272,8 +272,8 @@ def main_text(own: list[tuple[str, str]], other: list[tuple[str, str]] | None) -
     return "\n".join(t for zone, t in stay if (zone == OPEN) == (size[True] > size[False]))
 
 
-#: Pages of the sample from which the borders of the URL order are read, for each border.
-SAMPLE_PER_BUCKET = 40
+#: Pages of the sample from which the borders of the URL order are read, for each border; ranges for each task; bytes of input that a task should sort, about.
+SAMPLE_PER_BUCKET, RANGES, TASK_BYTES = 12, 4, 64 << 20
 
 
 def _page(url: Column) -> Column:
@@ -295,9 +295,16 @@ def _in_ranges(df: DataFrame, cuts: list[str]) -> DataFrame:
     return df.withColumn("bucket", found)
 
 
-def _borders(keyed: DataFrame) -> list[str]:
-    """Borders between ranges of keys, one range for each shuffle partition, from a bounded sample; results do not depend on them."""
-    buckets = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _tasks(pages: DataFrame) -> int:
+    """Shuffle partitions of the session, or more where the files are large."""
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 52  # where Spark knows nothing it assumes far more
+    return max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES if known else 0)
+
+
+def _borders(pages: DataFrame, keyed: DataFrame) -> list[str]:
+    """Borders between ranges of keys, a few ranges for each task, from a bounded sample; results do not depend on them."""
+    buckets = RANGES * _tasks(pages)
     sample = keyed.select("key").orderBy(F.xxhash64("key"), "key").limit(buckets * SAMPLE_PER_BUCKET).collect()
     order = sorted((r[0] for r in sample), key=str.encode)
     return sorted({order[i * len(order) // buckets] for i in range(1, buckets)}, key=str.encode) if order else []
@@ -340,11 +347,11 @@ def extract(pages: DataFrame) -> DataFrame:
     small_batches(spark)
     page = F.concat_ws("\x01", _page(F.col("url")), F.sha2(F.coalesce("html", F.lit("")), 256))
     keyed = pages.select("page_id", "url", "html", page.alias("page")).withColumn("key", F.concat_ws("\x01", "page", F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    cuts = _borders(keyed)
+    cuts = _borders(pages, keyed)
     placed = _in_ranges(keyed, cuts).withColumn("own", F.lit(True))
     visits = F.broadcast(spark.createDataFrame(_visits(keyed, cuts), "key string, visited int"))  # two rows for each range
     guest = keyed.join(visits, "key").withColumn("own", F.lit(False)).withColumnRenamed("visited", "bucket")
-    dealt = placed.unionByName(guest.select(*placed.columns)).repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "key", "own")
+    dealt = placed.unionByName(guest.select(*placed.columns)).repartition(_tasks(pages), "bucket").sortWithinPartitions("bucket", "key", "own")
     told = dealt.select("page_id", "url", "html", "page", "bucket", "own").mapInArrow(_compared, schema(pages, "page_id", "url", text="string"))
     return told.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

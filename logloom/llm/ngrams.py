@@ -47,10 +47,10 @@ _MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
 def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts in lower case, 0 where words part, and the row offsets; nulls are empty."""
+    """Code points of the texts in lower case, 0 where words part and around each text, and the row of each; nulls are empty."""
     low = [(t or "").lower() for t in texts]
-    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in low]))).astype(np.int64)
+    codes = np.frombuffer("\n".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    row = np.repeat(np.arange(len(low)), np.array([len(t) + 1 for t in low], np.int64))
     small = codes < 0x3001
     blank = np.zeros(0x3001, bool)
     blank[_SPACE] = True
@@ -59,16 +59,12 @@ def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     word = ~(space | mark)
     inner = np.zeros(len(codes), bool)
     inner[1:-1] = mark[1:-1] & word[:-2] & word[2:]
-    heads = offsets[1:-1]
-    heads = heads[(heads > 0) & (heads < len(codes))]
-    inner[heads] = inner[heads - 1] = False
     codes[space | (mark & ~inner)] = 0
-    return codes, offsets
+    return codes, row
 
 
-def character_grams(codes: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], bits: int):
-    """Row and bucket of the n-grams of each size inside words, a word's edges counting as a character; no row's n-gram reaches into another."""
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+def character_grams(codes: np.ndarray, sizes: tuple[int, ...], bits: int):
+    """First character but one, and bucket, of the n-grams of each size (3 at least) inside words, a word's edges counting as a character."""
     edge = codes == 0
     each = _mixed(codes + np.uint32(0x9E3779B9))
     rolled, whole = each, np.ones(len(codes), bool)
@@ -79,8 +75,8 @@ def character_grams(codes: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ..
         rolled = rolled[:n] * np.uint32(0x21000193) + each[k - 1 :]
         whole = whole[:n] & ~edge[k - 2 : k - 2 + n] if k > 2 else whole[:n]
         if k in sizes:
-            at = np.flatnonzero(whole & (row[:n] == row[k - 1 :]))
-            yield row[at], _mixed(rolled[at] ^ np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)) & np.uint32((1 << bits) - 1)
+            at = np.flatnonzero(whole)
+            yield at + 1, ((rolled[at] ^ np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

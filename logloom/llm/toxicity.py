@@ -38,11 +38,11 @@ class Model:
     bias: float
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        codes, offsets = characters(texts)
+        codes, row = characters(texts)
         found = [np.zeros(0, np.int64)]
-        for row, bucket in character_grams(codes, offsets, SIZES, BITS):
+        for at, bucket in character_grams(codes, SIZES, BITS):
             told = np.flatnonzero(self.table[bucket])
-            found.append((row[told].astype(np.int64) << BITS) | bucket[told])
+            found.append((row[at[told] - 1] << BITS) | bucket[told])
         present = np.unique(np.concatenate(found))
         value = np.bincount(present >> BITS, weights=self.table[present & ((1 << BITS) - 1)], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(value + self.bias, -30, 30)))
@@ -50,7 +50,7 @@ class Model:
 
 def _buckets(text: str) -> np.ndarray:
     """The distinct buckets of a text."""
-    found = [bucket for _, bucket in character_grams(*characters([text]), SIZES, BITS)]
+    found = [bucket for _, bucket in character_grams(characters([text])[0], SIZES, BITS)]
     return np.unique(np.concatenate(found)).astype(np.int32) if found else np.zeros(0, np.int32)
 
 

@@ -529,19 +529,16 @@ def test_character_grams_against_brute_force():
 
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab1 .-é中İ\n") for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", None]
-    got = [set() for _ in texts]
-    for row, bucket in character_grams(*characters(texts), (2, 3, 5), 30):
-        for r, b in zip(row.tolist(), bucket.tolist(), strict=True):
+    got, (codes, row) = [set() for _ in texts], characters(texts)
+    for at, bucket in character_grams(codes, (3, 5), 30):
+        for r, b in zip(row[at - 1].tolist(), bucket.tolist(), strict=True):
             got[r].add(b)
-    want, seen = [], {}
+    want, out = [], lambda c: c.isspace() or c in ".-"
     for text in texts:
-        low = (text or "").lower()
-        low = "".join(c if not (c.isspace() or c in ".-") or (c in ".-" and 0 < i < len(low) - 1 and all(not (x.isspace() or x in ".-") for x in low[i - 1 : i + 2 : 2])) else "\0" for i, c in enumerate(low))
-        want.append({low[i : i + k] for k in (2, 3, 5) for i in range(len(low) - k + 1) if "\0" not in low[i + 1 : i + k - 1]})
-    for g, w in zip(got, want, strict=True):
-        assert len(g) == len(w)
-        seen.update(dict.fromkeys(w))
-    assert len(set().union(*got)) == len(seen)
+        low = "\n" + (text or "").lower() + "\n"
+        low = "".join("\0" if out(c) and not (c in ".-" and not out(low[i - 1]) and not out(low[i + 1])) else c for i, c in enumerate(low))
+        want.append({low[i : i + k] for k in (3, 5) for i in range(len(low) - k + 1) if "\0" not in low[i + 1 : i + k - 1]})
+    assert [len(g) for g in got] == [len(w) for w in want] and len(set().union(*got)) == len(set().union(*want))
 
 
 def test_toxicity_weights_against_brute_force():
