@@ -39,8 +39,6 @@ WEIGHTS = (1, 2, 3)
 MAX_SOURCES = 1_000_000
 #: Bytes of that table, names and numbers, up to which it is broadcast; beyond them it is joined by a shuffle.
 MAX_BROADCAST_BYTES = 16 << 20
-#: Documents whose words are added up in order in one window, about; a source has as many windows as it needs.
-WINDOW_ROWS = 1 << 14
 _POWER = 31
 _GOLDEN = 1327217885  # 2**31 divided by the golden ratio, to the nearest odd number
 
@@ -113,14 +111,14 @@ def mix(docs: DataFrame, slots: int = SLOTS, seed: int = 5) -> DataFrame:
         n_blocks.append(max(-(-n // block), min(n, fine)))
         need.append(math.floor(t * n_blocks[-1] / n + Fraction(1, 2)) if n else 0)
     fields = "own_source string, idx int, source_size bigint, target double, n_blocks bigint, need bigint, windows int"
-    dim = spark.createDataFrame([(r[0], i, sizes[i], float(goal[i]), n_blocks[i], need[i], min(1 << 30, -(-r[2] // WINDOW_ROWS))) for i, r in enumerate(found)], fields)
+    dim = spark.createDataFrame([(r[0], i, sizes[i], float(goal[i]), n_blocks[i], need[i], 1 + math.isqrt(r[2])) for i, r in enumerate(found)], fields)
     if sum(len((r[0] or "").encode()) + 64 for r in found) <= MAX_BROADCAST_BYTES:
         dim = F.broadcast(dim)
     sourced = rows.join(dim, F.col("source").eqNullSafe(F.col("own_source"))).drop("own_source")
     hashed = sourced.withColumn("h", F.xxhash64("doc_id", "text_hash", F.lit(seed)))
     sure = cut_lineage(hashed.withColumn("bucket", F.shiftright(F.shiftrightunsigned("h", 33) * F.col("windows").cast("long"), 31)).drop("text_hash"))
 
-    # where each document's words begin in its source: a sum inside hash buckets, and the buckets before
+    # where each document's words begin in its source: a sum inside hash buckets, of which a source has the root of its documents, and the buckets before
     inside = Window.partitionBy("idx", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = sure.groupBy("idx", "bucket").agg(F.sum("size").alias("held")).select(

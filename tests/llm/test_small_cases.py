@@ -411,7 +411,9 @@ def brute_mix(rows, slots=mixing.SLOTS, seed=5):
 
     size = lambda r: len(WORD.findall(r[2] or ""))
     names = sorted({r[1] for r in rows}, key=lambda x: (x is None, x or ""))
-    own = {s: sorted((r for r in rows if r[1] == s), key=lambda r: (order(r), r[0] is not None, r[0] or 0, size(r))) for s in names}
+    bucket = lambda r, n: (order(r) % (1 << 64) >> 33) * n >> 31
+    many = {s: 1 + math.isqrt(sum(r[1] == s for r in rows)) for s in names}
+    own = {s: sorted((r for r in rows if r[1] == s), key=lambda r: (bucket(r, many[s]), order(r), r[0] is not None, r[0] or 0, size(r))) for s in names}
     words = {s: [i for i, r in enumerate(own[s]) for _ in range(size(r))] for s in names}
     total = sum(map(len, words.values()))
     goal = dict(zip(names, mixing.targets([len(words[s]) for s in names], [1 + i % 3 for i in range(len(names))]), strict=True))
@@ -449,7 +451,7 @@ def test_mixing_against_brute_force(spark):
     rows = [(i, rng.choice(["b", "a", "ä", "b", None]), " ".join("w" for _ in range(rng.randint(0, 30)))) for i in range(300)]
     rows += [(1000, "one", "a b"), (1001, "none", None), (1001, "none", ""), (None, "b", "x y z")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("idx", F.lit("clash"))
-    for slots in (mixing.SLOTS, 700, 60):
+    for slots in (mixing.SLOTS, 700, 60):  # windows follow the hash's upper bits
         got = sorted(((r.doc_id, r.source, r["size"], r.taken) for r in mixing.mix(df, slots=slots).collect()), key=str)
         assert got == brute_mix(rows, slots)
 
@@ -457,7 +459,6 @@ def test_mixing_against_brute_force(spark):
 def test_mixing_windows_and_joins_do_not_matter(spark, monkeypatch):
     rows = [(i, "ab"[i % 2], "w " * (i % 7)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    monkeypatch.setattr(mixing, "WINDOW_ROWS", 20)
     monkeypatch.setattr(mixing, "MAX_BROADCAST_BYTES", 10)
     for source in df.select("source").distinct().collect():
         got = mixing.mix(df).where(F.col("source") == source[0]).agg(F.sum("taken"), F.max("target"), F.count("*")).first()
