@@ -83,6 +83,21 @@ def words_of(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
+#: Groups that a join sends to all tasks.
+HOT = 1000
+
+
+def group_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has a row and the number of its rows for each key.
+
+    The largest ``HOT`` groups are broadcast, so what is shuffled has no group of more than a thousandth
+    of the rows. ``rows`` and ``groups`` are read twice, so both should be written tables.
+    """
+    hot = F.broadcast(groups.orderBy(F.desc(size), *keys).limit(HOT))
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(groups, keys))
+
+
 def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column and the row offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -98,7 +113,7 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_chunks(offsets: np.ndarray, limit: int = 3 << 20) -> Iterator[tuple[int, int]]:
+def row_chunks(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``limit`` bytes; a longer row stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:

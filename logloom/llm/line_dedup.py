@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import base
-from logloom.llm.base import PLAIN, fresh, mix, named, row_chunks, schema, small_batches, string_bytes, tokens
+from logloom.llm.base import PLAIN, fresh, group_join, mix, named, row_chunks, schema, small_batches, string_bytes, tokens
 from logloom.operators.lineage import cut_lineage
 
 LEAST_WORDS = 50
@@ -129,13 +129,13 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     window that begins inside its own earlier copy gives up only the lines after that.
     """
     found = cut_lineage(selected(docs, least))
-    shared = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    shared = cut_lineage(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"))
     # extension: all windows around the joined positions, known by their whole lines
-    near = cut_lineage(found.join(shared, "fp").select("doc_id", "th", F.inline("windows")))
+    near = cut_lineage(group_join(found, shared, ["fp"], "n").select("doc_id", "th", F.inline("windows")))
     key = ["d1", "d2"]
     place = F.struct("doc_id", "th", "first")
-    origin = near.groupBy(*key).agg(F.min(place).alias("o"), F.max(place).alias("z")).where("o <> z").select(*key, "o")
-    later = near.join(origin, key).where(~place.eqNullSafe(F.col("o")))
+    origin = near.groupBy(*key).agg(F.min(place).alias("o"), F.max(place).alias("z"), F.count("*").alias("n")).where("o <> z")
+    later = group_join(near, cut_lineage(origin.select(*key, "o", "n")), key, "n").where(~place.eqNullSafe(F.col("o")))
     same = F.col("doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("th") == F.col("o.th"))
     size = F.col("last") - F.col("first")
     begin = F.when(same, F.greatest("first", F.col("o.first") + size + 1)).otherwise(F.col("first"))
