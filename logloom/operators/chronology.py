@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators.ordering import global_rank
+from logloom.operators.ordering import carried, global_rank, previous, running_max, running_sums
 
 #: Codes and names of the segments; a unit that straddles a cut is excluded.
 EARLY, GUARD, MID, LATE, EXCLUDED = 0, 1, 2, 3, 255
@@ -15,8 +15,7 @@ FRACTIONS = (0.50, 0.55, 0.70)
 
 def effective_timestamp(df: DataFrame, ts: str, file: str, line: str, name: str = "effective_ts") -> DataFrame:
     """The last parsed time at or before each line of its file, 0 where there is none yet."""
-    upto = Window.partitionBy(file).orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.coalesce(F.last(ts, ignorenulls=True).over(upto), F.lit(0)).cast("long"))
+    return carried(df, ts, F.col(line).asc(), name=name, by=(file,)).withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
 
 
 def chronological(df: DataFrame, ts: str, *tie: str, name: str = "rank") -> DataFrame:
@@ -26,8 +25,8 @@ def chronological(df: DataFrame, ts: str, *tie: str, name: str = "rank") -> Data
 
 def inversions(df: DataFrame, ts: str, file: str, line: str) -> DataFrame:
     """``file, lines, inversions``: rows whose time lies before that of the line above."""
-    above = F.lag(ts).over(Window.partitionBy(file).orderBy(line))
-    return df.withColumn("__above", above).groupBy(file).agg(F.count("*").alias("lines"), F.count_if(F.col(ts) < F.col("__above")).alias("inversions"))
+    told = previous(df, ts, F.col(line).asc(), name="__above", by=(file,))
+    return told.groupBy(file).agg(F.count("*").alias("lines"), F.count_if(F.col(ts) < F.col("__above")).alias("inversions"))
 
 
 def boundaries(total: int, fractions: tuple[float, ...] = FRACTIONS) -> tuple[int, ...]:
@@ -48,21 +47,11 @@ def spans(df: DataFrame, unit: str, ts: str) -> DataFrame:
 def quiet_instants(units: DataFrame) -> DataFrame:
     """``instant``: one after the end of each group of overlapping unit intervals.
 
-    Intervals are merged inside ranges of start time first, so one small pass over
-    the merged ones remains; it is the only step that sees all ranges.
+    A unit that begins after all earlier ones have ended closes their group; the last group is closed by the end of all.
     """
-    from logloom.operators.ordering import by_range
-
-    def merged(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
-        earlier = Window.partitionBy(*by).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-        upto = Window.partitionBy(*by).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)
-        opened = df.withColumn("__end", F.max("last").over(earlier))
-        new = opened.withColumn("__new", (F.col("__end").isNull() | (F.col("first") > F.col("__end"))).cast("int"))
-        island = new.withColumn("__island", F.sum("__new").over(upto))
-        return island.groupBy(*by, "__island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("__island")
-
-    local = merged(by_range(units.select("first", "last"), F.col("first")), ("__range",)).drop("__range")
-    return merged(local, ()).select((F.col("last") + 1).alias("instant"))
+    opened = running_max(units.select("first", "last"), "last", F.col("first").asc(), F.col("last").asc(), name="__end")
+    closed = opened.where(F.col("first") > F.col("__end")).select((F.col("__end") + 1).alias("instant"))
+    return closed.unionByName(units.agg((F.max("last") + 1).alias("instant")).where("instant is not null"))
 
 
 def alive_at(units: DataFrame, cuts: dict[str, int]) -> DataFrame:
@@ -86,8 +75,6 @@ def choose_cuts(stream: DataFrame, units: DataFrame, fractions: tuple[float, ...
     both = stream.select(F.col("effective_ts").alias("t"), F.lit(1).alias("n"), F.lit(1).alias("kind")).unionByName(
         instants.select(F.col("instant").alias("t"), F.lit(0).alias("n"), F.lit(0).alias("kind"))
     )
-    from logloom.operators.ordering import running_sums
-
     ranked = running_sums(both, F.col("t"), F.col("kind"), sums={"before": F.col("n")}).where("kind = 0").select(F.col("t").alias("instant"), "before")
     ranked = ranked.persist()
     for rank in boundaries(total, fractions):

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logloom.operators.ordering import previous
+
 #: Which segments a partition of a fold takes, from the target or from the sources.
 ROLES = {"SOURCE_TRAIN": ("source", (0,)), "SOURCE_VALIDATION": ("source", (2,)), "TARGET_BURN_IN": ("target", (0,)), "TARGET_EVALUATION": ("target", (2, 3))}
 FORBIDDEN = re.compile("label|anomaly|target_role|outcome", re.I)
@@ -77,8 +79,8 @@ def exact_cover(df: DataFrame, index: str) -> DataFrame:
 
 def contiguous(df: DataFrame, start: str, end: str) -> DataFrame:
     """``intervals, gaps, overlaps`` of half-open intervals in order."""
-    before = F.lag(end).over(Window.orderBy(start, end))
-    return df.withColumn("__b", before).agg(F.count("*").alias("intervals"), F.count_if(F.col(start) > F.col("__b")).alias("gaps"), F.count_if(F.col(start) < F.col("__b")).alias("overlaps"))
+    told = previous(df.select(start, end), end, F.col(start).asc(), F.col(end).asc(), name="__b")
+    return told.agg(F.count("*").alias("intervals"), F.count_if(F.col(start) > F.col("__b")).alias("gaps"), F.count_if(F.col(start) < F.col("__b")).alias("overlaps"))
 
 
 def component_rule(lines: DataFrame, component: str, part: str) -> DataFrame:

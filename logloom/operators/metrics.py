@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.operators.ordering import global_rank, running_sums
+from logloom.operators.ordering import global_rank, quantiles, running_sums
 
 Z95 = 1.959963984540054
 
@@ -153,11 +153,12 @@ def newcombe(x1: Column, n1: Column, x2: Column, n2: Column) -> tuple[Column, Co
 
 
 def robust_summary(df: DataFrame, x: str, *by: str) -> DataFrame:
-    """Count, extremes, seven exact quantiles with linear interpolation, and the interquartile range."""
-    q = F.percentile(x, F.array(*[F.lit(v) for v in (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)]))
-    out = df.groupBy(*by).agg(F.count(x).alias("count"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"))
-    names = ("q05", "q25", "median", "q75", "q95", "q99")
-    return out.select(*by, "count", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(names)], "max", (F.col("q")[3] - F.col("q")[1]).alias("iqr"))
+    """Count, extremes, six exact quantiles with linear interpolation, and the interquartile range; a null group is a group."""
+    shares = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
+    out = df.groupBy(*by).agg(F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"))
+    told = quantiles(df, x, shares, by)
+    joined = out.join(told, list(by), "left") if by else out.join(F.broadcast(told))
+    return joined.select(*by, "count", "min", *shares, "max", (F.col("q75") - F.col("q25")).alias("iqr"))
 
 
 def summarize_interval(values: DataFrame, x: str, point: float, alpha: float = 0.05) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.identity import selection_hash
-from logloom.operators.ordering import running_sums
+from logloom.operators.ordering import global_rank, running_sums
 
 
 def quotas(sizes: DataFrame, total: int, stratum: str = "stratum", size: str = "size") -> DataFrame:
@@ -26,11 +26,60 @@ def quotas(sizes: DataFrame, total: int, stratum: str = "stratum", size: str = "
 
 
 def hash_sample(units: DataFrame, total: int, tag: str, key: str = "unit_id", stratum: str = "stratum") -> DataFrame:
-    """``units`` with ``selected``: the quota of least salted hashes in each stratum."""
-    share = quotas(units.groupBy(stratum).agg(F.count("*").alias("size")), total, stratum).select(stratum, "quota")
-    order = Window.partitionBy(stratum).orderBy(selection_hash(tag, F.col(key)), key)
-    ranked = units.withColumn("__place", F.row_number().over(order)).join(F.broadcast(share), stratum)
-    return ranked.withColumn("selected", F.col("__place") <= F.col("quota")).drop("__place", "quota")
+    """``units`` with ``selected``: the quota of least salted hashes in each stratum.
+
+    Units are counted by stratum and the first four digits of their hash. Below the digits in which a stratum's quota
+    ends all are selected, above none; only units with those digits are ranked, in small groups.
+    """
+    share = quotas(units.groupBy(stratum).agg(F.count("*").alias("size")), total, stratum).select(F.col(stratum).alias("__s"), "quota")
+    hashed = units.withColumn("__hash", selection_hash(tag, F.col(key))).withColumn("__first", F.substring("__hash", 1, 4))
+    counts = hashed.groupBy(stratum, "__first").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(stratum).orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = counts.withColumn("__before", before).join(share, F.col(stratum).eqNullSafe(F.col("__s")))
+    border = told.where((F.col("__before") < F.col("quota")) & (F.col("__before") + F.col("__n") >= F.col("quota"))).select("__s", F.col("__first").alias("__border"), (F.col("quota") - F.col("__before")).alias("__left"))
+    place = F.row_number().over(Window.partitionBy(stratum, "__first").orderBy("__hash", key))
+    joined = hashed.withColumn("__place", place).join(border, F.col(stratum).eqNullSafe(F.col("__s")), "left")
+    chosen = (F.col("__first") < F.col("__border")) | ((F.col("__first") == F.col("__border")) & (F.col("__place") <= F.col("__left")))
+    return joined.withColumn("selected", F.coalesce(chosen, F.lit(False))).drop("__hash", "__first", "__s", "__border", "__left", "__place")
+
+
+def seeded(df: DataFrame, by: str, key: str, n: int, seed: int, replace: bool = False) -> DataFrame:
+    """``n`` rows of each group by the order of a salted hash of their key, with ``draw`` from 0.
+
+    With replacement a draw takes the row whose salted place it falls on, so a row may come several times. The draws are those of a hash,
+    not of a random generator: the same on every run and partitioning.
+    """
+    place = Window.partitionBy(by).orderBy(selection_hash(str(seed), F.col(key)), key)
+    if not replace:
+        return df.withColumn("draw", F.row_number().over(place).cast("long") - 1).where(F.col("draw") < n)
+    ranked = global_rank(df, F.col(key), name="__place", by=(by,))
+    sizes = df.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
+    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    number = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("__by").cast("string"), F.col("draw").cast("string")), 256), 1, 15), 16, 10).cast("long")
+    draws = draws.withColumn("__at", F.pmod(number, F.col("__n")))
+    return ranked.join(draws, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__place") == F.col("__at"))).drop("__by", "__at", "__place", "__n")
+
+
+def batches(df: DataFrame, length: str, key: str, budget: int) -> DataFrame:
+    """``df`` with ``batch``: rows in the order of length and key, a new batch where the padded size would pass ``budget``.
+
+    The padded size is the longest length times the rows. Lengths alone decide, so the batches are laid out by the
+    counts of distinct lengths, which the driver holds, and each row finds its own by its rank.
+    """
+    counts = df.groupBy(F.col(length).alias("l")).agg(F.count("*").alias("n")).orderBy("l").collect()
+    parts, done, batch, held = [], 0, 0, 0  # length, first rank, rows that the open batch still takes, its number, rows of each later one
+    for row in counts:
+        room = max(1, budget // max(1, row["l"]))
+        first = min(row["n"], max(0, room - held)) if held else min(row["n"], room)
+        parts.append((row["l"], done, first, batch, room))
+        rest = row["n"] - first
+        batch, held = (batch, held + first) if not rest else (batch + -(-rest // room), (rest - 1) % room + 1)
+        done += row["n"]
+    table = df.sparkSession.createDataFrame(parts, "__l long, __low long, __room long, __batch long, __size long")
+    ranked = global_rank(df, F.col(length), F.col(key).asc(), name="__place").join(table, F.col(length) == F.col("__l"))
+    inside = F.col("__place") - F.col("__low")
+    later = F.col("__batch") + F.floor((inside - F.col("__room")) / F.col("__size")) + 1
+    return ranked.withColumn("batch", F.when(inside < F.col("__room"), F.col("__batch")).otherwise(later).cast("long")).drop("__place", "__l", "__low", "__room", "__batch", "__size")
 
 
 def least_hash_per(df: DataFrame, by: str, key: str, tag: str) -> DataFrame:

@@ -14,13 +14,27 @@ def group_key(gid: Column) -> Column:
     return F.when(gid >= 0, F.concat(F.lit("G"), gid.cast("string"))).otherwise("GLOBAL")
 
 
-def context_windows(stream: DataFrame, group: str, message: str, architecture: Column, partition: Column, context: int = 8) -> DataFrame:
+#: Records of a group that one window task holds; a larger group is cut, with the records before each cut carried over.
+LARGE_GROUP = 1 << 20
+
+
+def context_windows(stream: DataFrame, group: str, message: str, architecture: Column, partition: Column, context: int = 8, large: int | None = None) -> DataFrame:
     """A window for each record with a predecessor in its group: up to ``context`` of them, oldest first.
 
-    One shuffle on the group; the frame holds at most ``context`` rows.
+    One shuffle on the group; the frame holds at most ``context`` rows. Groups of more than ``large`` records, such as
+    that of all records without a group, are cut into pieces, each of which begins with the last records of the one before.
     """
-    before = Window.partitionBy(group).orderBy("rank").rowsBetween(-context, -1)
-    framed = stream.withColumn("__past", F.collect_list(F.struct("rank", "effective_ts", F.col(message).alias("text"))).over(before))
+    large = large or LARGE_GROUP
+    sizes = stream.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n")).where(F.col("__n") > large).select("__g")
+    if not sizes.limit(1).count():
+        framed = _framed(stream, message, context, group)
+    else:
+        hot, same = F.broadcast(sizes), F.col(group).eqNullSafe(F.col("__g"))  # at most records / large rows
+        placed = global_rank(stream.join(hot, same, "left_semi"), F.col("rank"), name="__place", by=(group,))
+        own = F.floor(F.col("__place") / large)
+        pieces = F.when(F.pmod("__place", F.lit(large)) >= large - context, F.array(own, own + 1)).otherwise(F.array(own))
+        cut = _framed(placed.withColumn("__piece", F.explode(pieces)), message, context, group, "__piece").where(F.col("__piece") == own)
+        framed = _framed(stream.join(hot, same, "left_anti"), message, context, group).unionByName(cut.drop("__place", "__piece"))
     past = F.col("__past")
     return framed.where(F.size(past) > 0).select(
         identity.window_id(architecture, partition, F.col("rank")).alias("window_id"),
@@ -37,6 +51,38 @@ def context_windows(stream: DataFrame, group: str, message: str, architecture: C
     )
 
 
+def _framed(stream: DataFrame, message: str, context: int, *by: str) -> DataFrame:
+    before = Window.partitionBy(*by).orderBy("rank").rowsBetween(-context, -1)
+    return stream.withColumn("__past", F.collect_list(F.struct("rank", "effective_ts", F.col(message).alias("text"))).over(before))
+
+
+def position_in_unit(lines: DataFrame, unit: str, order: str, name: str = "position") -> DataFrame:
+    """``lines`` with their 0-based place among all lines of their unit, emitted or not; lines without a unit have none."""
+    placed = global_rank(lines, F.col(order), name=name, by=(unit,))
+    return placed.withColumn(name, F.when(F.col(unit).isNotNull(), F.col(name)))
+
+
+def locate(stream: DataFrame, raw: DataFrame) -> DataFrame:
+    """``stream`` (``rank, effective_ts, raw_hash``) with ``file_position``, the place of its line in the raw files.
+
+    ``raw`` has ``file_position, effective_ts, raw_hash``; its order by time, then position, must be that
+    of the stream, line by line. A line that differs, or that one side lacks, is an error.
+    """
+    ranked = global_rank(raw, F.col("effective_ts"), F.col("file_position").asc(), name="__rank").select("__rank", "file_position", F.col("effective_ts").alias("__ts"), F.col("raw_hash").alias("__hash"))
+    both = stream.join(ranked, F.col("rank") == F.col("__rank"), "full")
+    same = F.col("effective_ts").eqNullSafe(F.col("__ts")) & F.col("raw_hash").eqNullSafe(F.col("__hash")) & F.col("rank").isNotNull()
+    checked = F.when(same, F.col("rank")).otherwise(F.raise_error(F.concat(F.lit("the raw files differ from the stream at rank "), F.coalesce("rank", "__rank").cast("string"))))
+    return both.withColumn("rank", checked).drop("__rank", "__ts", "__hash")
+
+
+def at_positions(raw: DataFrame, wanted: DataFrame, text: str, hash_: str) -> DataFrame:
+    """``wanted`` (``file_position, norm_hash``) with the text at each position, whose hash must be the wanted one; a missing line is an error."""
+    found = raw.select(F.col("file_position").alias("__at"), F.col(text).alias("__text"), F.col(hash_).alias("__hash"))
+    joined = wanted.join(found, F.col("file_position") == F.col("__at"), "left")
+    fault = F.raise_error(F.concat(F.lit("no such text at position "), F.col("file_position").cast("string"))).cast("string")
+    return joined.withColumn(text, F.when(F.col("__hash") == F.col("norm_hash"), F.col("__text")).otherwise(fault)).drop("__at", "__text", "__hash")
+
+
 def causal(windows: DataFrame) -> Column:
     """Whether all of a window's context lies before its target."""
     return (F.array_max("context_ranks") < F.col("target_rank")) & (F.col("context_last_effective_ts") <= F.col("target_effective_ts"))

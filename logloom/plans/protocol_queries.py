@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import identity, text
 from logloom.operators import detect, governance, sampling
-from logloom.operators.ordering import by_range  # noqa: F401
+from logloom.operators.ordering import previous, quantiles
 from logloom.plans.registry import STREAM, query, read, stream
 from logloom.plans.stream_queries import SEGMENTED, segmented
 
@@ -155,27 +155,28 @@ i AS (SELECT fold_id, count(*) FILTER (effective_ts < above) AS inversions FROM
 SELECT fold_id, 'L04' AS check_id, CASE WHEN repeated = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, repeated AS observation FROM b
 UNION ALL SELECT fold_id, 'L06', CASE WHEN inversions = 0 THEN 'PASS' ELSE 'FAIL' END, inversions FROM i UNION ALL SELECT fold_id, 'L16', CASE WHEN guard_used = 0 THEN 'PASS' ELSE 'FAIL' END, guard_used FROM b""")
 def audit_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     m = _members(spark, sf_dir)
-    above = F.lag("effective_ts").over(Window.partitionBy("fold_id", "partition", "event_type").orderBy("rank"))
-    i = m.withColumn("above", above).groupBy("fold_id").agg(F.count_if(F.col("effective_ts") < F.col("above")).alias("L06"))
+    i = previous(m, "effective_ts", F.col("rank").asc(), name="above", by=("fold_id", "partition", "event_type")).groupBy("fold_id").agg(F.count_if(F.col("effective_ts") < F.col("above")).alias("L06"))
     b = m.groupBy("fold_id").agg((F.count("*") - F.count_distinct("rank")).alias("L04"), F.count_if(F.col("segment") == 1).alias("L16"))
     told = b.join(i, "fold_id").select("fold_id", F.explode(F.array(*[F.struct(F.lit(k).alias("check_id"), F.col(k).alias("observation")) for k in ("L04", "L06", "L16")])).alias("c"))
     return told.select("fold_id", "c.check_id", F.when(F.col("c.observation") == 0, "PASS").otherwise("FAIL").alias("verdict"), "c.observation")
 
 
-@query("""WITH a AS (SELECT DISTINCT text FROM documents WHERE lang = 'en' AND source < 'src15'), b AS (SELECT DISTINCT text FROM documents WHERE lang = 'en' AND source >= 'src15')
+@query("""WITH a AS (SELECT DISTINCT text FROM documents WHERE source < 'src15'), b AS (SELECT DISTINCT text FROM documents WHERE source >= 'src15')
 SELECT (SELECT count(*) FROM b) AS evaluation_distinct, (SELECT count(*) FROM b SEMI JOIN a USING (text)) AS shared, round((SELECT count(*) FROM b SEMI JOIN a USING (text)) / (SELECT count(*) FROM b), 9) AS ratio""")
 def content_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").where("lang = 'en'")
+    d = read(spark, sf_dir, "documents")
     return governance.content_overlap(d.where("source < 'src15'"), d.where("source >= 'src15'"), "text").withColumn("ratio", F.round("ratio", 9))
 
 
-@query("WITH p AS (SELECT source || ':' || sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS x FROM documents GROUP BY source) SELECT sha256(string_agg(x, chr(10) ORDER BY x)) AS fingerprint, count(*) AS files FROM p")
+@query("""WITH b AS (SELECT source, doc_id // 4096 AS block, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS d FROM documents GROUP BY ALL),
+p AS (SELECT source || ':' || sha256(string_agg(d, ',' ORDER BY block)) AS x FROM b GROUP BY source) SELECT sha256(string_agg(x, chr(10) ORDER BY x)) AS fingerprint, count(*) AS files FROM p""")
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of ids in blocks, so that no cell holds all ids of a source."""
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    p = read(spark, sf_dir, "documents").groupBy("source").agg(F.concat(F.col("source"), F.lit(":"), F.sha2(ids, 256)).alias("x"))
+    blocks = read(spark, sf_dir, "documents").groupBy("source", F.floor(F.col("doc_id") / 4096).alias("block")).agg(F.sha2(ids, 256).alias("d"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda x: x["d"]), ",")
+    p = blocks.groupBy("source").agg(F.concat(F.col("source"), F.lit(":"), F.sha2(joined, 256)).alias("x"))
     return p.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256).alias("fingerprint"), F.count("*").alias("files"))
 
 
@@ -259,8 +260,8 @@ def knn_tfidf_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT population, count(*) AS units, CAST(sum(toxic) AS BIGINT) AS anomalies, round(avg(toxic), 9) AS prevalence, quantile_cont(n_chars, 0.5) AS median_size, quantile_cont(n_chars, 0.99) AS q99_size FROM p GROUP BY 1""")
 def purge_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").withColumn("population", F.when(F.col("quality") == 1, "RETAINED").otherwise("PURGED"))
-    q = lambda v: F.percentile("n_chars", F.lit(v))
-    return j.groupBy("population").agg(F.count("*").alias("units"), F.sum("toxic").alias("anomalies"), F.round(F.avg("toxic"), 9).alias("prevalence"), q(0.5).alias("median_size"), q(0.99).alias("q99_size"))
+    told = j.groupBy("population").agg(F.count("*").alias("units"), F.sum("toxic").alias("anomalies"), F.round(F.avg("toxic"), 9).alias("prevalence"))
+    return told.join(quantiles(j, "n_chars", {"median_size": 0.5, "q99_size": 0.99}, ("population",)), "population")
 
 
 @query(f"""WITH {SEGMENTED} SELECT 'buffer' AS part, count(*) AS records, count(DISTINCT unit) AS units, count(DISTINCT message) AS messages FROM seg WHERE segment = 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import identity
 from logloom.operators import chronology, detect, governance, graph, metrics, sampling, templates, windows
-from logloom.operators.ordering import global_rank
+from logloom.operators.ordering import global_rank, previous
 from logloom.plans.registry import STREAM, query, read, stream
 
 DAY = 86_400_000_000
@@ -202,7 +202,7 @@ m AS (SELECT (SELECT count(*) FROM e)::DOUBLE AS records, (SELECT (max(effective
 
 def _buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = segmented(spark, sf_dir).where("segment = 0")
-    gap = e.withColumn("d", F.col("effective_ts") - F.lag("effective_ts").over(Window.partitionBy("segment").orderBy("rank")))
+    gap = previous(e, "effective_ts", F.col("rank").asc(), name="above").withColumn("d", F.col("effective_ts") - F.col("above"))
     return gap.agg(
         F.count("*").cast("double").alias("records"), ((F.max("effective_ts") - F.min("effective_ts")) / 1e6).alias("span_s"),
         (F.max("d") / 1e6).alias("max_gap_s"), (1 - F.count_distinct("message") / F.count("*")).alias("duplicate_ratio"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import chronology, governance, sampling, windows
 from logloom.operators.graph import connected_components
-from logloom.operators.ordering import global_rank, running_sums
+from logloom.operators.ordering import carried, global_rank, previous, quantiles, running_max, running_sums
 
 
 def test_global_rank_equals_a_sort(spark):
@@ -152,7 +152,95 @@ def test_no_single_partition_window_over_rows(spark, sf_dir):
 
     plan = stream(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     windows_ = [x for x in plan.split("\n") if "Window [" in x]
-    assert all("__range" in x for x in windows_)
+    assert all("__part" in x for x in windows_)
+
+
+def test_running_values_against_lists(spark):
+    """Ranges cut groups, keys repeat or are null, and one key has most rows."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice([1, 1, 1, None, rng.randint(0, 9)]), rng.choice([None, None, rng.randint(0, 99)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, g string, k long, v long")
+    key = lambda r: (r[1] is not None, r[1] or "", r[2] is not None, r[2] or 0, r[0])
+    ranks, last, before = {}, {}, {}
+    for g in ("a", "b", None):
+        own, seen = sorted((r for r in rows if r[1] == g), key=key), None
+        for n, r in enumerate(own):
+            seen = r[3] if r[3] is not None else seen
+            ranks[r[0]], last[r[0]], before[r[0]] = n, seen, own[n - 1][3] if n else None
+    order = (F.col("k").asc_nulls_first(), F.col("i").asc())
+    assert {r.i: r.rank for r in global_rank(df, F.col("k"), F.col("i").asc(), by=("g",)).collect()} == ranks
+    assert {r.i: r.x for r in carried(df, "v", *order, name="x", by=("g",)).collect()} == last
+    assert {r.i: r.x for r in previous(df, "v", *order, name="x", by=("g",)).collect()} == before
+    most, want = None, {}
+    for r in sorted(rows):
+        want[r[0]], most = most, r[3] if most is None else max(most, r[3] if r[3] is not None else most)
+    assert {r.i: r.x for r in running_max(df, "v", F.col("i").asc(), name="x").collect()} == want
+    got = {r.g: (r.low, r.mid) for r in quantiles(df, "v", {"low": 0.1, "mid": 0.5}, ("g",)).where("g is not null").collect()}
+    import numpy as np
+
+    for g in "ab":
+        values = [r[3] for r in rows if r[1] == g and r[3] is not None]
+        assert got[g] == pytest.approx((np.quantile(values, 0.1), np.quantile(values, 0.5)))
+
+
+def test_large_groups_are_cut_with_their_context(spark):
+    rng = random.Random(7)
+    rows = [(i, i, rng.choice(["GLOBAL"] * 9 + ["x", None]), f"m{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "rank long, effective_ts long, g string, m string")
+    one, many = (sorted(map(str, windows.context_windows(df, "g", "m", F.lit("A"), F.lit("P"), 3, large).collect())) for large in (1000, 20))
+    assert one == many and len(one) > 280
+
+
+def test_hash_sample_equals_a_sort(spark):
+    import hashlib
+
+    rows = [(f"u{i}", i % 7 and 1) for i in range(5000)]
+    got = {r.unit_id for r in sampling.hash_sample(spark.createDataFrame(rows, "unit_id string, stratum int"), 777, "t").where("selected").collect()}
+    quota = {r.stratum: r.quota for r in sampling.quotas(spark.createDataFrame([(0, 715), (1, 4285)], "stratum int, size long"), 777).collect()}
+    want = set()
+    for k, n in quota.items():
+        want |= set(sorted((u for u, s in rows if s == k), key=lambda u: (hashlib.sha256(f"t|{u}".encode()).hexdigest(), u))[:n])
+    assert got == want
+
+
+def test_batches_equal_the_loop(spark):
+    rng = random.Random(1)
+    for budget in (1, 50, 100, 1000):
+        lengths = [rng.choice([0, 1, 3, 10, 10, 10, 40, 200]) for _ in range(120)]
+        got = {r.i: r.batch for r in sampling.batches(spark.createDataFrame(list(enumerate(lengths)), "i long, l long"), "l", "i", budget).collect()}
+        want, batch, held = {}, 0, 0
+        for n, i in sorted((n, i) for i, n in enumerate(lengths)):
+            if held and max(n, 1) * (held + 1) > budget:
+                batch, held = batch + 1, 0
+            want[i], held = batch, held + 1
+        assert got == want, budget
+
+
+def test_seeded_draws(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "i long, g string")
+    for replace in (False, True):
+        a, b = (sorted(map(tuple, sampling.seeded(x, "g", "i", 15, 3, replace).collect())) for x in (df, df.repartition(5)))
+        assert a == b and len(a) == 30 and (len({r[0] for r in a}) == 30) != replace
+
+
+def test_raw_positions(spark):
+    raw = [(0, 5, "x"), (1, 3, "y"), (2, 5, "z"), (3, 9, "w")]
+    rawdf = spark.createDataFrame(raw, "file_position long, effective_ts long, raw_hash string")
+    s = spark.createDataFrame([(0, 3, "y"), (1, 5, "x"), (2, 5, "z"), (3, 9, "w")], "rank long, effective_ts long, raw_hash string")
+    assert {r.rank: r.file_position for r in windows.locate(s, rawdf).collect()} == {0: 1, 1: 0, 2: 2, 3: 3}
+    for bad in (s.where("rank < 3"), s.withColumn("raw_hash", F.lit("q"))):
+        with pytest.raises(Exception, match="differ from the stream"):
+            windows.locate(bad, rawdf).collect()
+    texts = rawdf.withColumn("text", F.upper("raw_hash"))
+    wanted = spark.createDataFrame([(2, "z"), (0, "x")], "file_position long, norm_hash string")
+    assert {r.file_position: r.text for r in windows.at_positions(texts, wanted, "text", "raw_hash").collect()} == {2: "Z", 0: "X"}
+    with pytest.raises(Exception, match="no such text"):
+        windows.at_positions(texts, wanted.withColumn("norm_hash", F.lit("?")), "text", "raw_hash").collect()
+
+
+def test_position_in_unit(spark):
+    df = spark.createDataFrame([(3, "u"), (1, "u"), (2, None), (5, "v")], "o long, u string")
+    assert {r.o: r.position for r in windows.position_in_unit(df, "u", "o").collect()} == {1: 0, 3: 1, 2: None, 5: 0}
 
 
 def test_label_gate_and_seal(spark, tmp_path):
