@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,19 +39,21 @@ MASKS = (
 #: Stands for a preserved token while masks run; a message that holds it is refused.
 SENTINEL = "\ue000"
 MIN_DIGITS = 3
+#: Decimal digits of any script, and the other characters with the value of a digit, such as superscripts.
+_DIGIT = "\\p{Nd}" + "".join(chr(c) for c in range(0x110000) if chr(c).isdigit() and not chr(c).isdecimal())
 
 
-def normalize(message: Column) -> Column:
+def normalize(message: Column, preserve: tuple = PRESERVE, masks: tuple = MASKS) -> Column:
     """Mask a message: preserved tokens aside, masks in order, tokens back, white space to one space, trimmed.
 
     Character classes are Unicode-aware. Null gives null; a message with the
     sentinel raises an error.
     """
-    keep = "(?U)(" + "|".join(p for _, p in PRESERVE) + ")"
+    keep = "(?U)(" + "|".join(p for _, p in preserve) + ")"
     checked = F.when(F.contains(message, F.lit(SENTINEL)), F.raise_error(F.lit("message holds the reserved code point"))).otherwise(message)
     tokens = F.regexp_extract_all(checked, F.lit(keep), F.lit(1))
     masked = F.regexp_replace(checked, keep, SENTINEL)
-    for _, pattern, into in MASKS:
+    for _, pattern, into in masks:
         masked = F.regexp_replace(masked, "(?U)" + pattern, into)
     parts = F.split(masked, SENTINEL, -1)
     restored = F.array_join(F.zip_with(parts, F.concat(tokens, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
@@ -79,8 +84,8 @@ def unescape_nul(message: Column, status: Column) -> Column:
 
 
 def is_volatile(word: Column) -> Column:
-    """Whether a word has at least three ASCII digits."""
-    return F.length(F.regexp_replace(word, "[^0-9]", "")) >= MIN_DIGITS
+    """Whether a word has at least three digits, of any script."""
+    return F.length(F.regexp_replace(word, f"[^{_DIGIT}]", "")) >= MIN_DIGITS
 
 
 def template_key(message: Column) -> Column:
@@ -109,11 +114,38 @@ def literal_text(message: Column) -> Column:
     return F.replace(F.replace(message, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
 
 
+def corrupt(message: Column, seed: int, share: float) -> Column:
+    """The message with a share of its words, one at least, as ``[MASK]``: those of the least hash of seed, message, place and word."""
+    words = F.filter(F.split(message, r"\s+", -1), lambda w: w != "")
+
+    def masked(w: Column) -> Column:
+        n = F.least(F.size(w), F.greatest(F.lit(1), F.rint(F.size(w) * F.lit(float(share))).cast("int")))
+        order = F.array_sort(F.transform(w, lambda x, i: F.struct(F.sha2(F.concat_ws("|", F.lit(str(seed)), message, i.cast("string"), x), 256).alias("h"), i.alias("i"))))
+        hidden = F.transform(F.slice(order, F.lit(1), n), lambda s: s["i"])
+        return F.array_join(F.transform(w, lambda x, i: F.when(F.array_contains(hidden, i), F.lit("[MASK]")).otherwise(x)), " ")
+
+    return F.when(F.size(words) > 0, F.transform(F.array(words), masked)[0]).otherwise("")
+
+
+def prompt(message: Column, seed: int, share: float) -> Column:
+    """The text that asks a model to restore a message; null where there is nothing to restore."""
+    clean = literal_text(message)
+    return F.when(clean.rlike(r"\S"), F.concat(F.lit("Restore the log message:\n"), corrupt(clean, seed, share), F.lit("\nOriginal:\n")))
+
+
 def normalize_block_id(token: Column) -> Column:
-    """``blk_00042`` to ``blk_42``, ``blk_-0`` to ``blk_0``; null if it is no block id."""
-    digits = F.regexp_extract(token, r"^blk_(-?\d+)$", 1)
-    number = F.when(digits != "", digits.cast("decimal(38,0)"))
-    return F.concat(F.lit("blk_"), number.cast("string"))
+    """``blk_00042`` to ``blk_42``, ``blk_-0`` to ``blk_0``, of any length; null if it is no block id."""
+    sign, digits = F.regexp_extract(token, r"^blk_(-?)0*(\d+)$", 1), F.regexp_extract(token, r"^blk_(-?)0*(\d+)$", 2)
+    return F.when(digits != "", F.concat(F.lit("blk_"), F.when(digits == "0", "").otherwise(sign), digits))
+
+
+def _numeric_order(form: Column) -> Column:
+    """A key that orders normal forms as numbers: sign, length, digits; of negative ones the longer and larger come first."""
+    digits, negative = F.regexp_extract(form, r"(\d+)$", 1), F.contains(form, F.lit("-"))
+    turned = F.translate(digits, "0123456789", "9876543210")
+    return F.struct(
+        (~negative).alias("up"), F.when(negative, -F.length(digits)).otherwise(F.length(digits)).alias("size"), F.when(negative, turned).otherwise(digits).alias("digits"), form.alias("form")
+    )
 
 
 def block_tokens(message: Column) -> Column:
@@ -121,9 +153,39 @@ def block_tokens(message: Column) -> Column:
     raw = F.regexp_extract_all(message, F.lit(r"(?<![A-Za-z0-9_])blk_[^\s,;:()\[\]]*"), F.lit(0))
     good = F.filter(raw, lambda t: t.rlike(r"^blk_-?\d+$"))
     forms = F.transform(good, normalize_block_id)
-    number = lambda t: F.substring(t, 5, 60).cast("decimal(38,0)")
-    ordered = F.transform(F.array_sort(F.array_distinct(F.transform(forms, number))), lambda n: F.concat(F.lit("blk_"), n.cast("string")))
+    ordered = F.transform(F.array_sort(F.transform(F.array_distinct(forms), _numeric_order)), lambda k: k["form"])
     repeated = F.filter(F.array_distinct(forms), lambda t: F.size(F.filter(forms, lambda u: u == t)) > 1)
     return F.struct(
         good.alias("raw"), ordered.alias("ids"), repeated.alias("duplicates"), F.filter(raw, lambda t: ~t.rlike(r"^blk_-?\d+$")).alias("malformed")
     )
+
+
+#: What the conditions of a mask rule may not speak of.
+_LABEL_WORDS = ("label", "anomaly", "anomalous", "ground_truth", "groundtruth")
+
+
+def load_rules(path: str) -> tuple[tuple[tuple[str, str], ...], tuple[tuple[str, str, str], ...]]:
+    """Preserved tokens and masks of a JSON rule table ``{"preserve": [...], "masks": [...]}``, checked.
+
+    Each rule has a ``name`` of its own, a ``pattern`` that compiles and, for masks, what stands ``into`` its place. A rule that
+    speaks of labels anywhere, or an unknown field, is refused: masks must not depend on them.
+    """
+    with open(path, encoding="utf-8") as f:
+        table = json.load(f)
+    names, out = set(), []
+    for part, fields in (("preserve", {"name", "pattern"}), ("masks", {"name", "pattern", "into"})):
+        rules = []
+        for rule in table[part]:
+            if set(rule) != fields:
+                raise ValueError(f"a rule of {part} has the fields {sorted(rule)}")
+            if any(word in str(v).lower() for v in rule.values() for word in _LABEL_WORDS):
+                raise ValueError(f"rule {rule['name']} depends on labels")
+            if rule["name"] in names:
+                raise ValueError(f"rule {rule['name']} is there twice")
+            re.compile(rule["pattern"])
+            names.add(rule["name"])
+            rules.append(tuple(rule[k] for k in ("name", "pattern", "into") if k in rule))
+        out.append(tuple(rules))
+    if set(table) - {"preserve", "masks"}:
+        raise ValueError("a rule table has preserve and masks only")
+    return out[0], out[1]

@@ -41,6 +41,54 @@ def test_knn_novelty(spark):
     assert got[7] == pytest.approx(0, abs=1e-9) and got[8] == 1 and 0 < got[9] < 1
 
 
+def test_knn_counts_distinct_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(detect, "KNN_BLOCK", 2)
+    texts = ["a b"] * 5 + ["c b", "d e", "a\u2003f g", "b b c"]
+    asked = ["a d", "B c", "q", "g a b b", "a b", ""]
+    got = {r.i: r.novelty for r in detect.knn_novelty(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), spark.createDataFrame(list(enumerate(asked)), "i int, t string"), "i", "t").collect()}
+    unique = [t.split() for t in sorted(set(texts))]
+    idf = {w: math.log((1 + len(unique)) / (1 + sum(w in u for u in unique))) + 1 for u in unique for w in u}
+
+    def unit(words):
+        v = {w: words.count(w) * idf[w] for w in set(words) if w in idf}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {w: x / norm for w, x in v.items()}
+
+    for i, t in enumerate(asked):
+        v = unit(t.lower().split())
+        assert got[i] == pytest.approx(1 - max(sum(v.get(w, 0) * x for w, x in unit(u).items()) for u in unique), abs=1e-9), t
+
+
+def test_pca_keeps_as_many_components_as_the_variance_needs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 70))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, x array<double>")
+    got = {r.i: r.residual for r in detect.pca_residual(df, df, "x").collect()}
+    c = x - x.mean(0)
+    _, s, vt = np.linalg.svd(c, full_matrices=False)
+    k = int(np.searchsorted(np.cumsum(s**2) / (s**2).sum(), 0.95) + 1)
+    rest = c - c @ vt[:k].T @ vt[:k]
+    assert k > 50 and all(got[i] == pytest.approx(v, abs=1e-6) for i, v in enumerate((rest * rest).sum(1)))
+
+
+def test_order_blind_distance(spark):
+    rows = [("a", m) for m in "xxy"] + [("b", m) for m in "xz"] + [("new", m) for m in "qqx"]
+    got = {r.s: r for r in detect.novelty_flags(spark.createDataFrame(rows, "s string, m string"), F.col("s") != "new", "s", "m").collect()}
+    mean = {"x": 1.5, "y": 0.5, "z": 0.5}
+    assert got["new"].unseen == 2 and got["new"].length == 3 and got["new"].distinct_messages == 2
+    assert got["new"].distance == pytest.approx(math.sqrt(sum(({"q": 2, "x": 1}.get(m, 0) - mean.get(m, 0)) ** 2 for m in "qxyz")))
+
+
+def test_trees_draw_from_all_rows(spark):
+    rows = [(i, [float(i), 0.0]) for i in range(6000)] + [(9999, [50.0, 77.0])]
+    df = spark.createDataFrame(rows, "i int, x array<double>").repartition(8)
+    f = {x.i: x.isolation for x in detect.isolation_forest(df, df.where("i % 100 = 0 or i = 9999"), "x", "i", trees=400, sample=64).collect()}
+    assert f == {x.i: x.isolation for x in detect.isolation_forest(df.repartition(3), df.where("i % 100 = 0 or i = 9999"), "x", "i", trees=400, sample=64).collect()}
+    assert len(f) == 61 and all(0 < v < 1 for v in f.values())
+
+
 def test_pca_and_forest_find_the_odd_one(spark):
     rows = [(i, [float(i % 10), 2.0 * (i % 10), 1.0]) for i in range(100)]
     odd = [(1000, [5.0, -30.0, 9.0])]

@@ -73,3 +73,42 @@ def test_membership_digest_ignores_order_and_blocks(spark):
 
 def test_canonical_json_sorts_and_keeps_nulls(spark):
     assert one(spark, identity.canonical_json(b=F.lit(1), a=F.lit(None).cast("string")), m="x") == '{"a":null,"b":1}'
+
+
+def test_block_ids_of_any_length(spark):
+    long = "9" * 60
+    m = f"blk_{long} blk_-{long} blk_000{long} blk_10 blk_9 blk_-10 blk_-9 blk_-0 blk_000 blk_x"
+    r = spark.createDataFrame([(m,)], "m string").select(text.block_tokens(F.col("m")).alias("b")).first().b
+    assert r.ids == [f"blk_-{long}", "blk_-10", "blk_-9", "blk_0", "blk_9", "blk_10", f"blk_{long}"]
+    assert r.duplicates == [f"blk_{long}", "blk_0"] and r.malformed == ["blk_x"]
+
+
+def test_volatile_words_have_digits_of_any_script(spark):
+    words = ["a123", "12b", "\u0661\u0662\u0663", "x\u00b2\u00b3\u00b9", "\u2460\u24611", "\u00bd\u00bd\u00bd", "1\u06622"]
+    got = [r.v for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.is_volatile(F.col("w")).alias("v")).collect()]
+    assert got == [sum(c.isdigit() for c in w) >= 3 for w in words]
+
+
+def test_corruption_and_prompts(spark):
+    df = spark.createDataFrame([(1, "one two  three four five"), (2, "x"), (3, "  "), (4, None), (5, "a <|b|> c")], "i int, m string")
+    got = {r.i: (r.c, r.p) for r in df.select("i", text.corrupt(F.col("m"), 7, 0.4).alias("c"), text.prompt(F.col("m"), 7, 0.0).alias("p")).collect()}
+    assert got[1][0].split().count("[MASK]") == 2 and len(got[1][0].split()) == 5 and got[2][0] == "[MASK]" and got[3] == ("", None)
+    assert got[1][1].startswith("Restore the log message:\n") and got[1][1].count("[MASK]") == 1 and "< |b| >" in got[5][1].replace("[MASK]", "< |b| >")
+    again = df.repartition(3).select("i", text.corrupt(F.col("m"), 7, 0.4).alias("c")).collect()
+    assert {r.i: r.c for r in again} == {i: c for i, (c, _) in got.items()}
+
+
+def test_rule_tables(spark, tmp_path):
+    import json
+
+
+    def load(**changes):
+        table = {"preserve": [{"name": "http", "pattern": r"HTTP/\d"}], "masks": [{"name": "n", "pattern": r"\d+", "into": "<N>"}]} | changes
+        (tmp_path / "r.json").write_text(json.dumps(table))
+        return text.load_rules(str(tmp_path / "r.json"))
+
+    preserve, masks = load()
+    assert spark.sql("select 'HTTP/1 7' m").select(text.normalize(F.col("m"), preserve, masks)).first()[0] == "HTTP/1 <N>"
+    for bad in ({"masks": [{"name": "http", "pattern": "x", "into": "y"}]}, {"masks": [{"name": "a", "pattern": "(", "into": "y"}]}, {"masks": [{"name": "is_anomaly", "pattern": "x", "into": "y"}]}, {"masks": [{"name": "a", "pattern": "x", "into": "y", "when": "z"}]}, {"more": []}):
+        with pytest.raises(Exception):  # noqa: B017
+            load(**bad)
