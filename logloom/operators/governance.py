@@ -35,6 +35,81 @@ def overlaps(members: DataFrame, keys: list[str], partition: str = "partition")
     return members.groupBy(*keys).agg(F.array_sort(F.collect_set(partition)).alias("partitions")).where(F.size("partitions") > 1)
 
 
+def audit(members: DataFrame, stream: DataFrame, architecture: str = "architecture_id", unit: str = "unit") -> DataFrame:
+    """``fold_id, check_id, verdict, observation`` of the isolation checks that rows can decide.
+
+    ``members`` are rows of folds (:func:`fold_members`) with ``rank, effective_ts, raw_h, norm_h``; ``stream`` all rows.
+    An observation counts what speaks against a fold; that of L02 and L03, for information, the distinct texts of the evaluation that training has.
+    L05 counts units in two partitions. L07 counts pairs of partitions that are not in time's order.
+    """
+    c = F.col
+    is_ = lambda p: c("partition") == p
+    target = F.substring("fold_id", 6, 1 << 20) == c(architecture)
+    source = c("partition").startswith("SOURCE")
+    folds = members.groupBy("fold_id").agg(F.count_if(source & target).alias("L14"), F.count_if(c("segment") == 1).alias("L16"), F.count_distinct(F.when(source & target, c(architecture))).alias("L01"))
+    place = lambda *keys: overlaps(members, ["fold_id", *keys])
+    repeated = place(architecture, "rank").groupBy("fold_id").agg(F.count("*").alias("L04"))
+    both = F.array_contains("partitions", "TARGET_BURN_IN") & F.array_contains("partitions", "TARGET_EVALUATION")
+    burnt = place("rank", architecture).where(both).groupBy("fold_id").agg(F.count("*").alias("L08"))
+    split = place(architecture, unit).where(c(unit).isNotNull()).groupBy("fold_id").agg(F.count("*").alias("L05"))
+    taught = F.array_contains("partitions", "SOURCE_TRAIN") & F.array_contains("partitions", "TARGET_EVALUATION")
+    seen = [place(h).where(taught & c(h).isNotNull()).groupBy("fold_id").agg(F.count("*").alias(k)) for k, h in (("L02", "raw_h"), ("L03", "norm_h"))]
+    ordered = previous(members, "effective_ts", c("rank").asc(), name="__above", by=("fold_id", "partition", architecture))
+    turned = ordered.groupBy("fold_id").agg(F.count_if(c("effective_ts") < c("__above")).alias("L06"))
+    ends = members.groupBy("fold_id", architecture).agg(
+        F.max(F.when(is_("SOURCE_TRAIN"), c("effective_ts"))).alias("a"), F.min(F.when(is_("SOURCE_VALIDATION"), c("effective_ts"))).alias("b"),
+        F.max(F.when(is_("TARGET_BURN_IN"), c("effective_ts"))).alias("c"), F.min(F.when(is_("TARGET_EVALUATION"), c("effective_ts"))).alias("d"),
+    )
+    late = ends.groupBy("fold_id").agg((F.count_if(c("a") >= c("b")) + F.count_if(c("c") >= c("d"))).alias("L07"))
+    out = folds
+    for part in (repeated, burnt, split, *seen, turned, late):
+        out = out.join(part, "fold_id", "left")
+    names = ("L01", "L02", "L03", "L04", "L05", "L06", "L07", "L08", "L14", "L16")
+    told = out.select("fold_id", F.explode(F.array(*[F.struct(F.lit(k).alias("check_id"), F.coalesce(c(k), F.lit(0)).cast("long").alias("observation")) for k in names])).alias("x"))
+    verdict = F.when(c("x.check_id").isin("L02", "L03"), "INFORMATIONAL").when(c("x.observation") == 0, "PASS").otherwise("FAIL")
+    return told.select("fold_id", "x.check_id", verdict.alias("verdict"), "x.observation")
+
+
+def audit_files(modules: dict[str, str], rules: tuple[str, str], manifests: dict[str, str], artifacts: dict[str, str], exceptions: list[dict], label_module: str) -> list[dict]:
+    """``check_id, verdict, observation`` of the checks that files decide, given their texts or digests.
+
+    L09: adaptation modules (name to source) that import the label module. L10: the rule table's digest now and at the
+    scan. L11, L12: declarations, for information. L13: manifests (fold to digest) that collide. L15: artifacts (name to text) that hold a private path.
+    L17: registered exceptions without all their fields or a reason.
+    """
+    import ast
+
+    def imports(source: str) -> set[str]:
+        found = set()
+        for node in ast.walk(ast.parse(source)):
+            found |= {a.name for a in node.names} if isinstance(node, ast.Import) else {node.module or ""} | {f"{node.module}.{a.name}" for a in node.names} if isinstance(node, ast.ImportFrom) else set()
+        return found
+
+    fields = {"id", "title", "reason", "blocks", "approver"}
+    against = {
+        "L09": sorted(n for n, source in modules.items() if any(m == label_module or m.startswith(f"{label_module}.") for m in imports(source))),
+        "L10": [] if rules[0] == rules[1] else ["the rule table changed since the scan"],
+        "L13": sorted(n for n, d in manifests.items() if list(manifests.values()).count(d) > 1),
+        "L15": sorted(n for n, t in artifacts.items() if str(Path.home()) in t or re.search(r'"/(Users|home)/', t)),
+        "L17": sorted(str(e.get("id", "?")) for e in exceptions if not fields <= set(e) or not str(e["reason"]).strip()),
+    }
+    out = [{"check_id": k, "verdict": "FAIL" if v else "PASS", "observation": v} for k, v in against.items()]
+    out += [{"check_id": k, "verdict": "INFORMATIONAL", "observation": what} for k, what in (("L11", ["no template is fitted before the split"]), ("L12", ["no statistic is fitted on a partition"]))]
+    return sorted(out, key=lambda x: x["check_id"])
+
+
+def compare_builds(one: DataFrame, two: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """``field, equal, different, only_one, only_two``: rows of two builds that agree in each declared field; nulls equal each other."""
+    a = one.select(*keys, F.struct(*fields).alias("__a"))
+    b = two.select(*keys, F.struct(*fields).alias("__b"))
+    both = a.join(b, keys, "full")
+    here, there = F.col("__a").isNotNull(), F.col("__b").isNotNull()
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"__a.{f}").eqNullSafe(F.col(f"__b.{f}")).alias("same")) for f in fields]))
+    told = both.select(here.alias("x"), there.alias("y"), each.alias("e"))
+    x, y = F.col("x"), F.col("y")
+    return told.groupBy("e.field").agg(F.count_if(x & y & F.col("e.same")).alias("equal"), F.count_if(x & y & ~F.col("e.same")).alias("different"), F.count_if(x & ~y).alias("only_one"), F.count_if(y & ~x).alias("only_two"))
+
+
 def content_overlap(train: DataFrame, evaluation: DataFrame, text: str) -> DataFrame:
     """``evaluation_distinct, shared, ratio`` of distinct texts."""
     a, b = train.select(text).distinct(), evaluation.select(text).distinct()

@@ -14,25 +14,27 @@ from logloom.operators.ordering import global_rank, quantiles, running_sums
 Z95 = 1.959963984540054
 
 
-def score_table(df: DataFrame, score: str, label: str) -> DataFrame:
-    """``score, n, pos`` by distinct score, with ``n_upto`` and ``tp_upto`` from the highest score down."""
-    distinct = df.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).persist()
-    return running_sums(distinct, -F.col("score"), sums={"n_upto": F.col("n"), "tp_upto": F.col("pos")})
+def score_table(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``score, n, pos`` by distinct score of each group, with ``n_upto`` and ``tp_upto`` from the highest score down."""
+    distinct = df.groupBy(*by, F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    return running_sums(distinct, -F.col("score"), sums={"n_upto": F.col("n"), "tp_upto": F.col("pos")}, by=by)
 
 
-def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: ``units, positives, average_precision, auroc``; the latter two null without both classes.
+def ranking_metrics(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each group: ``units, positives, average_precision, auroc``; the latter two null without both classes.
 
     Precision steps over distinct scores; AUROC takes mid-ranks for ties.
     """
-    table = score_table(df, score, label)
-    whole = df.agg(F.count("*").alias("units"), F.sum(F.col(label).cast("long")).alias("positives"))
+    table = score_table(df, score, label, by)
+    whole = df.groupBy(*by).agg(F.count("*").alias("units"), F.sum(F.col(label).cast("long")).alias("positives"))
     step = F.col("pos") * F.col("tp_upto") / F.col("n_upto")
     # a positive outranks the negatives below it and half of those beside it
     beaten = F.col("pos") * ((F.col("units") - F.col("positives")) - (F.col("n_upto") - F.col("tp_upto")) + (F.col("n") - F.col("pos")) / 2)
     both = (F.col("positives") > 0) & (F.col("positives") < F.col("units"))
-    sums = table.join(F.broadcast(whole)).groupBy("units", "positives").agg(F.sum(step).alias("s"), F.sum(beaten).alias("b"))
+    joined = table.join(whole, list(by)) if by else table.join(F.broadcast(whole))
+    sums = joined.groupBy(*by, "units", "positives").agg(F.sum(step).alias("s"), F.sum(beaten).alias("b"))
     return sums.select(
+        *by,
         "units",
         "positives",
         F.when(both, F.col("s") / F.col("positives")).alias("average_precision"),
@@ -40,6 +42,30 @@ def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
+def best_single(df: DataFrame, scores: tuple[str, ...], label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The greatest average precision of some scores, by group: ``best``."""
+    told = [ranking_metrics(df, s, label, by).select(*by, "average_precision") for s in scores]
+    out = told[0]
+    for other in told[1:]:
+        out = out.unionByName(other)
+    return out.groupBy(*by).agg(F.max("average_precision").alias("best"))
+
+
+def rank_configurations(df: DataFrame, scores: dict[str, Column], singles: tuple[str, ...], label: str, by: str, margin: float = -0.02) -> DataFrame:
+    """``config, worst, mean, qualifies, place``: settings by their worst gain in average precision over the better single score, then by their mean.
+
+    A gain is taken in each system ``by``; a setting qualifies where its worst gain is not below ``margin`` and one is above 0.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("config"), c.alias("value")) for n, c in scores.items()]))
+    spread = df.select(by, label, each.alias("c")).select(by, label, "c.config", "c.value")
+    found = ranking_metrics(spread, "value", label, (by, "config")).join(best_single(df, singles, label, (by,)), by)
+    gains = found.groupBy("config").agg(
+        F.min(F.col("average_precision") - F.col("best")).alias("worst"), F.avg(F.col("average_precision") - F.col("best")).alias("mean"), F.max(F.col("average_precision") - F.col("best")).alias("top")
+    )
+    order = Window.orderBy(F.desc(F.round("worst", 9)), F.desc(F.round("mean", 9)), "config")  # a row for each setting
+    return gains.select("config", "worst", "mean", ((F.col("worst") >= margin) & (F.col("top") > 0)).alias("qualifies"), F.row_number().over(order).cast("long").alias("place"))
+
+
 def at_budgets(df: DataFrame, score: str, label: str, unit: str, budgets: tuple[float, ...]) -> DataFrame:
     """``budget, flagged, recall, precision, fpr`` of the top max(1, ceil(budget * n)) units; ties by unit order."""
     ranked = global_rank(df.select(score, label, unit), -F.col(score), F.col(unit).asc(), name="__place")
@@ -226,6 +252,88 @@ def tail_lift(df: DataFrame, a: str, b: str, q: float = 0.05) -> DataFrame:
     )
 
 
+#: Permutations of the gate's test.
+PERMUTATIONS = 2000
+
+
+def overlap_null(n: int, first: tuple[int, int, float], second: tuple[int, int, float], permutations: int = PERMUTATIONS, seed: int = 42) -> np.ndarray:
+    """Overlaps of two fractional top shares whose units are matched at random.
+
+    Each share is (units inside, units at its border, weight of those). A permutation only matters by how many units of each kind
+    meet, and those numbers are hypergeometric, so no unit is drawn.
+    """
+    rng = np.random.default_rng(seed)
+    (a1, at, fa), (b1, bt, fb) = first, second
+    # of the second share's inner units: how many fall on the first's inner and border units; then the same of its border units
+    inner = rng.multivariate_hypergeometric([a1, at, n - a1 - at], b1, permutations, method="marginals")
+    border = np.array([rng.multivariate_hypergeometric(left, bt, method="marginals") for left in np.array([a1, at, n - a1 - at]) - inner])
+    return inner[:, 0] + fa * inner[:, 1] + fb * (border[:, 0] + fa * border[:, 1])
+
+
+def tail_gate(df: DataFrame, a: str, b: str, q: float = 0.05, permutations: int = PERMUTATIONS, seed: int = 42) -> dict:
+    """``n, k, overlap, expected, lift, p_value, open`` of two scores' top shares: whether their extremes meet more often than by chance."""
+    from logloom.operators.sampling import top_membership
+
+    n = df.count()
+    k = max(1, math.ceil(q * n))
+    both = top_membership(top_membership(df, a, k, "__wa"), b, k, "__wb")
+    told = [F.sum(F.col("__wa") * F.col("__wb")).alias("overlap")]
+    for w in ("__wa", "__wb"):
+        part = (F.col(w) > 0) & (F.col(w) < 1)
+        told += [F.count_if(F.col(w) == 1).alias(f"{w}1"), F.count_if(part).alias(f"{w}t"), F.coalesce(F.max(F.when(part, F.col(w))), F.lit(0.0)).alias(f"{w}f")]
+    row = both.agg(*told).first()
+    null = overlap_null(n, *[(row[f"{w}1"], row[f"{w}t"], row[f"{w}f"]) for w in ("__wa", "__wb")], permutations, seed)
+    out = {"n": n, "k": k, "overlap": row["overlap"], "expected": k * k / n, "lift": row["overlap"] / (k * k / n), "p_value": float((1 + (null >= row["overlap"] - 1e-12).sum()) / (1 + permutations))}
+    return out | {"open": gate_is_open(out["lift"], out["p_value"])}
+
+
+def gated_score(p: Column, q: Column, is_open: bool) -> Column:
+    """The mean of two tail p-values behind an open gate, the first alone behind a closed one; minus the log."""
+    from logloom.operators.fusion import vovk_wang
+
+    return vovk_wang(p, q) if is_open else -F.ln(p)
+
+
+def paired_gain(df: DataFrame, score: str, against: tuple[str, ...], label: str, cluster: str, reps: int = 2000, seed: int = 42) -> DataFrame:
+    """``point, ci_low, ci_high, one_sided_p_le_0, replicates`` of a score's average precision less that of the best of some others.
+
+    The best is the one on the whole cohort; the interval is of resampled whole clusters.
+    """
+    found = {s: ranking_metrics(df, s, label).first()["average_precision"] for s in (score, *against)}
+    best = max(against, key=lambda s: found[s])
+    return summarize_interval(cluster_bootstrap(df, score, best, label, cluster, reps, seed), "gain", found[score] - found[best])
+
+
+def evaluate(df: DataFrame, methods: tuple[str, ...], tests: dict[str, tuple[str, tuple[str, ...]]], label: str, cluster: str, budgets: tuple[float, ...] = (0.01, 0.05), reps: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Metrics of each method, and the gain of each test ``name: (score, scores to beat)`` with its interval, Holm's decision and non-inferiority.
+
+    The first frame has ``method, units, positives, average_precision, auroc`` and a recall for each budget.
+    """
+    unit = "__unit"
+    rows = df.select(F.monotonically_increasing_id().alias(unit), label, *methods)
+    singles, gains = None, None
+    for m in methods:
+        told = ranking_metrics(rows, m, label).select(F.lit(m).alias("method"), "units", "positives", "average_precision", "auroc")
+        recalls = at_budgets(rows, m, label, unit, budgets).agg(*[F.max(F.when(F.col("budget") == b, F.col("recall"))).alias(f"recall_at_{b:g}") for b in budgets])
+        told = told.join(F.broadcast(recalls))
+        singles = told if singles is None else singles.unionByName(told)
+    for name, (score, against) in tests.items():
+        told = paired_gain(df, score, against, label, cluster, reps).select(F.lit(name).alias("test"), "*", (F.col("ci_low") > NONINFERIORITY).alias("noninferior"))
+        gains = told if gains is None else gains.unionByName(told)
+    return singles, holm(gains, "one_sided_p_le_0") if gains is not None else None
+
+
+#: A gain whose interval lies above this is no loss.
+NONINFERIORITY = -0.02
+
+
+def parity(recorded: DataFrame, got: DataFrame, key: str, value: str, relative: float = 0.0, absolute: float = 0.0) -> DataFrame:
+    """``key, recorded, got, pass``: whether values agree within the larger of two tolerances; what one side lacks fails."""
+    both = recorded.select(key, F.col(value).alias("recorded")).join(got.select(key, F.col(value).alias("got")), key, "full")
+    near = F.abs(F.col("got") - F.col("recorded")) <= F.greatest(F.abs("recorded") * relative, F.lit(float(absolute)))
+    return both.withColumn("pass", F.coalesce(near, F.lit(False)))
+
+
 def gate_is_open(lift: float, p_value: float, least: float = 2.0, alpha: float = 0.01) -> bool:
     return lift >= least and p_value < alpha
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text
+from logloom.operators.ordering import carried
 
 #: What stands for the message of a line that has none.
 EMPTY_CONTENT = "EMPTY_CONTENT"
@@ -30,24 +35,35 @@ def resolve_files(spark: SparkSession, root: str, globs: list[str]) -> DataFrame
 def lines(spark: SparkSession, paths: list[str], most: int | None = None) -> DataFrame:
     """``source_file, file_rank, line, raw, terminator, valid_utf8, raw_sha256`` of every line, exactly numbered from 1.
 
-    A file is read as a whole, so this suits files of up to some hundreds of MB; larger ones
-    should be split before. A last line without a terminator counts; an empty file has none.
+    Files of any size are read in splits: a line's number is its place in its split and the lines of the splits before.
+    Only a file's last line may lack a terminator, which its size tells; an empty file has no lines. A byte-order mark, which
+    the reader drops, is put back. Files are plain: a compressed one is no text here.
     """
     ranks = spark.createDataFrame(list(enumerate(paths)), "file_rank int, __path string")
-    files = spark.read.format("binaryFile").load(paths).join(F.broadcast(ranks), F.expr("endswith(path, regexp_replace(__path, '^[a-z]+:/*', '/'))"))
-    whole = F.decode("content", "ISO-8859-1")  # byte by byte; UTF-8 is checked for each line below
-    parts = F.regexp_extract_all(whole, F.lit(r"(?s)[^\n]*\n|[^\n]+\z"), F.lit(0))
-    rows = files.select(F.col("path").alias("source_file"), "file_rank", F.posexplode(parts).alias("line", "latin"))
-    ending = F.when(F.endswith("latin", F.lit("\r\n")), "CRLF").when(F.endswith("latin", F.lit("\n")), "LF").when(F.endswith("latin", F.lit("\r")), "CR").otherwise("NONE")
-    bytes_ = F.encode(F.regexp_replace("latin", r"\r?\n\z|\r\z", ""), "ISO-8859-1")
+    split = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "path"), ("file_block_start", "start"), ("file_size", "size"))]
+    read = spark.read.option("lineSep", "\n").text(paths).select(F.col("value").cast("binary").alias("value"), *split, F.monotonically_increasing_id().alias("id"))
+    # rows of a split stand together in one task, in order
+    splits = read.groupBy("path", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    upto = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("path")
+    table = splits.select(
+        F.col("path").alias("__p"), F.col("start").alias("__s"), "first", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("all"), F.sum("bytes").over(whole).alias("bytes")
+    )
+    placed = read.join(table, (F.col("path") == F.col("__p")) & (F.col("start") == F.col("__s"))).withColumn("line", F.col("id") - F.col("first") + F.col("before") + 1)
+    lost = F.col("size") - F.col("bytes")  # 0; -1 without a last terminator; 3 more with a byte-order mark
+    value = F.when((F.col("line") == 1) & (lost >= 2), F.concat(F.lit(b"\xef\xbb\xbf"), F.col("value"))).otherwise(F.col("value"))
+    ended = (F.col("line") < F.col("all")) | lost.isin(0, 3)
+    rows = placed.join(F.broadcast(ranks), F.expr("endswith(path, regexp_replace(__path, '^[a-z]+:/*', '/'))")).select(F.col("path").alias("source_file"), "file_rank", "line", value.alias("value"), ended.alias("ended"))
+    return_ = F.substring("value", -1, 1) == F.lit(b"\r")
+    raw = F.when(return_, F.expr("substring(value, 1, octet_length(value) - 1)")).otherwise(F.col("value"))
     out = rows.select(
         "source_file",
         "file_rank",
-        (F.col("line") + 1).cast("long").alias("line"),
-        bytes_.alias("raw"),
-        ending.alias("terminator"),
-        F.is_valid_utf8(bytes_.cast("string")).alias("valid_utf8"),
-        F.sha2(bytes_, 256).alias("raw_sha256"),
+        F.col("line").cast("long").alias("line"),
+        raw.alias("raw"),
+        F.when(F.col("ended"), F.when(return_, "CRLF").otherwise("LF")).otherwise(F.when(return_, "CR").otherwise("NONE")).alias("terminator"),
+        F.is_valid_utf8(raw.cast("string")).alias("valid_utf8"),
+        F.sha2(raw, 256).alias("raw_sha256"),
     )
     if most is not None:
         out = out.orderBy("file_rank", "line").limit(most)
@@ -78,6 +94,9 @@ def _filled(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+#: The line formats of the four systems are in the parsers' patterns below.
+
+
 def parse_hdfs(df: DataFrame) -> DataFrame:
     """``(source_file, line, text)`` of the form ``yymmdd HHMMSS pid LEVEL component: content``; other lines are MALFORMED.
 
@@ -190,12 +209,28 @@ def read_block_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sectioned_labels(lines_: DataFrame) -> DataFrame:
     """``session_id, section`` of text with headers such as ``Normal:`` above items ``+ application_...``; input ``(line, text)``."""
-    upto = Window.partitionBy(F.lit(0)).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     header = F.when(F.col("text").rlike(r"^\s*[^+].*:\s*$"), F.regexp_extract("text", r"^\s*(.*?):\s*$", 1))
-    told = lines_.withColumn("section", F.last(header, ignorenulls=True).over(upto))
+    told = carried(lines_.withColumn("__header", header), "__header", F.col("line").asc(), name="section")
     return told.where(F.col("text").rlike(r"^\s*\+\s*application_")).select(F.regexp_extract("text", r"(application_\S+)", 1).alias("session_id"), "section")
 
 
+def read_inline_labels(lines_: DataFrame) -> DataFrame:
+    """``line, anomaly`` of lines that begin with a marker: ``-`` for normal, any other first word for an alert; a line without one has none."""
+    marker = F.substring_index("text", " ", 1)
+    return lines_.where(marker != "").select("line", (marker != "-").alias("anomaly"))
+
+
+def read_listed_labels(lines_: DataFrame) -> DataFrame:
+    """``session_id`` of each line that is one instance's id and nothing else: all of them are anomalous, the rest is not listed."""
+    found = F.regexp_extract("text", r"^\s*([0-9a-fA-F-]{36})\s*$", 1)
+    return lines_.where(found != "").select(found.alias("session_id")).distinct()
+
+
+def label_inventory(labels: DataFrame, anomaly: str = "anomaly") -> DataFrame:
+    """``positives, negatives, total``; a null label is neither."""
+    return labels.agg(F.count_if(F.col(anomaly)).alias("positives"), F.count_if(~F.col(anomaly)).alias("negatives"), F.count(anomaly).alias("total"))
+
+
 def write_stream(stream: DataFrame, path: str) -> None:
     """A stream as zstd Parquet by architecture and segment; an existing one is never overwritten."""
     by = [c for c in ("architecture_id", "segment") if c in stream.columns]
@@ -214,6 +249,41 @@ def write_jsonl(df: DataFrame, path: str, key: str, by: str | None = None, only_
     return told[1] or 0, told[0]
 
 
+def write_scores(scores: DataFrame, path: str, name: str) -> None:
+    """The scores of one expert as JSON lines under its name, never overwritten: ``window_id, status, nll_mean`` and more."""
+    missing = {"window_id", "status", "nll_mean"} - set(scores.columns)
+    if missing or not re.fullmatch(r"[A-Za-z0-9_.-]+", name):
+        raise ValueError(f"scores of {name!r} lack {sorted(missing)}")
+    scores.write.mode("errorifexists").option("compression", "gzip").json(f"{path.rstrip('/')}/{name}")
+
+
+def canonical_payload(value: object) -> tuple[bytes, str]:
+    """A small object as gzipped JSON with sorted keys and its digest: the same bytes on every run."""
+    raw = json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()
+    return gzip.compress(raw, mtime=0), hashlib.sha256(raw).hexdigest()
+
+
+def write_corpus(records: DataFrame, path: str, key: str, by: str) -> dict[str, tuple[int, str]]:
+    """Canonical records as gzipped JSON lines for each value of ``by``, and (rows, digest) of each; a value's rows are split over files."""
+    found = {r[0]: write_jsonl(records.where(F.col(by).eqNullSafe(r[0])), "", key, only_digest=True) for r in records.select(by).distinct().orderBy(by).collect()}
+    records.write.mode("errorifexists").option("compression", "gzip").partitionBy(by).json(path)
+    return found
+
+
+def verify_manifest(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """``path, state`` of each file of a manifest: OK, CHANGED or MISSING; compared by size and digest."""
+    paths = [r[0] for r in manifest.select("path").collect()]
+    there = [p for p in paths if _exists(spark, p)]
+    now = file_manifest(spark, there).select("path", F.col("sha256").alias("__now")) if there else spark.createDataFrame([], "path string, __now string")
+    joined = manifest.join(now, "path", "left")
+    return joined.select("path", F.when(F.col("__now").isNull(), "MISSING").when(F.col("__now") == F.col("sha256"), "OK").otherwise("CHANGED").alias("state"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def file_manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``path, size_bytes, sha256, utf8`` of each file."""
     found = spark.read.format("binaryFile").load(paths)

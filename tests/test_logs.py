@@ -81,3 +81,59 @@ def test_sinks_refuse_to_overwrite_and_digest_rows(spark, tmp_path):
     n, d = logs.write_jsonl(df, str(tmp_path / "j"), "rank")
     assert (n, d) == logs.write_jsonl(df.repartition(3), "", "rank", only_digest=True)
     assert d != logs.write_jsonl(df.where(F.col("rank") > 0), "", "rank", only_digest=True)[1]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Many splits, lines that cross them, a mark at the beginning, with and without a last terminator."""
+    import random
+
+    rng = random.Random(4)
+    made = {}
+    for name, head, tail in (("a", b"", b""), ("b", b"\xef\xbb\xbf", b"\n"), ("c", b"", b"\r"), ("d", b"\xef\xbb\xbf", b""), ("e", b"", b"\n")):
+        made[name] = head + b"".join(bytes(rng.choice(b"xyz\xff \xc3\xa9") for _ in range(rng.choice([0, 3, 40, 900]))) + rng.choice([b"\n", b"\r\n"]) for _ in range(400)) + b"end" + tail
+        (tmp_path / f"{name}.log").write_bytes(made[name])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    rows = logs.lines(spark, [str(tmp_path / f"{n}.log") for n in made]).orderBy("file_rank", "line").collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = []
+    for k, data in enumerate(made.values()):
+        parts = data.split(b"\n")
+        for i, x in enumerate(parts[:-1] if parts[-1] == b"" else parts):
+            ended, back = i < len(parts) - 1, x.endswith(b"\r")
+            want.append((k, i + 1, x[:-1] if back else x, {(True, True): "CRLF", (True, False): "LF", (False, True): "CR", (False, False): "NONE"}[ended, back]))
+    assert [(r.file_rank, r.line, bytes(r.raw), r.terminator) for r in rows] == want
+
+
+def test_more_labels_and_sinks(spark, tmp_path):
+    df = lambda *x: spark.createDataFrame(list(enumerate(x)), "line int, text string")
+    inline = logs.read_inline_labels(df("- 1 ok", "APPREAD 2 bad", "", "- 3", " 4"))
+    assert {r.line: r.anomaly for r in inline.collect()} == {0: False, 1: True, 3: False}
+    assert tuple(logs.label_inventory(inline).first()) == (1, 2, 3)
+    u = "b9000564-fe1a-409b-b8cc-1e88b294cd1d"
+    assert [r.session_id for r in logs.read_listed_labels(df(f" {u} ", "These are:", u, "x")).collect()] == [u]
+    scores = spark.createDataFrame([("w1", "OK", 1.0), ("w2", "ABSTAIN", 2.0)], "window_id string, status string, nll_mean double")
+    logs.write_scores(scores, str(tmp_path), "expert-1")
+    assert {r.window_id: r.nll for r in logs.read_scores(spark, str(tmp_path / "expert-1")).collect()} == {"w1": 1.0, "w2": None}
+    for bad in (lambda: logs.write_scores(scores, str(tmp_path), "expert-1"), lambda: logs.write_scores(scores.drop("status"), str(tmp_path), "b"), lambda: logs.write_scores(scores, str(tmp_path), "../b")):
+        with pytest.raises(Exception):  # noqa: B017
+            bad()
+    assert logs.canonical_payload({"b": 1, "a": "é"}) == logs.canonical_payload({"a": "é", "b": 1})
+    corpus = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(9)], "i long, kind string")
+    told = logs.write_corpus(corpus, str(tmp_path / "corpus"), "i", "kind")
+    assert {k: n for k, (n, _) in told.items()} == {"a": 5, "b": 4} and spark.read.json(str(tmp_path / "corpus")).count() == 9
+    (tmp_path / "one").write_text("1")
+    (tmp_path / "two").write_text("2")
+    manifest = spark.createDataFrame(logs.file_manifest(spark, [str(tmp_path / n) for n in ("one", "two")]).collect())
+    (tmp_path / "two").write_text("3")
+    gone = spark.createDataFrame([(f"file:{tmp_path}/three", 1, "x", True)], "path string, size_bytes long, sha256 string, utf8 boolean")
+    assert sorted(r.state for r in logs.verify_manifest(spark, manifest.unionByName(gone)).collect()) == ["CHANGED", "MISSING", "OK"]
+
+
+def test_sequential_digest(spark):
+    import hashlib
+
+    from logloom.functions.identity import sequential_digest
+
+    ranks = spark.range(0, 5000, 3).withColumnRenamed("id", "rank").repartition(5)
+    assert sequential_digest(ranks) == hashlib.sha256(b"".join(k.to_bytes(8, "big") for k in range(0, 5000, 3))).hexdigest()

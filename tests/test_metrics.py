@@ -102,3 +102,45 @@ def test_logistic_and_crossfit(spark):
     df = spark.createDataFrame([(i, float(a), float(b), int(v), i % 2) for i, ((a, b), v) in enumerate(zip(x, y))], "i int, u double, v double, y int, fold int")
     out = metrics.crossfit(df, ["u", "v"], "y", "fold")
     assert metrics.ranking_metrics(out, "learned", "y").first()["auroc"] > 0.8
+
+
+def test_gate_equals_permutations_of_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 30, 400).astype(float)
+    b = np.where(rng.random(400) < 0.25, a, rng.integers(0, 30, 400)).astype(float)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b, strict=True)], "a double, b double")
+    got = metrics.tail_gate(df, "a", "b")
+
+    def weights(s, k):
+        border = np.sort(s)[::-1][k - 1]
+        w = (s > border).astype(float)
+        w[s == border] = (k - w.sum()) / (s == border).sum()
+        return w
+
+    wa, wb = weights(a, 20), weights(b, 20)
+    null = np.array([wa @ wb[rng.permutation(400)] for _ in range(4000)])
+    assert got["overlap"] == pytest.approx(wa @ wb) and got["lift"] == pytest.approx(wa @ wb / 1.0)
+    assert got["p_value"] == pytest.approx((1 + (null >= wa @ wb - 1e-12).sum()) / 4001, abs=0.03)
+    drawn = metrics.overlap_null(400, (int((wa == 1).sum()), int(((wa > 0) & (wa < 1)).sum()), wa[(wa > 0) & (wa < 1)].max(initial=0)), (int((wb == 1).sum()), int(((wb > 0) & (wb < 1)).sum()), wb[(wb > 0) & (wb < 1)].max(initial=0)), 4000)
+    assert drawn.mean() == pytest.approx(null.mean(), abs=0.06) and drawn.std() == pytest.approx(null.std(), abs=0.06)
+    assert metrics.tail_gate(df.withColumn("b", F.col("a")), "a", "b")["open"] and not metrics.tail_gate(df.withColumn("b", F.rand(1)), "a", "b")["open"]
+    p = df.select(F.lit(0.1).alias("p"), F.lit(0.3).alias("q")).limit(1)
+    assert p.select(metrics.gated_score(F.col("p"), F.col("q"), True)).first()[0] == pytest.approx(-math.log(0.2)) and p.select(metrics.gated_score(F.col("p"), F.col("q"), False)).first()[0] == pytest.approx(-math.log(0.1))
+
+
+def test_evaluation_and_parity(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i // 5, y, y + rng.random(), rng.random(), y * 0.3 + rng.random()) for i in range(300) for y in (int(rng.random() < 0.2),)]
+    df = spark.createDataFrame(rows, "chunk int, y int, good double, noise double, fair double")
+    singles, tests = metrics.evaluate(df, ("good", "noise", "fair"), {"good_over_all": ("good", ("noise", "fair")), "noise_over_fair": ("noise", ("fair",))}, "y", "chunk", reps=200)
+    told = {r.method: r for r in singles.collect()}
+    assert told["good"].average_precision == 1 and told["good"].auroc == 1 and told["noise"].auroc < 0.7 and 0 < told["good"]["recall_at_0.05"] < 1
+    found = {r.test: r for r in tests.collect()}
+    assert found["good_over_all"].rejected and found["good_over_all"].noninferior and found["good_over_all"].ci_low <= found["good_over_all"].point <= found["good_over_all"].ci_high
+    assert not found["noise_over_fair"].rejected
+    a, b = (spark.createDataFrame(x, "k string, v double") for x in ([("a", 1.0), ("b", 2.0), ("c", 3.0)], [("a", 1.0001), ("b", 2.1), ("d", 1.0)]))
+    assert {r.k: r["pass"] for r in metrics.parity(a, b, "k", "v", 1e-3).collect()} == {"a": True, "b": False, "c": False, "d": False}
