@@ -29,6 +29,20 @@ def inversions(df: DataFrame, ts: str, file: str, line: str) -> DataFrame:
     return told.groupBy(file).agg(F.count("*").alias("lines"), F.count_if(F.col(ts) < F.col("__above")).alias("inversions"))
 
 
+def counters(df: DataFrame, ts: str, file: str, line: str, message: str) -> DataFrame:
+    """``file, lines, parsed, inherited, undated, inversions, first_ts, last_ts, messages``, by file.
+
+    A line without a time inherits that of the last one above that has one; without any it is undated. Inversions are of the times that lines then have.
+    """
+    told = carried(df, ts, F.col(line).asc(), name="__own", by=(file,))
+    turned = previous(told, "__own", F.col(line).asc(), name="__above", by=(file,))
+    own, had = F.col("__own"), F.col(ts).isNotNull()
+    return turned.groupBy(file).agg(
+        F.count("*").alias("lines"), F.count_if(had).alias("parsed"), F.count_if(~had & own.isNotNull()).alias("inherited"), F.count_if(own.isNull()).alias("undated"),
+        F.count_if(own < F.col("__above")).alias("inversions"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count_distinct(message).alias("messages"),
+    )
+
+
 def boundaries(total: int, fractions: tuple[float, ...] = FRACTIONS) -> tuple[int, ...]:
     """Ranks at which segments end: the product in double arithmetic, truncated."""
     return tuple(int(total * f) for f in fractions)

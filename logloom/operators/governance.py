@@ -35,10 +35,10 @@ def overlaps(members: DataFrame, keys: list[str], partition: str = "partition")
     return members.groupBy(*keys).agg(F.array_sort(F.collect_set(partition)).alias("partitions")).where(F.size("partitions") > 1)
 
 
-def audit(members: DataFrame, stream: DataFrame, architecture: str = "architecture_id", unit: str = "unit") -> DataFrame:
+def audit(members: DataFrame, architecture: str = "architecture_id", unit: str = "unit") -> DataFrame:
     """``fold_id, check_id, verdict, observation`` of the isolation checks that rows can decide.
 
-    ``members`` are rows of folds (:func:`fold_members`) with ``rank, effective_ts, raw_h, norm_h``; ``stream`` all rows.
+    ``members`` are rows of folds (:func:`fold_members`) with ``rank, effective_ts, raw_h, norm_h``.
     An observation counts what speaks against a fold; that of L02 and L03, for information, the distinct texts of the evaluation that training has.
     L05 counts units in two partitions. L07 counts pairs of partitions that are not in time's order.
     """

@@ -10,6 +10,7 @@ from logloom.operators import detect, governance, sampling
 from logloom.operators.ordering import previous, quantiles
 from logloom.plans.registry import STREAM, query, read, stream
 from logloom.plans.stream_queries import SEGMENTED, segmented
+from logloom.sources import logs
 
 TEMPLATE = "array_to_string(list_transform(string_split({}, ' '), lambda w: CASE WHEN length(regexp_replace(w, '[^0-9]', '', 'g')) >= 3 THEN '<V>' ELSE w END), ' ')"
 
@@ -100,6 +101,71 @@ def label_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("lang").agg(F.count_if(F.col("toxic") == 1).alias("positive"), F.count_if(F.col("toxic") == 0).alias("negative"))
 
 
+def _lines(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Events as log lines of one form; every tenth is junk."""
+    e = read(spark, sf_dir, "events").select(F.lit("app/application_1_2/c.log").alias("source_file"), F.col("event_id").alias("line"), F.date_format(F.col("ts"), "yyMMdd HHmmss").alias("short"), F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss.SSS").alias("long"), "*")
+    return e.select("source_file", "line", F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("junk "), F.col("event_id").cast("string"))).otherwise(F.expr(text)).alias("text"))
+
+
+PARSED = ("line", "timestamp_us", "timestamp_status", "level", "service", "component", "node_id", "session_id", "trace_id", "message", "parse_status")
+
+
+def _parsed_sql(micros: str, otherwise: str, always: str = "NULL, NULL", **fields: str) -> str:
+    bad = "CONTINUATION" if otherwise == "CONTINUATION" else "UNPARSEABLE"
+    cols = ", ".join(f"CASE WHEN ok THEN {fields.get(n, 'NULL')} END AS {n}" for n in ("level", "service", "component", "node_id"))
+    session, trace = always.split(", ")
+    ends = f"CASE WHEN ok THEN {fields.get('session_id', session)} ELSE {session} END AS session_id, CASE WHEN ok THEN {fields.get('trace_id', trace)} ELSE {trace} END AS trace_id"
+    return f"""SELECT event_id AS line, CASE WHEN ok THEN {micros} END AS timestamp_us, CASE WHEN ok THEN 'PARSED' ELSE '{bad}' END AS timestamp_status, {cols}, {ends},
+  CASE WHEN ok THEN {fields['message']} ELSE 'junk ' || CAST(event_id AS VARCHAR) END AS message, CASE WHEN ok THEN 'OK' ELSE '{otherwise}' END AS parse_status FROM (SELECT *, event_id % 10 <> 0 AS ok FROM events)"""
+
+
+@query(_parsed_sql("epoch_us(date_trunc('second', ts))", "MALFORMED", level="'INFO'", service="'app'", component="'app.' || event_type", session_id="'blk_' || CAST(event_id AS VARCHAR)", message="'got blk_' || CAST(event_id AS VARCHAR)"))
+def parse_hdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.parse_hdfs(_lines(spark, sf_dir, "concat(short, ' ', user_id, ' INFO app.', event_type, ': got blk_', event_id)")).select(*PARSED)
+
+
+@query(_parsed_sql("epoch_us(date_trunc('second', ts))", "MALFORMED", level="'INFO'", service="'RAS'", component="'APP'", node_id="'R' || CAST(user_id AS VARCHAR)", message="event_type || ' seen'"))
+def parse_bgl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.parse_bgl(_lines(spark, sf_dir, "concat('- 1 2 R', user_id, ' ', date_format(ts, 'yyyy-MM-dd-HH.mm.ss'), '.000000 R RAS APP INFO ', event_type, ' seen')")).select(*PARSED)
+
+
+@query(_parsed_sql("epoch_us(ts) // 1000 * 1000", "CONTINUATION", "'application_1_2', 'c'", level="'WARN'", service="'yarn'", component="'org.apache.hadoop.yarn.' || event_type", node_id="'main'", message="'did: it'"))
+def parse_hadoop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.parse_hadoop(_lines(spark, sf_dir, "concat(replace(long, '.', ','), ' WARN [main] org.apache.hadoop.yarn.', event_type, ': did: it')")).select(*PARSED)
+
+
+UUID = "'b9000564-fe1a-409b-b8cc-1e88b294cd1d'"
+
+
+@query(_parsed_sql("epoch_us(ts) // 1000 * 1000", "MALFORMED", level="'INFO'", service="'nova'", component="'nova.api'", session_id=UUID, trace_id=UUID, message=f"'[req-' || {UUID} || ' -] [instance: ' || {UUID} || '] ' || event_type"))
+def parse_openstack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.parse_openstack(_lines(spark, sf_dir, f"concat('nova.log.1 ', long, ' 25 INFO nova.api [req-', {UUID}, ' -] [instance: ', {UUID}, '] ', event_type)")).select(*PARSED)
+
+
+@query("SELECT count(*) FILTER (event_type = 'error' AND event_id % 10 <> 0 OR event_id % 10 = 0) AS positives, count(*) FILTER (event_type <> 'error' AND event_id % 10 <> 0) AS negatives, count(*) AS total FROM events")
+def inline_label_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that are the first word of each line."""
+    return logs.label_inventory(logs.read_inline_labels(_lines(spark, sf_dir, "concat(if(event_type = 'error', 'ALERT', '-'), ' ', event_id)")))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS z FROM conversations),
+h AS (SELECT conv_id, turn, i, z[i] AS word, greatest(1, CAST(round_even(len(z) * 0.3::DOUBLE, 0) AS INTEGER)) AS k, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sha256('5|' || text || '|' || CAST(i - 1 AS VARCHAR) || '|' || z[i]), i) AS place
+  FROM (SELECT *, unnest(range(1, len(z) + 1)) AS i FROM w))
+SELECT conv_id, turn, string_agg(CASE WHEN place <= k THEN '[MASK]' ELSE word END, ' ' ORDER BY i) AS corrupted FROM h GROUP BY ALL""")
+def corrupted_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", text.corrupt(F.col("text"), 5, 0.3).alias("corrupted"))
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 5 <> 0), j AS (SELECT a.o_orderkey AS x, b.o_orderkey AS y, a.o_totalprice = b.o_totalprice AS p, a.o_orderpriority = b.o_orderpriority AS q FROM orders a LEFT JOIN b USING (o_orderkey))
+SELECT 'o_totalprice' AS field, count(*) FILTER (p) AS equal, count(*) FILTER (NOT p) AS different, count(*) FILTER (y IS NULL) AS only_one, count(*) FILTER (x IS NULL) AS only_two FROM j
+UNION ALL SELECT 'o_orderpriority', count(*) FILTER (q), count(*) FILTER (NOT q), count(*) FILTER (y IS NULL), count(*) FILTER (x IS NULL) FROM j""")
+def build_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    other = o.where("o_orderkey % 5 <> 0").withColumn("o_totalprice", F.col("o_totalprice") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0))
+    return governance.compare_builds(o, other, ["o_orderkey"], ["o_totalprice", "o_orderpriority"])
+
+
 @query(f"WITH {STREAM}, n AS (SELECT unit FROM s GROUP BY 1 HAVING bool_and(event_type <> 'error')) SELECT event_id, unit FROM s SEMI JOIN n USING (unit)")
 def normal_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of units without any error."""
@@ -169,6 +235,24 @@ def content_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.content_overlap(d.where("source < 'src15'"), d.where("source >= 'src15'"), "text").withColumn("ratio", F.round("ratio", 9))
 
 
+@query(f"""WITH {FOLDS}, k AS (SELECT fold_id, count(*) FILTER ("partition" LIKE 'SOURCE%' AND substr(fold_id, 6) = event_type) AS l14, count(*) FILTER (segment = 1) AS l16 FROM fm GROUP BY 1),
+o4 AS (SELECT fold_id, event_type, rank, list(DISTINCT "partition") AS ps FROM fm GROUP BY ALL HAVING len(ps) > 1), o5 AS (SELECT fold_id, event_type, unit, list(DISTINCT "partition") AS ps FROM fm GROUP BY ALL HAVING len(ps) > 1),
+o2 AS (SELECT fold_id, message || '|' || CAST(value AS VARCHAR) AS h, list(DISTINCT "partition") AS ps FROM fm GROUP BY ALL), o3 AS (SELECT fold_id, message AS h, list(DISTINCT "partition") AS ps FROM fm GROUP BY ALL),
+i AS (SELECT fold_id, count(*) FILTER (effective_ts < above) AS n FROM (SELECT fold_id, effective_ts, lag(effective_ts) OVER (PARTITION BY fold_id, "partition", event_type ORDER BY rank) AS above FROM fm) GROUP BY 1),
+e AS (SELECT fold_id, event_type, max(effective_ts) FILTER ("partition" = 'SOURCE_TRAIN') AS a, min(effective_ts) FILTER ("partition" = 'SOURCE_VALIDATION') AS b, max(effective_ts) FILTER ("partition" = 'TARGET_BURN_IN') AS c, min(effective_ts) FILTER ("partition" = 'TARGET_EVALUATION') AS d FROM fm GROUP BY ALL),
+r AS (SELECT fold_id, 'L01' AS check_id, CASE WHEN l14 > 0 THEN 1 ELSE 0 END AS observation FROM k UNION ALL SELECT fold_id, 'L14', l14 FROM k UNION ALL SELECT fold_id, 'L16', l16 FROM k
+  UNION ALL SELECT fold_id, 'L02', (SELECT count(*) FROM o2 WHERE o2.fold_id = k.fold_id AND list_contains(ps, 'SOURCE_TRAIN') AND list_contains(ps, 'TARGET_EVALUATION')) FROM k
+  UNION ALL SELECT fold_id, 'L03', (SELECT count(*) FROM o3 WHERE o3.fold_id = k.fold_id AND list_contains(ps, 'SOURCE_TRAIN') AND list_contains(ps, 'TARGET_EVALUATION')) FROM k
+  UNION ALL SELECT fold_id, 'L04', (SELECT count(*) FROM o4 WHERE o4.fold_id = k.fold_id) FROM k UNION ALL SELECT fold_id, 'L05', (SELECT count(*) FROM o5 WHERE o5.fold_id = k.fold_id) FROM k
+  UNION ALL SELECT fold_id, 'L06', n FROM i UNION ALL SELECT fold_id, 'L07', count(*) FILTER (a >= b) + count(*) FILTER (c >= d) FROM e GROUP BY 1
+  UNION ALL SELECT fold_id, 'L08', (SELECT count(*) FROM o4 WHERE o4.fold_id = k.fold_id AND list_contains(ps, 'TARGET_BURN_IN') AND list_contains(ps, 'TARGET_EVALUATION')) FROM k)
+SELECT fold_id, check_id, CASE WHEN check_id IN ('L02', 'L03') THEN 'INFORMATIONAL' WHEN observation = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, CAST(observation AS BIGINT) AS observation FROM r""")
+def audit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All isolation checks that rows can decide."""
+    m = _members(spark, sf_dir).withColumn("raw_h", F.concat_ws("|", "message", F.col("value").cast("string"))).withColumn("norm_h", F.col("message"))
+    return governance.audit(m, "event_type")
+
+
 @query("""WITH b AS (SELECT source, doc_id // 4096 AS block, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS d FROM documents GROUP BY ALL),
 p AS (SELECT source || ':' || sha256(string_agg(d, ',' ORDER BY block)) AS x FROM b GROUP BY source) SELECT sha256(string_agg(x, chr(10) ORDER BY x)) AS fingerprint, count(*) AS files FROM p""")
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +326,7 @@ def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc_id", F.array_join(F.array_sort("violations"), ",").alias("violations"))
 
 
-@query("""WITH tr AS (SELECT p_partkey, p_name FROM part WHERE p_size <= 25), te AS (SELECT p_partkey, p_name FROM part WHERE p_size > 25),
+@query("""WITH all_tr AS (SELECT p_name FROM part WHERE p_size <= 25 UNION ALL SELECT p_name FROM part WHERE p_size <= 9), tr AS (SELECT p_name AS p_partkey, p_name FROM (SELECT DISTINCT p_name FROM all_tr)), te AS (SELECT p_partkey, p_name FROM part WHERE p_size > 25),
 w1 AS (SELECT p_partkey AS id, word, count(*) AS tf FROM (SELECT p_partkey, unnest(string_split_regex(lower(p_name), '\\s+')) AS word FROM tr) WHERE word <> '' GROUP BY ALL),
 w2 AS (SELECT p_partkey AS id, word, count(*) AS tf FROM (SELECT p_partkey, unnest(string_split_regex(lower(p_name), '\\s+')) AS word FROM te) WHERE word <> '' GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM tr), f AS (SELECT word, ln((1 + max(n)) / (1 + count(*))) + 1 AS idf FROM w1, n GROUP BY 1),
@@ -251,8 +335,9 @@ y1 AS (SELECT id, word, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM x1
 c AS (SELECT y2.id, y1.id AS o, sum(y1.w * y2.w) AS c FROM y2 JOIN y1 USING (word) GROUP BY ALL), m AS (SELECT id, max(c) AS c FROM c GROUP BY 1)
 SELECT p_partkey, round(1 - coalesce(c, 0), 7) AS novelty FROM te LEFT JOIN m ON id = p_partkey""")
 def knn_tfidf_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some training texts come twice; distinct ones count."""
     p = read(spark, sf_dir, "part")
-    out = detect.knn_novelty(p.where("p_size <= 25"), p.where("p_size > 25"), "p_partkey", "p_name")
+    out = detect.knn_novelty(p.where("p_size <= 25").unionByName(p.where("p_size <= 9")), p.where("p_size > 25"), "p_partkey", "p_name")
     return out.select("p_partkey", F.round("novelty", 7).alias("novelty"))
 
 

@@ -52,7 +52,30 @@ _rule("vovk_wang_pvalue", "least(1.0, p + q)", fusion.vovk_wang_pvalue)
 _rule("fuse_bonferroni", "-ln(least(1.0, 2 * least(p, q)))", fusion.bonferroni)
 _rule("fuse_cauchy", "0.5 * (tan((0.5 - greatest(1e-12, least(1 - 1e-12, p))) * pi()) + tan((0.5 - greatest(1e-12, least(1 - 1e-12, q))) * pi()))", fusion.cauchy)
 _rule("fuse_fisher", "-ln(p) - ln(q)", fusion.fisher)
-_rule("fuse_stouffer", "", fusion.stouffer)
+
+
+def _quantile_sql(p: str) -> str:
+    """The normal quantile in SQL, by the same approximation."""
+
+    def poly(c: tuple[float, ...], x: str) -> str:
+        out = f"({c[0]!r}::DOUBLE)"
+        for k in c[1:]:
+            out = f"({out} * {x} + {k!r}::DOUBLE)"
+        return out
+
+    x = f"greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, {p}))"
+    low, high, q = f"sqrt(-2 * ln({x}))", f"sqrt(-2 * ln(1 - {x}))", f"({x} - 0.5::DOUBLE)"
+    tail = lambda t: f"{poly(fusion._TAIL, t)} / {poly((*fusion._TAIL_D, 1.0), t)}"
+    middle = f"{poly(fusion._MID, f'({q} * {q})')} * {q} / {poly((*fusion._MID_D, 1.0), f'({q} * {q})')}"
+    return f"CASE WHEN {x} < 0.02425::DOUBLE THEN {tail(low)} WHEN {x} > (1 - 0.02425::DOUBLE) THEN -({tail(high)}) ELSE {middle} END"
+
+
+GAUSS = f"{PAIRS}, gz AS (SELECT *, {_quantile_sql('(1 - p)')} AS gp, {_quantile_sql('(1 - q)')} AS gq FROM pa)"
+
+
+@query(f"WITH {GAUSS} SELECT doc_id, round((gp + gq) / sqrt(2), 6) AS score FROM gz")
+def fuse_stouffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("doc_id", F.round(fusion.stouffer(F.col("p"), F.col("q")), 6).alias("score"))
 
 
 @query(f"""WITH {PAIRS} SELECT doc_id, round(-(0.5 * ln(p) + 0.5 * ln(q)), 7) AS geometric, round(-ln(greatest(p, q)), 7) AS largest, round(-ln(least(p, q)), 7) AS smallest,
@@ -72,7 +95,8 @@ def fuse_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("doc_id", F.round(fusion.zscore_mean(u, {"a": (m[0], m[1]), "b": (m[2], m[3])}), 7).alias("score"))
 
 
-@query()
+@query(f"""WITH {GAUSS}, rh AS (SELECT greatest(-0.95::DOUBLE, least(0.95::DOUBLE, coalesce(corr(gp, gq), 0))) AS r FROM gz), w AS (SELECT doc_id, greatest(gp, 0) AS x, greatest(gq, 0) AS y FROM gz)
+SELECT doc_id, round((x * x - x * y * (2 * r) + y * y) / (1 - r * r), 6) AS score FROM w, rh""")
 def fuse_copula(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir)
     rho = fusion.copula_correlation(p, "p", "q")
@@ -239,20 +263,32 @@ def decision_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("lang", metrics.decision(F.col("m"), F.col("m") - F.col("h"), F.col("m") + F.col("h")).alias("region"))
 
 
-@query(f"""WITH {SCORED}, k(r, w) AS (VALUES (-1.0, 0.5), (0.0, 0.5), (1.0, 0.5)), g AS (SELECT lang, avg(a) AS x, avg(b) AS y FROM u GROUP BY 1),
-s AS (SELECT r, w, lang, round(CASE WHEN r = 0 THEN ln(x) + y WHEN r < 0 THEN x - 10 * y ELSE y * 100 END, 6) AS gain FROM g, k)
-SELECT CAST(r AS DOUBLE) AS r, CAST(w AS DOUBLE) AS w, min(gain) AS worst, round(avg(gain), 6) AS mean, row_number() OVER (ORDER BY min(gain) DESC, avg(gain) DESC, r, w) AS place FROM s GROUP BY r, w""")
-def config_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings in the order of their worst gain over the systems, then of their mean."""
-    from pyspark.sql import Window
+GRID = {f"r={r:g}|w={w:g}": (r, w) for r in (1.0, 0.0, -1.0, -4.0, float("-inf")) for w in (0.3, 0.5, 0.8)}
+
 
-    g = scored(spark, sf_dir).groupBy("lang").agg(F.avg("a").alias("x"), F.avg("b").alias("y"))
-    grid = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(0.5).alias("w")) for r in (-1.0, 0.0, 1.0)]))
-    s = g.select("*", grid.alias("k")).select("lang", "x", "y", "k.r", "k.w")
-    gain = F.when(F.col("r") == 0, F.ln("x") + F.col("y")).when(F.col("r") < 0, F.col("x") - F.col("y") * 10).otherwise(F.col("y") * 100)
-    t = s.withColumn("gain", F.round(gain, 6)).groupBy("r", "w").agg(F.min("gain").alias("worst"), F.avg("gain").alias("m"))
-    order = Window.orderBy(F.desc("worst"), F.desc("m"), "r", "w")
-    return t.select("r", "w", "worst", F.round("m", 6).alias("mean"), F.row_number().over(order).cast("bigint").alias("place"))
+def _mean_sql(r: float, w: float) -> str:
+    if r == 0:
+        return f"-({w} * ln(p) + {1 - w!r} * ln(q))"
+    if r == float("-inf"):
+        return "-ln(least(p, q))"
+    return f"-ln(({w} + 1e-12) * pow(p, {r}) + ({1 - w!r} + 1e-12) * pow(q, {r})) / {r}"
+
+
+@query(f"""WITH {SCORED}, pl AS (SELECT *, (rank() OVER (PARTITION BY lang ORDER BY a DESC) + 0.5 * (count(*) OVER (PARTITION BY lang, a) - 1)) / count(*) OVER (PARTITION BY lang) AS p,
+          (rank() OVER (PARTITION BY lang ORDER BY b DESC) + 0.5 * (count(*) OVER (PARTITION BY lang, b) - 1)) / count(*) OVER (PARTITION BY lang) AS q FROM u),
+z AS ({" UNION ALL ".join(f"SELECT lang, '{n}' AS config, round({_mean_sql(*k)}, 9) AS sc, toxic FROM pl" for n, k in GRID.items())} UNION ALL SELECT lang, 'a', a, toxic FROM pl UNION ALL SELECT lang, 'b', b, toxic FROM pl),
+d AS (SELECT lang, config, sc, count(*) AS n, sum(toxic) AS pos FROM z GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY lang, config ORDER BY sc DESC) AS nu, sum(pos) OVER (PARTITION BY lang, config ORDER BY sc DESC) AS tu FROM d),
+ap AS (SELECT lang, config, sum(pos * tu / nu) / sum(pos) AS ap FROM c GROUP BY ALL HAVING sum(pos) > 0 AND sum(pos) < sum(n)),
+g AS (SELECT config, ap - best AS gain FROM ap JOIN (SELECT lang, max(ap) AS best FROM ap WHERE config IN ('a', 'b') GROUP BY 1) USING (lang) WHERE config NOT IN ('a', 'b')),
+s AS (SELECT config, min(gain) AS worst, avg(gain) AS mean, max(gain) AS top FROM g GROUP BY 1)
+SELECT config, round(worst, 7) AS worst, round(mean, 7) AS mean, worst >= -0.02 AND top > 0 AS qualifies, row_number() OVER (ORDER BY round(worst, 9) DESC, round(mean, 9) DESC, config) AS place FROM s""")
+def config_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and weights of the generalised mean by their worst gain over the better score, with languages as the systems."""
+    by = ("lang",)
+    p = fusion.transductive_pvalues(fusion.transductive_pvalues(scored(spark, sf_dir), "a", by, "p"), "b", by, "q")
+    grid = {n: F.round(fusion.generalized_mean(F.col("p"), F.col("q"), r, w), 9) for n, (r, w) in GRID.items()}
+    ranked = metrics.rank_configurations(p, grid, ("a", "b"), "toxic", "lang")
+    return ranked.select("config", F.round("worst", 7).alias("worst"), F.round("mean", 7).alias("mean"), "qualifies", "place")
 
 
 @query(f"""WITH {STREAM}, m AS (SELECT unit, event_type AS seed, CASE WHEN max(value) > 60 THEN NULL ELSE avg(value) END AS nll FROM s GROUP BY ALL)
@@ -279,25 +315,61 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.agg(F.round(F.avg("nll"), 9).alias("mean_of_sources"), F.round(F.exp(F.least(F.avg("nll"), F.lit(700.0))), 9).alias("perplexity")).join(u.agg(F.round(F.avg("b"), 9).alias("mean_of_units")))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(string_split(text, ' '))), lambda i: {'pos': i - 1, 'word': string_split(text, ' ')[i]})) AS x FROM documents WHERE n_chars < 2000),
-r AS (SELECT doc_id, x.pos AS pos, x.word AS word, row_number() OVER (PARTITION BY doc_id ORDER BY length(x.word) DESC, x.pos) AS k FROM w)
+@query("""WITH w AS (SELECT doc_id, unnest(z) AS word, unnest(range(1, len(z) + 1)) AS pos FROM (SELECT doc_id, string_split(text, ' ') AS z FROM documents)),
+r AS (SELECT doc_id, pos, word, row_number() OVER (PARTITION BY doc_id ORDER BY length(word) DESC, pos) AS k FROM w)
 SELECT doc_id, string_agg(word, '|' ORDER BY k) AS words FROM r WHERE k <= 5 GROUP BY 1""")
 def token_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five longest words of each short document, earlier ones first: localisation of the tokens with the highest scores."""
-    d = read(spark, sf_dir, "documents").where("n_chars < 2000")
+    """The five longest words of each document, earlier ones first: localisation of the tokens with the highest scores."""
     scored_ = F.transform(F.split("text", " ", -1), lambda w, i: F.struct((-F.length(w)).alias("s"), i.alias("i"), w.alias("w")))
-    return d.select("doc_id", F.array_join(F.slice(F.sort_array(scored_), 1, 5)["w"], "|").alias("words"))
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(F.slice(F.sort_array(scored_), 1, 5)["w"], "|").alias("words"))
 
 
 @query()
 def rule_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average precision of the rules on made scores of two experts that agree or complement each other."""
-    base = spark.range(0, 4000, 1, 4).select("id", (F.col("id") < 200).alias("y"), F.randn(1).alias("e1"), F.randn(2).alias("e2"))
-    out = None
-    for name, a, b in (("AND", 1.5, 1.5), ("OR", 2.5, 0.0)):
-        x = base.select("id", F.col("y").cast("int").alias("y"), (F.col("e1") + F.when(F.col("y"), a).otherwise(0.0)).alias("s1"), (F.col("e2") + F.when(F.col("y"), b).otherwise(0.0)).alias("s2"))
-        p = fusion.transductive_pvalues(fusion.transductive_pvalues(x, "s1", name="p"), "s2", name="q").persist()
-        for rule in ("vovk_wang", "bonferroni"):
-            m = metrics.ranking_metrics(p.withColumn("f", fusion.RULES[rule](F.col("p"), F.col("q"))), "f", "y").select(F.lit(name).alias("scenario"), F.lit(rule).alias("rule"), "average_precision")
-            out = m if out is None else out.unionByName(m)
-    return out
+    """All scenarios, two seeds each: the rules' gains on made scores of two experts. It reads no table."""
+    from logloom.operators import simulate
+
+    return simulate.rule_gains(simulate.experts(spark, 2))
+
+
+@query()
+def tail_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label-free gate of two scores; its p-value is of random matchings, so SQL has no equal."""
+    found = metrics.tail_gate(scored(spark, sf_dir), "a", "b")
+    return spark.createDataFrame([found], "n long, k long, overlap double, expected double, lift double, p_value double, open boolean")
+
+
+@query()
+def gated_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pairs(spark, sf_dir)
+    opened = metrics.tail_gate(p, "a", "b")["open"]
+    return p.select("doc_id", metrics.gated_score(F.col("p"), F.col("q"), opened).alias("score"))
+
+
+@query(f"""WITH {SCORED}, {AP.format('x', 'a')}, {AP.format('y', 'b')},
+g AS (SELECT toxic, row_number() OVER (ORDER BY a DESC, doc_id) AS ra, row_number() OVER (ORDER BY b DESC, doc_id) AS rb, count(*) OVER () AS n, sum(toxic) OVER () AS p FROM u)
+SELECT 'a' AS method, round(max(xm.ap), 9) AS average_precision, round(max(xr.auroc), 9) AS auroc, round((SELECT sum(toxic) FROM g WHERE ra <= ceil(0.05::DOUBLE * n)) / (SELECT max(p) FROM g), 9) AS recall_at_5 FROM xm, xr
+UNION ALL SELECT 'b', round(max(ym.ap), 9), round(max(yr.auroc), 9), round((SELECT sum(toxic) FROM g WHERE rb <= ceil(0.05::DOUBLE * n)) / (SELECT max(p) FROM g), 9) FROM ym, yr""")
+def evaluation_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of each method of an evaluation, as its report has them."""
+    u = scored(spark, sf_dir).orderBy("doc_id").coalesce(1)  # ties of a few labelled units go by document
+    singles, _ = metrics.evaluate(u, ("a", "b"), {}, "toxic", "source", (0.05,))
+    return singles.select("method", F.round("average_precision", 9).alias("average_precision"), F.round("auroc", 9).alias("auroc"), F.round(F.col("`recall_at_0.05`"), 9).alias("recall_at_5"))
+
+
+@query()
+def evaluation_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains with intervals of resampled sources, Holm's decision and non-inferiority."""
+    f = _pairs(spark, sf_dir).withColumn("vw", fusion.vovk_wang(F.col("p"), F.col("q"))).withColumn("cauchy", fusion.cauchy(F.col("p"), F.col("q")))
+    _, tests = metrics.evaluate(f.select("a", "b", "vw", "cauchy", "toxic", "source"), ("vw",), {"H1": ("vw", ("a", "b")), "H4": ("cauchy", ("a",))}, "toxic", "source", reps=300)
+    return tests
+
+
+@query("""WITH a AS (SELECT lang, avg(n_chars) AS r, avg(n_chars) + CASE WHEN lang = 'en' THEN 5 ELSE 0.0001 END AS g FROM documents GROUP BY 1)
+SELECT lang, round(r, 6) AS recorded, round(CASE WHEN lang <> 'es' THEN g END, 6) AS got, coalesce(lang <> 'es' AND abs(g - r) <= greatest(1e-5 * abs(r), 0.001), false) AS pass FROM a""")
+def parity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded values against values with an error each, one of them missing."""
+    a = read(spark, sf_dir, "documents").groupBy("lang").agg(F.avg("n_chars").alias("v"))
+    b = a.where("lang <> 'es'").select("lang", (F.col("v") + F.when(F.col("lang") == "en", 5).otherwise(0.0001)).alias("v"))
+    out = metrics.parity(a, b, "lang", "v", 1e-5, 0.001)
+    return out.select("lang", F.round("recorded", 6).alias("recorded"), F.round("got", 6).alias("got"), "pass")

@@ -183,7 +183,22 @@ def cut_displacement_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nominal.join(cost, "rank", "left").join(snap, "rank").select("rank", "nominal", F.coalesce("nominal_cost", F.lit(0)).alias("nominal_cost"), "snap_cost")
 
 
-@query()
+def _chosen_sql() -> str:
+    """Each cut in turn, from the records before every instant; a cut must lie after the one before."""
+    parts, least = [f"WITH {QUIET}, qb AS (SELECT instant, (SELECT count(*) FROM s WHERE effective_ts < instant) AS b FROM q)"], "-1"
+    for i, f in enumerate(chronology.FRACTIONS):
+        parts.append(f"""
+n{i} AS (SELECT rank AS r, effective_ts AS t, (SELECT coalesce(sum(records), 0) FROM un WHERE first < effective_ts AND last >= effective_ts)::BIGINT AS cost FROM s
+  WHERE rank = (SELECT CAST(trunc(count(*) * CAST({f} AS DOUBLE)) AS BIGINT) FROM s)),
+b{i} AS (SELECT instant, abs(b - r) AS d FROM qb, n{i} WHERE instant > {least} ORDER BY d, instant LIMIT 1),
+x{i} AS (SELECT r, t, CASE WHEN d < cost THEN instant ELSE t END AS c, CASE WHEN d < cost THEN d ELSE cost END AS k, coalesce(d < cost, false) AS snap, cost FROM n{i} LEFT JOIN b{i} ON true),
+c{i} AS (SELECT r AS rank, t AS nominal, CASE WHEN c <= {least} THEN {least} + 1 ELSE c END AS chosen, CAST(CASE WHEN c <= {least} THEN cost ELSE k END AS BIGINT) AS displaced,
+  CASE WHEN c <= {least} THEN 'FORCED_MONOTONIC' WHEN snap THEN 'SNAPPED_TO_QUIET_INSTANT' ELSE 'NOMINAL_CUT_WITH_UNIT_EXCLUSION' END AS strategy FROM x{i})""")
+        least = f"(SELECT chosen FROM c{i})"
+    return ",".join(parts) + " UNION ALL ".join(f" SELECT rank, nominal, CAST(chosen AS BIGINT) AS chosen, displaced, strategy FROM c{i}" for i in range(len(chronology.FRACTIONS)))
+
+
+@query(_chosen_sql())
 def cut_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = chronology.choose_cuts(stream(spark, sf_dir), _units(spark, sf_dir))
     return spark.createDataFrame([(c["rank"], c["nominal"], c["chosen"], int(c["displaced"]), c["strategy"]) for c in chosen], "rank bigint, nominal bigint, chosen bigint, displaced bigint, strategy string")
@@ -399,11 +414,13 @@ def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.isolation_forest(v, v, "vector", "unit")
 
 
-@query(f"""WITH {STREAM}, t AS (SELECT DISTINCT message FROM s WHERE effective_ts < {CUTS[0]})
-SELECT unit, count(*) FILTER (t.message IS NULL) AS unseen, count(*) AS length, count(DISTINCT s.message) AS distinct_messages FROM s LEFT JOIN t USING (message) GROUP BY 1""")
+@query(f"""WITH {STREAM}, tr AS (SELECT * FROM s WHERE effective_ts < {CUTS[0]}), k AS (SELECT count(DISTINCT unit) AS k FROM tr), t AS (SELECT message, count(*) / max(k) AS mu FROM tr, k GROUP BY 1), z AS (SELECT sum(mu * mu) AS sq FROM t),
+c AS (SELECT unit, message, count(*) AS n FROM s GROUP BY ALL)
+SELECT unit, CAST(coalesce(sum(n) FILTER (t.message IS NULL), 0) AS BIGINT) AS unseen, CAST(sum(n) AS BIGINT) AS length, count(*) AS distinct_messages,
+  round(sqrt(greatest(0, sum(pow(n - coalesce(mu, 0), 2) - pow(coalesce(mu, 0), 2)) + max(sq))), 7) AS distance FROM c LEFT JOIN t USING (message), z GROUP BY 1""")
 def order_blind_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stream(spark, sf_dir, False)
-    return detect.novelty_flags(s, F.col("effective_ts") < CUTS[0], "unit", "message")
+    return detect.novelty_flags(s, F.col("effective_ts") < CUTS[0], "unit", "message").withColumn("distance", F.round("distance", 7))
 
 
 @query(f"""WITH {STREAM}, a AS (SELECT unit, list(event_type ORDER BY rank) AS x FROM s GROUP BY 1), b AS (SELECT *, len(x) AS n, len(x) // 2 AS m FROM a)
@@ -468,8 +485,62 @@ def exact_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {STREAM}, g AS (SELECT effective_ts - lag(effective_ts) OVER (PARTITION BY unit ORDER BY rank) AS d FROM s)
-SELECT count(*) AS "count", min(d) AS min, quantile_cont(d, 0.05) AS q05, quantile_cont(d, 0.25) AS q25, quantile_cont(d, 0.5) AS median, quantile_cont(d, 0.75) AS q75, quantile_cont(d, 0.95) AS q95,
-  quantile_cont(d, 0.99) AS q99, max(d) AS max, quantile_cont(d, 0.75) - quantile_cont(d, 0.25) AS iqr FROM g WHERE d IS NOT NULL""")
+SELECT count(*) AS "count", min(d) AS min, round(quantile_cont(d, 0.05), 3) AS q05, round(quantile_cont(d, 0.25), 3) AS q25, round(quantile_cont(d, 0.5), 3) AS median, round(quantile_cont(d, 0.75), 3) AS q75, round(quantile_cont(d, 0.95), 3) AS q95,
+  round(quantile_cont(d, 0.99), 3) AS q99, max(d) AS max, round(quantile_cont(d, 0.75) - quantile_cont(d, 0.25), 3) AS iqr FROM g WHERE d IS NOT NULL""")
 def robust_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.col("effective_ts") - F.lag("effective_ts").over(Window.partitionBy("unit").orderBy("rank"))
-    return metrics.robust_summary(stream(spark, sf_dir).withColumn("d", gap), "d")
+    told = metrics.robust_summary(stream(spark, sf_dir).withColumn("d", gap), "d")
+    return told.select("count", "min", *[F.round(c, 3).alias(c) for c in ("q05", "q25", "median", "q75", "q95", "q99")], "max", F.round("iqr", 3).alias("iqr"))
+
+
+@query(f"WITH {STREAM} SELECT event_id, row_number() OVER (PARTITION BY unit ORDER BY rank) - 1 AS position FROM s")
+def position_in_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.position_in_unit(stream(spark, sf_dir), "unit", "rank").select("event_id", "position")
+
+
+@query(f"WITH {STREAM} SELECT rank, event_id AS file_position, message FROM s WHERE event_type IN ('signup', 'error')")
+def raw_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks found again in the raw order, and the texts of some at their places there."""
+    s = stream(spark, sf_dir).withColumn("raw_hash", F.md5("message"))
+    raw = stream(spark, sf_dir, False).select(F.col("event_id").alias("file_position"), "effective_ts", F.md5("message").alias("raw_hash"), "message")
+    found = windows.locate(s.select("rank", "effective_ts", "raw_hash", "event_type"), raw).where("event_type in ('signup', 'error')")
+    texts = windows.at_positions(raw, found.select("rank", "file_position", F.col("raw_hash").alias("norm_hash")), "message", "raw_hash")
+    return texts.select("rank", "file_position", "message")
+
+
+@query(f"""WITH {WINDOWS}, n AS (SELECT rank, window_id, cr, ('0x' || substr(sha256('suffix|' || window_id), 1, 8))::BIGINT % len(cr) + 1 AS k FROM c) SELECT rank AS target_rank, array_to_string(cr[len(cr) - k + 1:], ',') AS context FROM n""")
+def context_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The random suffix of each window's context that training sees."""
+    w = windows.random_suffix(_windows(spark, sf_dir), "suffix")
+    return w.select("target_rank", F.array_join(F.col("context_ranks").cast("array<string>"), ",").alias("context"))
+
+
+@query(f"""WITH {STREAM}, h AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY sha256('11|' || CAST(event_id AS VARCHAR)), event_id) - 1 AS draw FROM s) SELECT event_id, event_type, draw FROM h WHERE draw < 40""")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.seeded(stream(spark, sf_dir, False), "event_type", "event_id", 40, 11).select("event_id", "event_type", "draw")
+
+
+@query("""WITH RECURSIVE o AS (SELECT doc_id, n_chars AS l, row_number() OVER (ORDER BY n_chars, doc_id) AS i FROM documents),
+b AS (SELECT i, doc_id, CAST(0 AS BIGINT) AS batch, 1 AS held FROM o WHERE i = 1
+  UNION ALL SELECT o.i, o.doc_id, CASE WHEN o.l * (b.held + 1) > 65536 THEN b.batch + 1 ELSE b.batch END, CASE WHEN o.l * (b.held + 1) > 65536 THEN 1 ELSE b.held + 1 END FROM b JOIN o ON o.i = b.i + 1)
+SELECT doc_id, batch FROM b""")
+def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in batches by length, a batch's padded size within a budget."""
+    return sampling.batches(read(spark, sf_dir, "documents"), "n_chars", "doc_id", 65536).select("doc_id", "batch")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, CASE WHEN event_type <> 'error' THEN epoch_us(ts) END AS t FROM events),
+c AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS own FROM e),
+a AS (SELECT *, lag(own) OVER (PARTITION BY user_id ORDER BY event_id) AS above FROM c)
+SELECT user_id, count(*) AS lines, count(t) AS parsed, count(own) - count(t) AS inherited, count(*) - count(own) AS undated, count(*) FILTER (own < above) AS inversions, min(t) AS first_ts, max(t) AS last_ts, count(DISTINCT event_type) AS messages FROM a GROUP BY 1""")
+def chronology_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = stream(spark, sf_dir, False).withColumn("t", F.when(F.col("event_type") != "error", F.col("effective_ts")))
+    return chronology.counters(e, "t", "user_id", "event_id", "event_type")
+
+
+@query()
+def template_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of the first turns, matched to all turns: mining depends on the order of messages, so SQL has no equal."""
+    c = read(spark, sf_dir, "conversations").withColumn("o", F.col("conv_id") * 1000 + F.col("turn"))
+    found = templates.fit(c.where("turn <= 1"), "text", "o")
+    return templates.transform(c.select("conv_id", "turn", "text"), "text", found).select("conv_id", "turn", "event_id", "template")

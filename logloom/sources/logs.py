@@ -86,6 +86,11 @@ def _record(df: DataFrame, ok: Column, status: Column, time: Column, otherwise:
     )
 
 
+def _utc(text_: Column, form: str) -> Column:
+    """A time without a zone, read as UTC whatever the session's; null for one that cannot be."""
+    return F.try_to_timestamp(F.concat(text_, F.lit(" +0000")), F.lit(f"{form} xx"))
+
+
 def _parsed(time: Column) -> Column:
     return F.when(time.isNull(), "UNPARSEABLE").otherwise("PARSED")
 
@@ -104,7 +109,7 @@ def parse_hdfs(df: DataFrame) -> DataFrame:
     """
     p = r"(?s)^(\d{6})\s+(\d{6})\s+(\d+)\s+([A-Za-z]+)\s+(\S+):\s(.*)$"
     g = lambda i: F.regexp_extract("text", p, i)
-    time = F.try_to_timestamp(F.concat_ws(" ", g(1), g(2)), F.lit("yyMMdd HHmmss"))
+    time = _utc(F.concat_ws(" ", g(1), g(2)), "yyMMdd HHmmss")
     return _record(
         df, F.col("text").rlike(p), _parsed(time), time, level=g(4), component=g(5), service=_filled(F.split_part(g(5), F.lit("."), F.lit(1))),
         session_id=_filled(F.regexp_extract(g(6), r"blk_-?\d+", 0)), message=g(6),
@@ -115,7 +120,7 @@ def parse_bgl(df: DataFrame) -> DataFrame:
     """Nine fields and a message between white space; the first field, a label, is dropped unread."""
     parts = F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+", 10)
     ok = (F.size(parts) >= 9) & (parts[0] != "")
-    time = F.try_to_timestamp(F.get(parts, F.lit(4)), F.lit("yyyy-MM-dd-HH.mm.ss.SSSSSS"))
+    time = _utc(F.get(parts, F.lit(4)), "yyyy-MM-dd-HH.mm.ss.SSSSSS")
     f = lambda i: F.get(parts, F.lit(i))
     return _record(df, ok, _parsed(time), time, level=f(8), service=f(6), component=f(7), node_id=f(3), message=F.coalesce(f(9), F.lit(EMPTY_CONTENT)))
 
@@ -124,7 +129,7 @@ def parse_hadoop(df: DataFrame) -> DataFrame:
     """``date time,ms LEVEL [thread] component: content``; any other line continues the one before."""
     p = r"(?s)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) ([A-Z]+) (?:\[([^\]]*)\] )?([^:]+): (.*)$"
     g = lambda i: F.regexp_extract("text", p, i)
-    time = F.try_to_timestamp(g(1), F.lit("yyyy-MM-dd HH:mm:ss,SSS"))
+    time = _utc(g(1), "yyyy-MM-dd HH:mm:ss,SSS")
     component = F.trim(g(4))
     service = F.regexp_extract(component, r"^org\.apache\.hadoop\.([^.]+)", 1)
     thread = F.when(F.col("text").rlike(r"^\S+ \S+ [A-Z]+ \["), g(3))
@@ -139,7 +144,7 @@ def parse_openstack(df: DataFrame) -> DataFrame:
     """``file.log date time.ms pid LEVEL component content``; other lines are MALFORMED."""
     p = r"(?s)^(\S+) (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) (\d+) ([A-Z]+) (\S+) (.*)$"
     g = lambda i: F.regexp_extract("text", p, i)
-    time = F.try_to_timestamp(g(2), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
+    time = _utc(g(2), "yyyy-MM-dd HH:mm:ss.SSS")
     return _record(
         df, F.col("text").rlike(p), _parsed(time), time, level=g(4), component=g(5), service=_filled(F.split_part(g(1), F.lit(".log"), F.lit(1))),
         session_id=_filled(F.regexp_extract(g(6), r"\[instance: ([0-9a-fA-F-]{36})\]", 1)), trace_id=_filled(F.regexp_extract(g(6), r"\breq-([0-9a-fA-F-]{36})\b", 1)), message=g(6),

@@ -281,11 +281,11 @@ def test_paths_and_forbidden_columns(spark):
 def test_audits(spark):
     rows = [("S1", 0, 1, 0, "u1", "x", "X"), ("S1", 1, 5, 2, "u2", "y", "Y"), ("S2", 0, 1, 0, "u3", "z", "X"), ("S2", 1, 2, 2, "u4", "w", "W"), ("T", 0, 3, 0, "u5", "x", "X"), ("T", 1, 9, 2, "u6", "x", "X"), ("T", 2, 8, 3, "u6", "q", "Q")]
     s = spark.createDataFrame(rows, "architecture_id string, rank long, effective_ts long, segment int, unit string, raw_h string, norm_h string")
-    told = {(r.fold_id, r.check_id): (r.verdict, r.observation) for r in governance.audit(governance.fold_members(s), s).collect()}
+    told = {(r.fold_id, r.check_id): (r.verdict, r.observation) for r in governance.audit(governance.fold_members(s)).collect()}
     assert told["LOAO-T", "L06"] == ("FAIL", 1) and told["LOAO-T", "L02"] == ("INFORMATIONAL", 1) and told["LOAO-T", "L07"] == ("PASS", 0)
     assert all(told["LOAO-T", k][0] == "PASS" for k in ("L01", "L04", "L05", "L07", "L08", "L14", "L16"))
     bad = governance.fold_members(s).unionByName(governance.fold_members(s).where("partition = 'TARGET_BURN_IN'").withColumn("partition", F.lit("TARGET_EVALUATION")))
-    told = {(r.fold_id, r.check_id): r.observation for r in governance.audit(bad, s).collect()}
+    told = {(r.fold_id, r.check_id): r.observation for r in governance.audit(bad).collect()}
     assert told["LOAO-T", "L04"] == told["LOAO-T", "L08"] == told["LOAO-T", "L05"] == told["LOAO-T", "L07"] == 1
     files = {x["check_id"]: x["verdict"] for x in governance.audit_files({"a": "import os", "b": "from pkg.labels import open"}, ("1", "1"), {"f": "1", "g": "1"}, {"m": '{"p": "/home/me/x"}'}, [{"id": "E1"}], "pkg.labels")}
     assert files == {"L09": "FAIL", "L10": "PASS", "L11": "INFORMATIONAL", "L12": "INFORMATIONAL", "L13": "FAIL", "L15": "FAIL", "L17": "FAIL"}
