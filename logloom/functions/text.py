@@ -118,13 +118,15 @@ def corrupt(message: Column, seed: int, share: float) -> Column:
     """The message with a share of its words, one at least, as ``[MASK]``: those of the least hash of seed, message, place and word."""
     words = F.filter(F.split(message, r"\s+", -1), lambda w: w != "")
 
-    def masked(w: Column) -> Column:
+    def chosen(w: Column) -> Column:
         n = F.least(F.size(w), F.greatest(F.lit(1), F.rint(F.size(w) * F.lit(float(share))).cast("int")))
         order = F.array_sort(F.transform(w, lambda x, i: F.struct(F.sha2(F.concat_ws("|", F.lit(str(seed)), message, i.cast("string"), x), 256).alias("h"), i.alias("i"))))
-        hidden = F.transform(F.slice(order, F.lit(1), n), lambda s: s["i"])
-        return F.array_join(F.transform(w, lambda x, i: F.when(F.array_contains(hidden, i), F.lit("[MASK]")).otherwise(x)), " ")
+        return F.struct(w.alias("w"), F.transform(F.slice(order, F.lit(1), n), lambda s: s["i"]).alias("hidden"))
 
-    return F.when(F.size(words) > 0, F.transform(F.array(words), masked)[0]).otherwise("")
+    def masked(z: Column) -> Column:
+        return F.array_join(F.transform(z["w"], lambda x, i: F.when(F.array_contains(z["hidden"], i), F.lit("[MASK]")).otherwise(x)), " ")
+
+    return F.when(F.size(words) > 0, F.transform(F.transform(F.array(words), chosen), masked)[0]).otherwise("")
 
 
 def prompt(message: Column, seed: int, share: float) -> Column:
