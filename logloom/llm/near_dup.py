@@ -303,3 +303,16 @@ def kept(docs: DataFrame) -> DataFrame:
     if not keys.where(F.col(times) > 1).limit(1).count():
         return once
     return once.unionByName(rows.where(F.col(times) > 1).dropDuplicates([id_, digest]).select(*own))
+
+
+def oracle() -> str:
+    """The same in DuckDB SQL, by all pairs that share a shingle; ids are unique there."""
+    return """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)) GROUP BY ALL),
+n AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS m FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 10 * m >= 8 * (a.n + b.n - m) UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.t = b.t AND a.doc_id < b.doc_id),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT x AS doc_id, min(y) AS class_id, x = min(y) AS kept FROM r GROUP BY x"""

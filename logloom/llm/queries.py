@@ -79,4 +79,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle(), "op2_secret_scans": secrets.oracle(), "op5_line_dedup": line_dedup.oracle(), "op6_decontamination": decontaminate.oracle()}
+    return {"op1_quality_rules": quality.oracle(), "op2_secret_scans": secrets.oracle(), "op5_line_dedup": line_dedup.oracle(), "op6_decontamination": decontaminate.oracle(), "op9_near_duplicates": near_dup.oracle()}
