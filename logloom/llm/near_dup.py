@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.base import PLAIN, fresh, mix, named, row_chunks, schema, shingles, small_batches, string_bytes, tokens
+from logloom.llm.base import PLAIN, fresh, group_join, mix, named, row_chunks, schema, shingles, small_batches, string_bytes, tokens
 from logloom.operators.graph import connected_components
 from logloom.operators.lineage import cut_lineage
 
@@ -261,19 +261,19 @@ def classes(docs: DataFrame) -> DataFrame:
     sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     filled = F.greatest(F.col("rows") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)
     owners = cut_lineage(sizes.select("bucket", "component", "rows", "shingles", F.when(filled > 0.5, F.col("component")).otherwise(-1).alias("owner")))
-    dealt = owners.groupBy("bucket", "owner").agg(F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")).select("bucket", "owner", F.ceil(filled).cast("int").alias("chunks"))
+    dealt = owners.groupBy("bucket", "owner").agg(F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")).select("bucket", "owner", "rows", F.ceil(filled).cast("int").alias("chunks"))
     chunk = lambda owner, k: F.concat_ws(":", owner.cast("string"), k.cast("string"))
-    every = dealt.select("bucket", "owner", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k"))
-    every = every.groupBy("bucket").agg(F.collect_list(F.struct("owner", chunk(F.col("owner"), F.col("k")).alias("name"))).alias("every"))
+    names = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.col("owner"), chunk(F.col("owner"), k).alias("name")))
+    every = cut_lineage(dealt.groupBy("bucket").agg(F.sum("rows").alias("rows"), F.flatten(F.collect_list(names)).alias("every")))
+    owned = cut_lineage(owners.join(dealt.drop("rows"), ["bucket", "owner"]).select("bucket", "component", "rows", "owner", "chunks"))
     elements = texts.join(open_.select("v").distinct(), "v", "left_semi").mapInArrow(_elements, "v bigint, elements array<int>")
     short = F.transform("bands", lambda x: F.hash(x))  # 32 bits are enough to tell bands apart
     members = cut_lineage(elements.join(told.select("v", short.alias("bands")), "v"))
-    owned = open_.join(owners.select("bucket", "component", "owner"), ["bucket", "component"]).join(dealt, ["bucket", "owner"])
     # a small component stays in one chunk; a large one is spread over its own
     key = F.when(F.col("owner") < 0, F.col("component")).otherwise(F.col("v"))
-    named_ = owned.withColumn("chunk", chunk(F.col("owner"), F.pmod(F.xxhash64(key), F.col("chunks"))))
+    named_ = group_join(open_, owned, ["bucket", "component"], "rows").withColumn("chunk", chunk(F.col("owner"), F.pmod(F.xxhash64(key), F.col("chunks")))).drop("rows")
     meeting = F.filter("every", lambda x: (x["owner"] != F.col("owner")) | (F.col("owner") < 0))
-    met = named_.join(every, "bucket").select("bucket", "chunk", "band", "v", "n", "component", F.explode(meeting).alias("other"))
+    met = group_join(cut_lineage(named_), every, ["bucket"], "rows").select("bucket", "chunk", "band", "v", "n", "component", F.explode(meeting).alias("other"))
     pairs = met.select("bucket", F.least("chunk", "other.name").alias("i"), F.greatest("chunk", "other.name").alias("j"), "chunk", "band", "v", "n", "component")
     blocks = pairs.join(members, "v")
     second = cut_lineage(blocks.groupBy("bucket", "i", "j").applyInPandas(_apart, "a bigint, b bigint").distinct())
