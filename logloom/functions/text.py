@@ -85,7 +85,9 @@ def unescape_nul(message: Column, status: Column) -> Column:
 
 def is_volatile(word: Column) -> Column:
     """Whether a word has at least three digits, of any script."""
-    return F.length(F.regexp_replace(word, f"[^{_DIGIT}]", "")) >= MIN_DIGITS
+    # only characters beyond ASCII are held against the long class
+    rest = r"[\x00-/:-\x7F]|(?=[^\x00-\x7F])[^" + _DIGIT + "]"
+    return F.length(F.regexp_replace(word, rest, "")) >= MIN_DIGITS
 
 
 def template_key(message: Column) -> Column:
