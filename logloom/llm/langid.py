@@ -86,6 +86,15 @@ def _features(rows):
         )
 
 
+#: Bytes of a table of languages up to which it is sent to all tasks; a larger one is joined by a shuffle.
+MAX_BROADCAST_BYTES = 16 << 20
+
+
+def _table(df: DataFrame, rows: list[tuple], kind: str) -> DataFrame:
+    out = df.sparkSession.createDataFrame(rows, kind)
+    return F.broadcast(out) if sum(len(r[0].encode()) + 64 for r in rows) <= MAX_BROADCAST_BYTES else out
+
+
 def fit(train: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES, epochs: int = 12, seed: int = 7) -> Model | None:
     """Fit on ``(doc_id, text, lang)``; rows without text or language are not used. None if nothing is left.
 
@@ -98,7 +107,7 @@ def fit(train: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES,
     if not counts:
         return None
     share, grid = max(1, rows // len(counts)), 1 << 24
-    dim = train.sparkSession.createDataFrame([(lang, min(grid, int(grid * share / n) + 1)) for lang, n in counts.items()], "lang string, rate int")
+    dim = _table(train, [(lang, min(grid, int(grid * share / n) + 1)) for lang, n in counts.items()], "lang string, rate int")
     drawn = usable.join(dim, "lang").where(F.pmod("ord", F.lit(grid)) < F.col("rate")).drop("rate").dropDuplicates(["lang", "ord"])
     drawn = cut_lineage(drawn.orderBy("ord", "lang").limit(2 * share * len(counts)))
     upto, free = {}, dict.fromkeys(counts, text_bytes // len(counts))
@@ -106,7 +115,7 @@ def fit(train: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES,
         free[lang] -= size
         if free[lang] >= 0 or lang not in upto:
             upto[lang] = place
-    ends = train.sparkSession.createDataFrame(list(upto.items()), "lang string, upto bigint")
+    ends = _table(train, list(upto.items()), "lang string, upto bigint")
     sample = drawn.join(ends, "lang").where("ord <= upto").select("lang", "ord", "text").mapInArrow(_features, "lang string, ord bigint, bucket binary, share binary").orderBy("ord", "lang").collect()
     languages = sorted({r[0] for r in sample})
     x = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in sample]
