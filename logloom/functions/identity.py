@@ -71,3 +71,15 @@ def sequential_digest(ranks: DataFrame, rank: str = "rank") -> str:
     for row in ranks.select(rank).orderBy(rank).toLocalIterator():
         digest.update(int(row[0]).to_bytes(8, "big"))
     return digest.hexdigest()
+
+
+def rows_digest(df: DataFrame, *by: str) -> DataFrame:
+    """``rows, digest`` of each group of ``by``, whatever the order of rows and the part files.
+
+    The digest is of sums of the parts of the rows' own digests, so rows combine before the shuffle, no cell grows with
+    their number and a repeated row counts each time. Columns are taken by name, so their order does not matter.
+    """
+    own = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    parts = [F.conv(F.substring("__own", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    told = df.select(*by, own.alias("__own")).groupBy(*by).agg(F.count("*").alias("rows"), *[F.sum(x).alias(f"__{i}") for i, x in enumerate(parts)])
+    return told.select(*by, "rows", F.sha2(F.concat_ws(":", "rows", *[F.coalesce(f"__{i}", F.lit(0)) for i in range(8)]), 256).alias("digest"))

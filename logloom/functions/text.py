@@ -193,3 +193,13 @@ def load_rules(path: str) -> tuple[tuple[tuple[str, str], ...], tuple[tuple[str,
     if set(table) - {"preserve", "masks"}:
         raise ValueError("a rule table has preserve and masks only")
     return out[0], out[1]
+
+
+def json_keys(document: Column) -> Column:
+    """Lower-cased distinct keys of a JSON document, at any depth, sorted; null for a null or malformed one.
+
+    Strings are read from left to right, so what stands in a value is no key; a key is a string before a colon.
+    """
+    strings = F.regexp_extract_all(document, F.lit(r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?'), F.lit(0))
+    keys = F.transform(F.filter(strings, lambda s: F.endswith(s, F.lit(":"))), lambda s: F.lower(F.get_json_object(F.concat(F.lit('{"k":'), F.rtrim(F.substring(s, F.lit(1), F.length(s) - 1)), F.lit("}")), "$.k")))
+    return F.when(F.try_parse_json(document).isNotNull(), F.array_sort(F.array_distinct(keys)))

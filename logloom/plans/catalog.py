@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logloom.plans import protocol_queries, score_queries, stream_queries  # noqa: F401  registering is their import
+from logloom.plans import protocol_queries, record_queries, score_queries, stream_queries  # noqa: F401  registering is their import
 from logloom.plans.registry import QUERIES, SQL
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import text
+from logloom.functions.identity import rows_digest
 from logloom.operators.ordering import carried
 
 #: What stands for the message of a line that has none.
@@ -243,15 +244,12 @@ def write_stream(stream: DataFrame, path: str) -> None:
 
 
 def write_jsonl(df: DataFrame, path: str, key: str, by: str | None = None, only_digest: bool = False) -> tuple[int, str]:
-    """Gzipped JSON lines, split by ``by``, and (rows, digest): the digest of the rows' own, which part files do not change."""
-    rows = df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("j"), F.col(key).alias("k"))
-    block = F.pmod(F.xxhash64("k"), F.lit(256))
-    parts = rows.groupBy(block.alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.sha2("j", 256).alias("d")))), lambda x: x["d"]), ""), 256).alias("d"), F.count("*").alias("n"))
-    told = parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256), F.sum("n")).first()
+    """Gzipped JSON lines, split by ``by``, in order of ``key`` within each file, and (rows, digest): of the rows, which part files do not change."""
+    told = rows_digest(df).first()
     if not only_digest:
-        writer = df.write.mode("errorifexists").option("compression", "gzip")
+        writer = df.sortWithinPartitions(*filter(None, (by, key))).write.mode("errorifexists").option("compression", "gzip")
         (writer.partitionBy(by) if by else writer).json(path)
-    return told[1] or 0, told[0]
+    return told["rows"], told["digest"]
 
 
 def write_scores(scores: DataFrame, path: str, name: str) -> None:
@@ -270,8 +268,8 @@ def canonical_payload(value: object) -> tuple[bytes, str]:
 
 def write_corpus(records: DataFrame, path: str, key: str, by: str) -> dict[str, tuple[int, str]]:
     """Canonical records as gzipped JSON lines for each value of ``by``, and (rows, digest) of each; a value's rows are split over files."""
-    found = {r[0]: write_jsonl(records.where(F.col(by).eqNullSafe(r[0])), "", key, only_digest=True) for r in records.select(by).distinct().orderBy(by).collect()}
-    records.write.mode("errorifexists").option("compression", "gzip").partitionBy(by).json(path)
+    found = {r[by]: (r["rows"], r["digest"]) for r in rows_digest(records, by).collect()}
+    records.sortWithinPartitions(by, key).write.mode("errorifexists").option("compression", "gzip").partitionBy(by).json(path)
     return found
 
 
