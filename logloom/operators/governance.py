@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.operators.ordering import previous
+from logloom.operators.ordering import previous, quantiles
 
 #: Which segments a partition of a fold takes, from the target or from the sources.
 ROLES = {"SOURCE_TRAIN": ("source", (0,)), "SOURCE_VALIDATION": ("source", (2,)), "TARGET_BURN_IN": ("target", (0,)), "TARGET_EVALUATION": ("target", (2, 3))}
@@ -165,6 +165,44 @@ def component_rule(lines: DataFrame, component: str, part: str) -> DataFrame:
     return told.select("component", "lines", F.when(one, "ASSIGNED").otherwise("PURGED_BOUNDARY").alias("disposition"), F.when(one, F.col("low")).alias("partition"))
 
 
+def population_summaries(df: DataFrame, population: str, fields: list[str]) -> DataFrame:
+    """``population, field, count, min, q05, q25, median, q75, q95, q99, max, iqr`` of numeric fields, all from one sort."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields]))
+    long = df.select(F.col(population).alias("population"), each.alias("x")).select("population", "x.*").where("value is not null")
+    by = ("population", "field")
+    ends = long.groupBy(*by).agg(F.count("*").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"))
+    inner = quantiles(long, "value", {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}, by)
+    return ends.join(inner, list(by)).select(*by, "count", "min", "q05", "q25", "median", "q75", "q95", "q99", "max", (F.col("q75") - F.col("q25")).alias("iqr"))
+
+
+def window_reconciliation(lines: DataFrame, partition: str, size: int = 100) -> DataFrame:
+    """``partition, raw, windows, retained, residual, raw_ratio, retained_ratio`` of a split cut into whole windows; raw = retained + residual."""
+    told = lines.groupBy(F.col(partition).alias("partition")).agg(F.count("*").alias("raw"))
+    told = told.withColumn("windows", F.floor(F.col("raw") / size)).withColumn("retained", F.col("windows") * size).withColumn("residual", F.col("raw") - F.col("retained"))
+    whole = told.agg(F.sum("raw").alias("__r"), F.sum("retained").alias("__k"))
+    return told.join(F.broadcast(whole)).select("partition", "raw", "windows", "retained", "residual", (F.col("raw") / F.col("__r")).alias("raw_ratio"), F.try_divide("retained", "__k").alias("retained_ratio"))
+
+
+def component_reconciliation(lines: DataFrame, component: str, part: str) -> DataFrame:
+    """``raw, ineligible, assigned, purged, holds``: lines without a component, in one part, and in several; together all lines."""
+    rule = component_rule(lines, component, part).agg(*[F.coalesce(F.sum(F.when(F.col("disposition") == d, F.col("lines"))), F.lit(0)).alias(n) for d, n in (("ASSIGNED", "assigned"), ("PURGED_BOUNDARY", "purged"))])
+    whole = lines.agg(F.count("*").alias("raw"), F.count_if(F.col(component).isNull()).alias("ineligible"))
+    return whole.join(F.broadcast(rule)).select("raw", "ineligible", "assigned", "purged", (F.col("raw") == F.col("ineligible") + F.col("assigned") + F.col("purged")).alias("holds"))
+
+
+def gate_receipt(criteria: dict[str, bool | None], expected: dict[str, str], received: dict[str, str]) -> dict:
+    """A gate's receipt: open only if every criterion holds and every payload was received as expected, character for character.
+
+    A criterion of None is unknown and does not hold. The digest is of the receipt's own canonical JSON; nothing is signed.
+    """
+    missing = sorted(t for t in expected if t not in received)
+    mismatched = sorted(t for t in expected if t in received and received[t] != expected[t])
+    verdicts = {n: "UNKNOWN" if ok is None else "PASS" if ok else "FAIL" for n, ok in sorted(criteria.items())}
+    receipt = {"criteria": verdicts, "missing": missing, "mismatched": mismatched, "unexpected": sorted(set(received) - set(expected))}
+    receipt["open"] = bool(criteria) and set(verdicts.values()) == {"PASS"} and not missing and not mismatched
+    return receipt | {"digest": _digest("", json.dumps(receipt, sort_keys=True), "")}
+
+
 def label_conflicts(labels: DataFrame, unit: str, label: str) -> DataFrame:
     """Units with more than one label."""
     return labels.groupBy(unit).agg(F.count_distinct(label).alias("labels"), F.count("*").alias("rows")).where("labels > 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logloom.operators.lineage import cut_lineage
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Label each vertex with the smallest vertex of its component.
 
     Returns ``(vertex, component)`` with one row per vertex that occurs in
@@ -17,6 +17,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     about log2(d) rounds and a star two. Aggregates are partial on the map side,
     so a hub with many edges sends one row per task; the joins are plain equi
     joins that adaptive execution can split. Each round ends in a checkpoint.
+    Labels only fall, so the rounds end; their number is not bounded by a parameter.
     Null endpoints are ignored; self loops and repeated edges are harmless.
 
     >>> # (1,2),(2,3),(4,4) gives 1:1, 2:1, 3:1, 4:4
@@ -25,7 +26,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     both = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("vertex"), "label")
     labels = cut_lineage(labels)
-    for _ in range(max_rounds):
+    while True:
         # hook: the smallest label among the neighbours, given to the vertex and to its present root
         seen = both.join(labels, both["b"] == labels["vertex"]).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(seen, labels["vertex"] == seen["a"], "left").select(
@@ -42,4 +43,3 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         labels = moved.select("vertex", F.col("next").alias("label"))
         if not changed:
             return labels.select("vertex", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

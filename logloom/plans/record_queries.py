@@ -1,4 +1,4 @@
-"""Queries over records: references, rules, split tables, faults and labels of windows, probes, scores of a model."""
+"""Queries over records: references, rules, split tables, faults and labels of windows, probes, scores of a model, structural metadata, populations."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import identity, text
-from logloom.operators import detect, governance, records
+from logloom.operators import detect, governance, metadata, records
 from logloom.operators.lineage import new_table_path
 from logloom.plans.registry import STREAM, query, read, stream
 from logloom.plans.stream_queries import WINDOWS, _windows
@@ -129,3 +129,42 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by a caller's model; errors have no text."""
     e = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("text"))
     return records.scored(e, "event_id", "text", _vowels)
+
+
+@query(f"""WITH RECURSIVE {STREAM}, t AS (SELECT effective_ts // 60000000 AS minute, event_type = 'error' AS bad, 'blk_' || CAST(user_id AS VARCHAR) AS id FROM s),
+u AS (SELECT minute, id, count(*) AS n FROM t WHERE NOT bad GROUP BY ALL), g AS (SELECT minute, min(id) AS low FROM u GROUP BY 1),
+e0 AS (SELECT DISTINCT id AS x, low AS y FROM u JOIN g USING (minute)), e AS (SELECT x, y FROM e0 UNION SELECT y, x FROM e0),
+r AS (SELECT DISTINCT x, x AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), k AS (SELECT x, min(y) AS component FROM r GROUP BY 1),
+l AS (SELECT minute, bool_or(bad) AS bad, count(DISTINCT id) FILTER (NOT bad) AS n FROM t GROUP BY 1), d AS (SELECT minute, max(n) > 1 AS twice FROM u GROUP BY 1)
+SELECT minute, array_to_string(list_filter([CASE WHEN twice THEN 'DUPLICATE_BLOCK_ID' END, CASE WHEN bad THEN 'MALFORMED_BLOCK_TOKEN' END, CASE WHEN n > 1 THEN 'MULTIPLE_BLOCK_IDS' END], lambda x: x IS NOT NULL), ',') AS issues,
+  component, CASE WHEN n > 0 THEN 'ASSIGNED' ELSE 'UNASSIGNED' END AS status, CASE WHEN n = 0 THEN 'MALFORMED_BLOCK_TOKEN' END AS reason
+FROM l LEFT JOIN d USING (minute) LEFT JOIN g USING (minute) LEFT JOIN k ON k.x = g.low""")
+def line_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message per minute names its users as padded block ids; those of errors are malformed."""
+    token = F.concat(F.when(F.col("event_type") == "error", "blk_x").otherwise("blk_00"), F.col("user_id").cast("string"))
+    s = stream(spark, sf_dir, False).groupBy(F.floor(F.col("effective_ts") / 60_000_000).alias("minute")).agg(F.array_join(F.collect_list(token), " ").alias("message"))
+    return metadata.line_metadata(s).select("minute", F.array_join("issues", ",").alias("issues"), "component", "status", "reason")
+
+
+@query("""WITH f AS (SELECT lang, 'chars' AS field, CAST(n_chars AS DOUBLE) AS v FROM documents UNION ALL SELECT lang, 'bytes', CAST(strlen(text) AS DOUBLE) FROM documents)
+SELECT lang AS population, field, count(*) AS "count", min(v) AS min, round(quantile_cont(v, 0.05), 5) AS q05, round(quantile_cont(v, 0.25), 5) AS q25, round(quantile_cont(v, 0.5), 5) AS median, round(quantile_cont(v, 0.75), 5) AS q75,
+  round(quantile_cont(v, 0.95), 5) AS q95, round(quantile_cont(v, 0.99), 5) AS q99, max(v) AS max, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 5) AS iqr FROM f GROUP BY ALL""")
+def population_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("lang", F.col("n_chars").alias("chars"), F.octet_length("text").alias("bytes"))
+    told = governance.population_summaries(d, "lang", ["chars", "bytes"])
+    return told.select("population", "field", "count", "min", "max", *[F.round(c, 5).alias(c) for c in ("q05", "q25", "median", "q75", "q95", "q99", "iqr")])
+
+
+@query("""WITH p AS (SELECT event_type AS "partition", count(*) AS raw, count(*) // 100 AS windows FROM events GROUP BY 1), w AS (SELECT sum(raw) AS r, sum(windows * 100) AS k FROM p)
+SELECT "partition", raw, windows, windows * 100 AS retained, raw - windows * 100 AS residual, round(raw / r, 9) AS raw_ratio, round(windows * 100 / k, 9) AS retained_ratio FROM p, w""")
+def window_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = governance.window_reconciliation(read(spark, sf_dir, "events"), "event_type")
+    return told.select("partition", "raw", "windows", "retained", "residual", F.round("raw_ratio", 9).alias("raw_ratio"), F.round("retained_ratio", 9).alias("retained_ratio"))
+
+
+@query(f"""WITH {STREAM}, l AS (SELECT CASE WHEN event_type <> 'error' THEN user_id END AS c, value > 50 AS part FROM s),
+m AS (SELECT c, count(*) AS n, min(part) = max(part) AS one FROM l WHERE c IS NOT NULL GROUP BY 1)
+SELECT count(*) AS raw, count(*) FILTER (c IS NULL) AS ineligible, CAST((SELECT coalesce(sum(n) FILTER (one), 0) FROM m) AS BIGINT) AS assigned, CAST((SELECT coalesce(sum(n) FILTER (NOT one), 0) FROM m) AS BIGINT) AS purged, true AS holds FROM l""")
+def component_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = stream(spark, sf_dir, False).select(F.when(F.col("event_type") != "error", F.col("user_id")).alias("c"), (F.col("value") > 50).alias("part"))
+    return governance.component_reconciliation(lines, "c", "part")

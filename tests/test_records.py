@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import identity, text
-from logloom.operators import records
+from logloom.operators import governance, metadata, records
 from logloom.operators.governance import Seal, violations
 
 
@@ -114,3 +114,34 @@ def test_scored_refuses_lost_texts(spark):
     assert got == {1: (1.5, "OK"), 2: (None, "UNSCORABLE"), 3: (1.5, "OK"), 4: (None, "UNSCORABLE")}
     with pytest.raises(Exception, match="0 scores for 2 texts"):
         records.scored(df.coalesce(1), "k", "t", lambda: lambda ts: []).collect()
+
+
+def test_line_metadata(spark):
+    rows = [(1, "blk_1 blk_2", True, "LF"), (2, "blk_02 blk_7 blk_7", True, "LF"), (3, "blk_9", True, "NONE"), (4, "blk_x", True, "LF"), (5, "none", False, "LF"), (6, None, True, "LF")]
+    meta = metadata.line_metadata(spark.createDataFrame(rows, "line int, message string, valid_utf8 boolean, terminator string"))
+    got = {r.line: (r.component, r.status, r.reason, r.issues) for r in meta.collect()}
+    assert got == {
+        1: ("blk_1", "ASSIGNED", None, ["MULTIPLE_BLOCK_IDS"]), 2: ("blk_1", "ASSIGNED", None, ["DUPLICATE_BLOCK_ID", "MULTIPLE_BLOCK_IDS"]),
+        3: ("blk_9", "ASSIGNED", None, ["MISSING_LINE_TERMINATOR"]), 4: (None, "UNASSIGNED", "MALFORMED_BLOCK_TOKEN", ["MALFORMED_BLOCK_TOKEN"]),
+        5: (None, "UNASSIGNED", "DECODE_ERROR", []), 6: (None, "UNASSIGNED", "NO_BLOCK_ID", []),
+    }
+    told = {r.measure: r.lines for r in metadata.metadata_summary(meta).collect()}
+    assert told["lines"] == 6 and told["ASSIGNED"] == 3 and told["components"] == 2 and told["MULTIPLE_BLOCK_IDS"] == 2
+    assert metadata.line_metadata(spark.createDataFrame([], "message string")).count() == 0
+
+
+def test_gate_receipt_fails_closed():
+    good = governance.gate_receipt({"a": True}, {"t": "x"}, {"t": "x", "u": "y"})
+    assert good["open"] and good["unexpected"] == ["u"]
+    shut = [({"a": None}, {}, {}), ({"a": False}, {}, {}), ({}, {}, {}), ({"a": True}, {"t": "x"}, {}), ({"a": True}, {"t": "x"}, {"t": "x "})]
+    receipts = [governance.gate_receipt(*x) for x in shut]
+    assert not any(r["open"] for r in receipts) and receipts[-1]["mismatched"] == ["t"] and receipts[0]["criteria"] == {"a": "UNKNOWN"}
+    assert len({r["digest"] for r in [good, *receipts]}) == 6
+
+
+def test_reconciliation_of_small_and_empty_splits(spark):
+    df = spark.createDataFrame([("a", i) for i in range(7)] + [("b", 1)], "p string, i int")
+    got = {r.partition: (r.raw, r.windows, r.retained, r.residual) for r in governance.window_reconciliation(df, "p", 3).collect()}
+    assert got == {"a": (7, 2, 6, 1), "b": (1, 0, 0, 1)}
+    assert governance.window_reconciliation(df.where("p = 'b'"), "p", 3).first().retained_ratio is None
+    assert tuple(governance.component_reconciliation(df.limit(0), "p", "i").first()) == (0, 0, 0, 0, True)
