@@ -11,7 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import chronology, governance, metrics, templates
+from logloom.operators import chronology, governance, metadata, metrics, templates
+from logloom.operators import records as record_tables
 from logloom.plans import catalog, target_view
 from logloom.sources import logs
 
@@ -112,6 +113,25 @@ def purge(spark: SparkSession, args: argparse.Namespace) -> dict:
     return {r["disposition"]: [r["units"], r["anomalies"]] for r in rows}
 
 
+def freeze_split(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """A table with a ``partition`` column as a frozen split, with the digests of its partitions."""
+    return {r["partition"]: [r["rows"], r["digest"]] for r in record_tables.write_split(spark.read.parquet(args.table), args.out).collect()}
+
+
+def check_split(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """Whether the rows of a frozen split are still those of its digests; fails where a partition's are not."""
+    states = {r["partition"]: r["state"] for r in record_tables.validate_split(spark, args.split).collect()}
+    return states | {"failed": any(s != "OK" for s in states.values())}
+
+
+def line_metadata(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """Block ids, components and issues of the lines of log files, as Parquet."""
+    paths = [r["path"] for r in logs.resolve_files(spark, args.root, args.files).orderBy("file_rank").collect()]
+    read = logs.lines(spark, paths).select("source_file", "line", "raw_sha256", "terminator", "valid_utf8", F.col("raw").cast("string").alias("message"))
+    metadata.line_metadata(read).drop("message").write.mode("errorifexists").parquet(args.out)
+    return {r["measure"]: r["lines"] for r in metadata.metadata_summary(spark.read.parquet(args.out)).collect()}
+
+
 def seal(spark: SparkSession, args: argparse.Namespace) -> dict:
     """The state of a sealed test set; with a grant it is unlocked."""
     found = governance.Seal(args.seal)
@@ -144,6 +164,9 @@ COMMANDS: dict[str, tuple[Command, dict[str, dict]]] = {
     "target-view": (view, {"--stream": {}, "--sample": {"type": int, "required": False, "default": 500}, "--out": {}}),
     "audit": (audit, {"--stream": {}, "--out": {}}),
     "purge-audit": (purge, {"--split": {}, "--labels": {}, "--log": {}, "--reason": {}}),
+    "freeze-split": (freeze_split, {"--table": {}, "--out": {}}),
+    "check-split": (check_split, {"--split": {}}),
+    "metadata": (line_metadata, {"--root": {}, "--files": {"nargs": "+"}, "--out": {}}),
     "seal": (seal, {"--seal": {}, "--grant": {"required": False}}),
     "evaluate": (evaluate, {"--table": {}, "--scores": {"nargs": "+"}, "--label": {}, "--cluster": {}, "--reps": {"type": int, "required": False, "default": 2000}}),
     "query": (query, {"--name": {}, "--tables": {}, "--out": {}}),

@@ -44,8 +44,9 @@ def line_metadata(lines: DataFrame, message: str = "message") -> DataFrame:
 
 
 def metadata_summary(metadata: DataFrame) -> DataFrame:
-    """``measure, lines`` of :func:`line_metadata`: all lines, those of each status, reason and issue, and the number of components."""
-    told = metadata.select(F.concat(F.array(F.lit("lines"), "status"), F.array_compact(F.array("reason")), "issues").alias("m"))
+    """``measure, lines`` of :func:`line_metadata`: all lines, those of each status, ``reason:`` and ``issue:``, and the number of components."""
+    named = F.concat(F.array_compact(F.array(F.concat(F.lit("reason:"), "reason"))), F.transform("issues", lambda i: F.concat(F.lit("issue:"), i)))
+    told = metadata.select(F.concat(F.array(F.lit("lines"), "status"), named).alias("m"))
     counts = told.select(F.explode("m").alias("measure")).groupBy("measure").agg(F.count("*").alias("lines"))
     components = metadata.agg(F.lit("components").alias("measure"), F.count_distinct("component").alias("lines"))
     return reduce(DataFrame.unionByName, [counts, components.select("measure", "lines")])

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logloom.functions import identity
 from logloom.operators.governance import Seal
@@ -208,9 +209,16 @@ def write_split(rows: DataFrame, path: str, partition: str = "partition") -> Dat
     return spark.read.parquet(f"{path}/partitions")
 
 
-def validate_split(spark: SparkSession, path: str, schema, partition: str = "partition") -> DataFrame:
+def _split_rows(spark: SparkSession, path: str, partition: str) -> DataFrame:
+    """Rows of a written split; folder names are read as the type that its table of partitions has, not as what they look like."""
+    kind = spark.read.parquet(f"{path}/partitions").schema[partition]
+    inner = [f for f in spark.read.parquet(f"{path}/rows").schema.fields if f.name != partition]
+    return spark.read.schema(StructType([*inner, kind])).parquet(f"{path}/rows")
+
+
+def validate_split(spark: SparkSession, path: str, partition: str = "partition") -> DataFrame:
     """``partition, rows, state`` of a written split by its rows as they are now: OK, CHANGED, MISSING or UNKNOWN (not in its table)."""
-    now = identity.rows_digest(spark.read.schema(schema).parquet(f"{path}/rows"), partition).select(F.col(partition).alias("__p"), F.col("rows").alias("__n"), F.col("digest").alias("__d"))
+    now = identity.rows_digest(_split_rows(spark, path, partition), partition).select(F.col(partition).alias("__p"), F.col("rows").alias("__n"), F.col("digest").alias("__d"))
     old = spark.read.parquet(f"{path}/partitions")
     both = old.join(now, F.col(partition).eqNullSafe(F.col("__p")), "full")
     state = F.when(F.col("__n").isNull(), "MISSING").when(F.col("rows").isNull(), "UNKNOWN").when((F.col("digest") == F.col("__d")) & (F.col("rows") == F.col("__n")), "OK").otherwise("CHANGED")
@@ -223,9 +231,9 @@ def compare_splits(one: DataFrame, two: DataFrame, partition: str = "partition")
     return a.exceptAll(b).unionByName(b.exceptAll(a)).select(partition).distinct()
 
 
-def read_partition(spark: SparkSession, path: str, wanted: str, schema, partition: str = "partition", seal: Seal | None = None) -> DataFrame:
+def read_partition(spark: SparkSession, path: str, wanted: str, partition: str = "partition", seal: Seal | None = None) -> DataFrame:
     """The rows of one partition; those of TEST only by an unlocked seal, which this opens."""
-    read = lambda: spark.read.schema(schema).parquet(f"{path}/rows").where(F.col(partition) == wanted)
+    read = lambda: _split_rows(spark, path, partition).where(F.col(partition) == wanted)
     if wanted != TEST:
         return read()
     if seal is None:

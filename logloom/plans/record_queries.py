@@ -34,7 +34,7 @@ def split_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", part.alias("partition"))
     path = new_table_path(spark, "split")
     records.write_split(rows, path)
-    return records.validate_split(spark, path, rows.schema)
+    return records.validate_split(spark, path)
 
 
 @query(f"""WITH {WINDOWS}, ev AS (SELECT rank, 'seq-' || substr(sha256('EVENTS|ALL|' || CAST(user_id AS VARCHAR)), 1, 24) AS q FROM s WHERE event_type <> 'signup'),

@@ -46,3 +46,17 @@ def test_commands(spark, tmp_path, capsys):
     for bad in (["query", "--name", "unit_spans", "--tables", "x", "--out", str(t("query"))], ["records"], []):
         with pytest.raises(SystemExit):
             cli.main(bad)
+
+
+def test_split_and_metadata_commands(spark, tmp_path, capsys):
+    t = lambda name: tmp_path / name
+    spark.createDataFrame([(i, "TEST" if i > 6 else "BASE_TRAIN") for i in range(9)], "id long, partition string").write.parquet(str(t("rows")))
+    told = run(capsys, "freeze-split", "--table", t("rows"), "--out", t("split"))[1]
+    assert {k: v[0] for k, v in told.items()} == {"TEST": 2, "BASE_TRAIN": 7}
+    assert run(capsys, "check-split", "--split", t("split")) == (0, {"TEST": "OK", "BASE_TRAIN": "OK", "failed": False})
+    spark.createDataFrame([(99,)], "id long").write.parquet(str(t("split") / "rows" / "partition=NEW"))
+    assert run(capsys, "check-split", "--split", t("split"))[0] == 1
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.log").write_bytes(b"got blk_1 blk_2\nblk_02\nblk_x\n\xff\nlast blk_9")
+    told = run(capsys, "metadata", "--root", t("raw"), "--files", "*.log", "--out", t("meta"))[1]
+    assert told == {"lines": 5, "ASSIGNED": 3, "UNASSIGNED": 2, "components": 2, "reason:DECODE_ERROR": 1, "reason:MALFORMED_BLOCK_TOKEN": 1, "issue:MALFORMED_BLOCK_TOKEN": 1, "issue:MISSING_LINE_TERMINATOR": 1, "issue:MULTIPLE_BLOCK_IDS": 1}

@@ -58,7 +58,7 @@ def test_split_is_validated_compared_and_sealed(spark, tmp_path):
     one = records.write_split(rows, str(tmp_path / "one"))
     two = records.write_split(rows.repartition(3), str(tmp_path / "two"))
     assert records.compare_splits(one, two).count() == 0
-    state = lambda: {r["partition"]: r["state"] for r in records.validate_split(spark, str(tmp_path / "one"), rows.schema).collect()}
+    state = lambda: {r["partition"]: r["state"] for r in records.validate_split(spark, str(tmp_path / "one")).collect()}
     assert state() == {"TEST": "OK", "BASE_TRAIN": "OK"}
     third = records.write_split(rows.distinct(), str(tmp_path / "three"))
     assert [r[0] for r in records.compare_splits(one, third).collect()] == ["BASE_TRAIN"]
@@ -67,17 +67,24 @@ def test_split_is_validated_compared_and_sealed(spark, tmp_path):
     rows.limit(1).withColumn("partition", F.lit("TEST")).write.mode("append").partitionBy("partition").parquet(str(tmp_path / "one" / "rows"))
     rows.limit(1).withColumn("partition", F.lit("NEW")).write.mode("append").partitionBy("partition").parquet(str(tmp_path / "one" / "rows"))
     assert state() == {"TEST": "CHANGED", "BASE_TRAIN": "OK", "NEW": "UNKNOWN"}
-    assert records.read_partition(spark, str(tmp_path / "two"), "BASE_TRAIN", rows.schema).count() == 41
+    assert records.read_partition(spark, str(tmp_path / "two"), "BASE_TRAIN").count() == 41
     with pytest.raises(PermissionError):
-        records.read_partition(spark, str(tmp_path / "two"), "TEST", rows.schema)
+        records.read_partition(spark, str(tmp_path / "two"), "TEST")
     seal = Seal(str(tmp_path / "seal"))
     with pytest.raises(PermissionError):
-        records.read_partition(spark, str(tmp_path / "two"), "TEST", rows.schema, seal=seal)
+        records.read_partition(spark, str(tmp_path / "two"), "TEST", seal=seal)
     seal.unlock("grant")
-    assert records.read_partition(spark, str(tmp_path / "two"), "TEST", rows.schema, seal=seal).count() == 10
+    assert records.read_partition(spark, str(tmp_path / "two"), "TEST", seal=seal).count() == 10
     assert seal.state == "OPENED"
 
 
+def test_split_by_numbers_that_are_text(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "01"), (2, "01"), (3, "2")], "id long, partition string")
+    records.write_split(rows, str(tmp_path / "s"))
+    assert {r["partition"]: (r["rows"], r["state"]) for r in records.validate_split(spark, str(tmp_path / "s")).collect()} == {"01": (2, "OK"), "2": (1, "OK")}
+    assert records.read_partition(spark, str(tmp_path / "s"), "01").count() == 2
+
+
 def test_strict_labels_stop(spark):
     windows = spark.createDataFrame([("w1", 1, "u"), ("w2", 2, "u"), ("w3", 3, None)], "window_id string, target_rank long, sequence_id string")
     labels = spark.createDataFrame([(1, True), (2, True), (3, False)], "rank long, anomaly boolean")
@@ -126,7 +133,7 @@ def test_line_metadata(spark):
         5: (None, "UNASSIGNED", "DECODE_ERROR", []), 6: (None, "UNASSIGNED", "NO_BLOCK_ID", []),
     }
     told = {r.measure: r.lines for r in metadata.metadata_summary(meta).collect()}
-    assert told["lines"] == 6 and told["ASSIGNED"] == 3 and told["components"] == 2 and told["MULTIPLE_BLOCK_IDS"] == 2
+    assert told["lines"] == 6 and told["ASSIGNED"] == 3 and told["components"] == 2 and told["issue:MULTIPLE_BLOCK_IDS"] == 2
     assert metadata.line_metadata(spark.createDataFrame([], "message string")).count() == 0
 
 
