@@ -14,20 +14,28 @@ from logloom.operators.ordering import previous, quantiles
 
 #: Which segments a partition of a fold takes, from the target or from the sources.
 ROLES = {"SOURCE_TRAIN": ("source", (0,)), "SOURCE_VALIDATION": ("source", (2,)), "TARGET_BURN_IN": ("target", (0,)), "TARGET_EVALUATION": ("target", (2, 3))}
+#: Architectures whose table of folds, 5 rows for a pair at most, is broadcast.
+MAX_BROADCAST_ARCHITECTURES = 200
 FORBIDDEN = re.compile("label|anomaly|target_role|outcome", re.I)
 
 
 def fold_members(stream: DataFrame, architecture: str = "architecture_id", segment: str = "segment") -> DataFrame:
     """``stream`` rows by fold: one fold for each architecture as target, ``fold_id`` and ``partition`` added.
 
-    The fold table has a row for each (target, architecture, segment), so it is small and is joined to the stream.
+    The fold table has a row for each (target, architecture, segment). It is broadcast while there are at most
+    ``MAX_BROADCAST_ARCHITECTURES``; beyond, it is made and joined by shuffles. Rows of a null architecture are in no fold.
     """
-    names = stream.select(F.col(architecture).alias("__a")).distinct()
-    roles = [F.struct(F.lit(p).alias("p"), F.lit(side).alias("side"), F.lit(s).alias("s")) for p, (side, segments) in ROLES.items() for s in segments]
-    table = names.withColumnRenamed("__a", "__t").join(F.broadcast(names)).select("__t", "__a", F.explode(F.array(*roles)).alias("r"))
-    table = table.where((F.col("r.side") == "target") == (F.col("__t") == F.col("__a")))
-    table = table.select(F.concat(F.lit("LOAO-"), "__t").alias("fold_id"), "__a", F.col("r.p").alias("partition"), F.col("r.s").alias("__s"))
-    return stream.join(F.broadcast(table), (F.col(architecture) == F.col("__a")) & (F.col(segment).cast("int") == F.col("__s"))).drop("__a", "__s")
+    roles = [(p, side, s) for p, (side, segments) in ROLES.items() for s in segments]
+    own = stream.select(F.col(architecture).cast("string").alias("__a")).where("__a is not null").distinct()
+    names = sorted(r[0] for r in own.limit(MAX_BROADCAST_ARCHITECTURES + 1).collect())
+    if len(names) <= MAX_BROADCAST_ARCHITECTURES:
+        rows = [(f"LOAO-{t}", a, p, s) for t in names for a in names for p, side, s in roles if (side == "target") == (t == a)]
+        table = F.broadcast(stream.sparkSession.createDataFrame(rows, "fold_id string, __a string, partition string, __s int"))
+    else:
+        each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(side).alias("side"), F.lit(s).alias("s")) for p, side, s in roles]))
+        pairs = own.withColumnRenamed("__a", "__t").crossJoin(own).select("__t", "__a", each.alias("r")).where((F.col("r.side") == "target") == (F.col("__t") == F.col("__a")))
+        table = pairs.select(F.concat(F.lit("LOAO-"), "__t").alias("fold_id"), "__a", F.col("r.p").alias("partition"), F.col("r.s").alias("__s"))
+    return stream.join(table, (F.col(architecture).cast("string") == F.col("__a")) & (F.col(segment).cast("int") == F.col("__s"))).drop("__a", "__s")
 
 
 def overlaps(members: DataFrame, keys: list[str], partition: str = "partition") -> DataFrame:

@@ -295,3 +295,13 @@ def test_build_comparison(spark):
     a = spark.createDataFrame([(1, "x", 1), (2, None, 2), (3, "z", 3)], "k int, a string, b int")
     b = spark.createDataFrame([(1, "x", 9), (2, None, 2), (4, "z", 3)], "k int, a string, b int")
     assert {r.field: tuple(r)[1:] for r in governance.compare_builds(a, b, ["k"], ["a", "b"]).collect()} == {"a": (2, 0, 1, 1), "b": (1, 1, 1, 1)}
+
+
+def test_folds_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = [(a, s, i) for i, (a, s) in enumerate((a, s) for a in ("x", "y", "z", None) for s in range(4))]
+    df = spark.createDataFrame(rows, "architecture_id string, segment int, rank long")
+    told = lambda: sorted((r.fold_id, r.partition, r.rank) for r in governance.fold_members(df).collect())
+    small = told()
+    monkeypatch.setattr(governance, "MAX_BROADCAST_ARCHITECTURES", 2)
+    assert told() == small and len(small) == 3 * (2 * 2 + 3)
+    assert governance.fold_members(df.limit(0)).count() == 0
