@@ -1,6 +1,8 @@
 """Detectors, template mining and streaming forms."""
 
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,56 @@ def test_tree_limits_children():
     assert len(tree.children[(2,)]) <= 10 and templates.WILDCARD in tree.children[(2,)]
 
 
+def plainly_mined(messages, similarity=0.4, room=100):
+    """Templates with their numbers of messages: every message is compared with all clusters of its leaf."""
+    children, leaves = {}, {}
+    for m in messages:
+        tokens = m.split()
+        where = (len(tokens),)
+        for t in tokens[:2]:
+            known = children.setdefault(where, set())
+            if t not in known and (any(c.isdigit() for c in t) or len(known - {"<*>"}) >= room - 1):
+                t = "<*>"
+            known.add(t)
+            where = (*where, t)
+        found, top = None, (-1, -1)
+        for c in leaves.setdefault(where, []):
+            now = (sum(a == b != "<*>" for a, b in zip(c[0], tokens, strict=True)), c[0].count("<*>"))
+            if now > top:
+                found, top = c, now
+        if found is None or tokens and top[0] / len(tokens) < similarity:
+            leaves[where].append([tokens, 1])
+        else:
+            found[0] = [a if a == b else "<*>" for a, b in zip(found[0], tokens, strict=True)]
+            found[1] += 1
+    told = {}
+    for tokens, n in (c for own in leaves.values() for c in own):
+        told[" ".join(tokens)] = told.get(" ".join(tokens), 0) + n
+    return told
+
+
+def test_fit_equals_plain_mining(spark):
+    draw = random.Random(5)
+    words = ["a", "b", "c", "d", "e", "f", "g", "<*>", "x1", "\u0663", "\u00b2z", "blk"]
+    lines = [draw.choice([" ", "\u2003", "\x1c", "\n", "\x85 "]).join(draw.choices(words, k=draw.choice([1, 2, 3, 7, 8, 8, 8, 8]))) for _ in range(1500)]
+    lines += [f"w{chr(97 + i % 26)}{chr(97 + i // 26)} {draw.choice('abc')} {draw.choice('abcdef')} z{draw.choice('abc')} e" for i in range(300)] + ["", " "]
+    draw.shuffle(lines)
+    lines = list(dict.fromkeys(lines))
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(lines)] + [(0, None)], "o int, m string").repartition(7)
+    rows = templates.fit(df, "m", "o").collect()
+    want = plainly_mined(lines)
+    assert {r.template: r.records for r in rows} == want and len(rows) == len(want) and any("<*>" in t for t in want)
+    assert all(r.event_id == templates.event_id(r.template) for r in rows)
+
+
+def test_mining_does_not_compare_all_messages():
+    draw = random.Random(6)
+    lines = [" ".join(["on", "it", *(f"w{draw.randrange(1000)}" for _ in range(58))]) for _ in range(4000)]
+    began = time.perf_counter()
+    tree = templates.mine((m, 1) for m in lines)
+    assert len(tree.children) == 2 and time.perf_counter() - began < 10
+
+
 def test_knn_novelty(spark):
     train = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "i int, t string")
     got = {r.i: r.novelty for r in detect.knn_novelty(train, spark.createDataFrame([(7, "B A"), (8, "z"), (9, "a")], "i int, t string"), "i", "t").collect()}
