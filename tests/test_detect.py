@@ -5,6 +5,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.operators import detect, templates
@@ -87,6 +88,39 @@ def test_mining_does_not_compare_all_messages():
     assert len(tree.children) == 2 and time.perf_counter() - began < 10
 
 
+def test_matching_equals_a_search_of_all(spark, monkeypatch):
+    monkeypatch.setattr(templates, "SLICE", 50)
+    draw = random.Random(7)
+    frozen = sorted({" ".join(draw.choices(["a", "b", "c", "d", "7", "<*>", "<*>"], k=draw.choice([1, 3, 4, 4, 5]))) for _ in range(250)} | {""})
+    lines = sorted({" ".join(draw.choices(["a", "b", "c", "d", "e", "7", "8", "<*>"], k=draw.choice([1, 3, 4, 4, 5, 6]))) for _ in range(700)} | {""})
+    tree, leaves = templates.Tree(), {}
+    for t in frozen:
+        leaves.setdefault(tree.path(t.split(), True), []).append(t)
+
+    def searched(tokens):
+        fits = {leaf: [t for t in own if len(t.split()) == len(tokens) and all(a in (b, "<*>") for a, b in zip(t.split(), tokens, strict=True))] for leaf, own in leaves.items()}
+        if own := fits.get(tree.path(tokens, False)):
+            return max(own, key=lambda t: t.split().count("<*>"))
+        return min((t for own in fits.values() for t in own), key=lambda t: t.split().count("<*>"), default=None)
+
+    df = spark.createDataFrame([(m, m) for m in [*lines, None, *lines[:9]]], "m string, k string")
+    given = spark.createDataFrame([(t,) for t in frozen], "template string")
+
+    def refuse(self):
+        raise AssertionError("templates pass the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", refuse)
+        out = templates.transform(df, "k", given)
+    rows = out.collect()
+    assert len(rows) == len(lines) + 10 and out.columns == ["m", "k", "event_id", "template", "parameters"]
+    for r in rows:
+        want = searched(r.k.split()) if r.k is not None else None
+        assert (r.m, r.template) == (r.k, want)
+        assert r.event_id == (templates.UNSEEN if want is None else templates.event_id(want))
+        assert r.parameters == ([b for a, b in zip(want.split(), r.k.split(), strict=True) if a == "<*>"] if want else [])
+
+
 def test_knn_novelty(spark):
     train = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "i int, t string")
     got = {r.i: r.novelty for r in detect.knn_novelty(train, spark.createDataFrame([(7, "B A"), (8, "z"), (9, "a")], "i int, t string"), "i", "t").collect()}
